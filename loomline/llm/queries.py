@@ -1,12 +1,14 @@
 """The queries of the ten operators and the SQL for those that SQL can express."""
 
-from loomline.llm import decontaminate, fingerprint, mixing, secrets, simhash, urls
+from loomline.llm import decontaminate, fingerprint, language, mixing, secrets, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_secret_scan": secrets.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op5_source_mixing": mixing.query,
+    "op6_language_id": language.query,
     "op9_url_filter": urls.query,
     "op10_document_fingerprints": fingerprint.query,
 }
