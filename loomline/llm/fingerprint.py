@@ -50,9 +50,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-@F.arrow_udf("string")
-def fingerprint_udf(texts: pa.Array) -> pa.Array:
-    """The fingerprint of each text; null like empty."""
+def fingerprints(texts: pa.Array) -> pa.Array:
+    """The fingerprint of each text (use through arrow_udf); null like empty."""
     return pa.array([shown(winnowed(t or "")) for t in texts.to_pylist()], pa.string())
 
 

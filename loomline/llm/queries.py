@@ -1,6 +1,6 @@
 """The queries of the ten operators and the SQL for those that SQL can express."""
 
-from loomline.llm import decontaminate, fingerprint, language, mixing, secrets, simhash, toxicity, urls
+from loomline.llm import decontaminate, fingerprint, html_extract, language, linededup, mixing, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_benchmark_decontamination": decontaminate.query,
     "op5_source_mixing": mixing.query,
     "op6_language_id": language.query,
+    "op7_line_dedup": linededup.query,
+    "op8_html_extraction": html_extract.query,
     "op9_url_filter": urls.query,
     "op10_document_fingerprints": fingerprint.query,
 }

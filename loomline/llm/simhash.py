@@ -47,15 +47,14 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-@F.arrow_udf("bigint")
-def fingerprint_udf(texts: pa.Array) -> pa.Array:
+def simhashes(texts: pa.Array) -> pa.Array:
     found = np.fromiter((simhash(t) for t in texts.to_pylist()), np.uint64, len(texts))
     return pa.array(found.view(np.int64))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fp (signed long), th (hash of the text) of every row."""
-    return docs.select("doc_id", fingerprint_udf(F.col(text)).alias("fp"), text_hash(text).alias("th"))
+    return docs.select("doc_id", F.arrow_udf(simhashes, "long")(F.col(text)).alias("fp"), text_hash(text).alias("th"))
 
 
 def ring_keys(fps: DataFrame) -> DataFrame:
