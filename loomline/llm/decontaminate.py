@@ -25,7 +25,6 @@ from loomline.llm.common import persist, small, table, text_hash
 SPAN, K = 10, 5
 #: Bytes that are no part of a word become blanks, A-Z become a-z; bytes from 0x80 are UTF-8 of word characters.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words whose hashes a task remembers before it starts anew.
 MEMO_WORDS = 400_000
 
@@ -53,6 +52,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
+def word_counts(texts: pa.Array) -> pa.Array:
+    return pa.array([len(words_of(t.as_py())) for t in texts], pa.int64())
+
+
 def fingerprint_batches(span: int):
     """mapInArrow function: (doc_id, th, text) to (doc_id, th, at, hash) of selected grams."""
     k = min(K, span)
@@ -105,7 +108,7 @@ def window_udf(lengths: tuple[int, ...], k: int):
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
     """doc_id, th, n_words, hits (word positions), items (sorted strings) of every row of docs."""
     body = docs.select("doc_id", text_hash(text).alias("th"), F.col(text).alias("text"))
-    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    count = F.arrow_udf(word_counts, "long")("text")
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("th"), "text").withColumn("n", F.least(F.lit(span).cast("long"), count)).where("n > 0")
     lengths = tuple(sorted(r.n for r in items.select("n").distinct().collect()))  # at most `span` values
     empty = F.array().cast("array<int>"), F.array().cast("array<string>")
