@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import winnow
-from loomline.llm.common import persist, small, table, text_hash
+from loomline.llm.common import persist, sliced, small, table, text_hash
 
 SPAN, K = 10, 5
 #: Bytes that are no part of a word become blanks, A-Z become a-z; bytes from 0x80 are UTF-8 of word characters.
@@ -62,7 +62,7 @@ def fingerprint_batches(span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             ats, found, counts = [], [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import winnow
-from loomline.llm.common import table
+from loomline.llm.common import sliced, table
 
 K, WINDOW = 16, 64
 #: Documents in a doc_id range, and most ranges (their bounds are driver-side numbers).
@@ -61,7 +61,7 @@ PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint stri
 def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document with the row after it; rows come sorted, a sentinel ends each range."""
     last = None
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[list] = [[] for _ in range(7)]
         for at, sentinel, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("range", "sentinel", "doc_id", "text"))):
             own = winnowed(text)
