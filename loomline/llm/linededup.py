@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bounded_groups, components, persist, small, table, text_hash
+from loomline.llm.common import bounded_groups, components, persist, sliced, small, table, text_hash
 
 MIN_CHARS, EDITS = 24, 2
 #: Most lines of one key that are compared in one task; larger keys are cut into blocks.
@@ -39,11 +40,12 @@ def edit_distance_within(a: str, b: str, limit: int) -> bool:
     One 64-bit word follows the band of diagonals around the main one: first down
     the band's lowest diagonal until the last row, then along that row.
     """
-    m, n = len(a), len(b)
-    if n - m > limit:
+    if len(b) - len(a) > limit:
         return False
+    a, b = stripped(a, b)
+    m, n = len(a), len(b)
     if m <= limit:
-        return a == b or n <= limit or distance(a, b) <= limit
+        return n <= limit or distance(a, b) <= limit
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i + WORD_BITS
@@ -55,6 +57,8 @@ def edit_distance_within(a: str, b: str, limit: int) -> bool:
         hp, hn = vn | ~(d0 | vp) & FULL, d0 & vp
         if col < m - limit:
             score += not d0 >> WORD_BITS - 1
+            if score > 2 * limit + n - m:  # the last row's steps cannot bring it back
+                return False
         else:
             score += bool(hp & row) - bool(hn & row)
             row >>= 1
@@ -62,6 +66,17 @@ def edit_distance_within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
+def stripped(a: str, b: str) -> tuple[str, str]:
+    """Both strings without their common start and end."""
+    for part in (lambda s, k: s[:k], lambda s, k: s[len(s) - k :]):
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            k = (low + high + 1) // 2
+            low, high = (k, high) if part(a, k) == part(b, k) else (low, k - 1)
+        a, b = (a[low:], b[low:]) if part("ab", 1) == "a" else (a[: len(a) - low], b[: len(b) - low])
+    return a, b
+
+
 def distance(a: str, b: str) -> int:
     """Edit distance of short strings, row by row."""
     row = list(range(len(b) + 1))
@@ -79,21 +94,38 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def segment_keys(line: Column, edits: int = EDITS) -> Column:
-    """Array of (key, own): own keys name a segment at its place, the others a substring to look up."""
-    n, parts = F.length(line), edits + 1
-    out = []
-    for longer in range(edits + 1):  # this line has `longer` characters more than the line looked for
+def line_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
+    """Hashes of a line's own segments, and of the substrings by which shorter or equal lines are looked up."""
+    raw, n, parts = line.encode("utf-32-le", "surrogatepass"), len(line), edits + 1
+    own, other = [], []
+    for longer in range(parts):  # this line has `longer` characters more than the line looked for
         length = n - longer
         for i in range(parts):
-            begin = F.floor(length * i / parts).cast("int")
-            size = F.floor(length * (i + 1) / parts).cast("int") - begin
-            low, high = max(-i, longer - (edits - i)), min(i, longer + (edits - i))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(length, F.lit(i), F.substring(line, begin + shift + 1, size))
-                inside = (begin + shift >= 0) & (begin + shift + size <= n)
-                out.append(F.when(inside, F.struct(key.alias("key"), F.lit(longer == 0 and shift == 0).alias("own"))))
-    return F.array_compact(F.array(*out))
+            begin, end, seed = length * i // parts, length * (i + 1) // parts, length * parts + i
+            for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1):
+                if begin + shift >= 0 and end + shift <= n:
+                    key = xxhash.xxh3_64_intdigest(raw[4 * (begin + shift) : 4 * (end + shift)], seed)
+                    (other if longer or shift else own).append(key)
+    return own, other
+
+
+def key_batches(edits: int):
+    """mapInArrow function: (line, h1) to (key, own, h1), a row for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 5000):
+            keys, own, counts = [], [], []
+            for line in batch.column("line").to_pylist():
+                mine, other = line_keys(line, edits)
+                keys += mine
+                keys += other
+                own += [True] * len(mine)
+                own += [False] * len(other)
+                counts.append(len(mine) + len(other))
+            h1 = np.repeat(batch.column("h1").to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(own, pa.bool_()), pa.array(h1)], names=["key", "own", "h1"])
+
+    return run
 
 
 def group_links(lines: list[str], own: list[bool], limit: int) -> list[tuple[int, int]]:
@@ -153,11 +185,13 @@ def node_of() -> Column:
 
 def near_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """node, h1, h2, keep_id, root of every line that is linked to a different one."""
-    keyed = lines.select("doc_id", "line", "h1", "h2", F.explode(segment_keys(F.col("line"), edits)).alias("k")).select("doc_id", "line", "h1", "h2", "k.key", "k.own")
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max(F.col("own").cast("int")).alias("own"))
-    shared = persist(shared.where("a <> b and own = 1").select("key"))
-    members = keyed.join(small(shared, BROADCAST_KEYS), "key").groupBy("key", "own", "line", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    members = persist(members.withColumn("node", node_of()))
+    keyed = lines.select("line", "h1").mapInArrow(key_batches(edits), "key long, own boolean, h1 long")
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("own").alias("own"))
+    shared = persist(shared.where("a <> b and own").select("key"))
+    meeting = persist(keyed.join(small(shared, BROADCAST_KEYS), "key").distinct())
+    wanted = persist(meeting.select("h1").distinct())
+    texts = lines.join(small(wanted, BROADCAST_KEYS), "h1").groupBy("line", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    members = persist(meeting.join(persist(texts), "h1").withColumn("node", node_of()))
     grouped = bounded_groups(members.drop("doc_id", "h1", "h2"), ["key"], "line", GROUP_ROWS)
     links = grouped.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "own", "line", "node").mapInArrow(link_batches(edits), "a string, b string")
     roots = components(links, "a", "b")
