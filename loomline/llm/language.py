@@ -32,10 +32,9 @@ UNKNOWN = "und"
 
 def features(word: str) -> list[int]:
     w = word.lower()
-    edged = f"^{w}$"
-    affixes = [crf.slot("p", w[:n]) for n in (1, 2, 3, 4) if n <= len(w)] + [crf.slot("s", w[-n:]) for n in (1, 2, 3, 4) if n <= len(w)]
-    grams = [crf.slot("g", edged[i : i + n]) for n in (2, 3) for i in range(min(len(edged) - n + 1, 10))]
-    return [crf.slot("w", w)] + affixes + grams
+    slot, n = crf.slot, len(w)
+    affixes = [slot("p", w[:k]) for k in (1, 2, 3) if k <= n] + [slot("s", w[-k:]) for k in (1, 2, 3) if k <= n]
+    return [slot("w", w)] + affixes + [slot("g", w[i : i + 3]) for i in range(1, min(n - 3, 7))]
 
 
 def fit(texts: list[str], langs: list[str]) -> tuple[crf.Chain, list[str]] | None:
