@@ -85,7 +85,7 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             say(" ")
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW_TEXT:
             flush()
         if close:
             for i in range(len(stack) - 1, -1, -1):
