@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 
 #: Largest number of narrow rows (a few longs each) that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch: whole texts are long, and a batch of the default 10,000 fills a worker.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table; the session's Arrow batches are kept to BATCH_ROWS from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share; a local one only in local mode."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)

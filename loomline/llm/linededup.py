@@ -200,7 +200,7 @@ def near_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return persist(nodes.join(small(roots), "node"))
 
 
-def line_rules(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_rules(lines: DataFrame, places: DataFrame, edits: int = EDITS) -> DataFrame:
     """h1, h2, keeper, keep_id of every line that occurs again or has near copies.
 
     ``keeper`` says whether the line stands for its class, keep_id in which document.
@@ -208,17 +208,23 @@ def line_rules(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     near = near_classes(lines, edits)
     best = near.groupBy("root").agg(F.min(F.struct(F.col("keep_id").isNull(), "keep_id", "node")).alias("best"))
     near = near.join(best, "root").select("h1", "h2", (F.col("node") == F.col("best.node")).alias("keeper"), F.col("best.keep_id").alias("keep_id"))
-    again = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = again.join(near.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(True).alias("keeper"), "keep_id")
     return persist(again.unionByName(near))
 
 
 def rewrite(texts: pa.Array, drops: pa.Array) -> pa.Array:
     """The text without the given lines and without later copies of a long line in it."""
-    out = []
-    for text, drop in zip(texts.to_pylist(), drops.to_pylist()):
+    kind = pa.struct([("text", pa.string()), ("dropped", pa.list_(pa.int32()))])
+    parts = [rewritten(texts.slice(at, 500), drops.slice(at, 500)) for at in range(0, len(texts), 500)]
+    return pa.concat_arrays([pa.array(p, kind) for p in parts] or [pa.array([], kind)])
+
+
+def rewritten(texts: pa.Array, drops: pa.Array) -> Iterator[dict]:
+    for text, drop in zip(texts, drops):
+        text, drop = text.as_py(), drop.as_py()
         if text is None:
-            out.append({"text": None, "dropped": []})
+            yield {"text": None, "dropped": []}
             continue
         lines, gone, seen = text.split("\n"), set(drop or ()), set()
         for i, line in enumerate(lines):
@@ -226,15 +232,15 @@ def rewrite(texts: pa.Array, drops: pa.Array) -> pa.Array:
                 if line in seen:
                     gone.add(i)
                 seen.add(line)
-        out.append({"text": "\n".join([s for i, s in enumerate(lines) if i not in gone]) if gone else text, "dropped": sorted(gone)})
-    return pa.array(out, pa.struct([("text", pa.string()), ("dropped", pa.list_(pa.int32()))]))
+        yield {"text": "\n".join([s for i, s in enumerate(lines) if i not in gone]) if gone else text, "dropped": sorted(gone)}
 
 
 def dedup(docs: DataFrame, text: str = "text", edits: int = EDITS) -> DataFrame:
     """The rows of docs with ``rewritten``: struct of the text that stays and the lines dropped (from 0)."""
     lines = lines_of(docs, text)
-    rules = line_rules(lines, edits).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "keeper", "keep_id")
-    gone = lines.select("doc_id", "th", "at", "h1", "h2").join(rules, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
+    places = persist(lines.select("doc_id", "th", "at", "h1", "h2"))
+    rules = line_rules(lines, places, edits).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "keeper", "keep_id")
+    gone = places.join(rules, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
     gone = gone.where(~F.col("keeper") | ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     drops = persist(gone.groupBy("doc_id", "th").agg(F.collect_set("at").alias("__drop")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__drop"))
     joined = docs.join(drops, docs.doc_id.eqNullSafe(F.col("__id")) & (text_hash(text) == F.col("__th")), "left")
