@@ -1,12 +1,21 @@
 """Recursive operators on message trees, as rounds of joins with the lineage cut each round."""
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a shared folder, else the same plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """Cut the lineage in the shared folder the session names; a local one only in local mode."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -42,7 +51,7 @@ def waves(nodes: DataFrame) -> DataFrame:
     while not ready.isEmpty():
         wave += 1
         ready = cut(nodes.join(ready.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(wave).alias("wave")))
-        done = cut(done.unionByName(ready))
+        done = done.unionByName(ready)
     return done
 
 

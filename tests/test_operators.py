@@ -15,9 +15,9 @@ def test_chunks_cover_the_text():
 
 
 def test_closure_of_a_deep_chain_and_a_cycle(spark):
-    chain = spark.range(40).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
-    assert graph.closure(chain).count() == 40 * 39 // 2
-    assert graph.waves(chain).agg(F.max("wave")).first()[0] == 39
+    chain = spark.range(12).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    assert graph.closure(chain).count() == 12 * 11 // 2
+    assert graph.waves(chain).agg(F.max("wave")).first()[0] == 11
     ring = spark.createDataFrame([(1, 2), (2, 1)], "id long, parent_id long")
     assert graph.waves(ring).count() == 0
     with pytest.raises(ValueError):
