@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,24 +35,123 @@ def closure(edges: DataFrame) -> DataFrame:
         paths, span = cut(paths.unionByName(more)), span * 2
 
 
+def climb(nodes: DataFrame) -> DataFrame:
+    """(id, depth, flagged, broken, cyclic) of (id, parent_id, flag), by pointers that double each round.
+
+    flagged: the node or an ancestor has its flag set. broken: an ancestor's parent is missing.
+    cyclic: the node is on, or below, a cycle. Every round joins rows of fixed width, so a
+    chain of n nodes costs log2(n) joins of n rows and no list of ancestors is ever built.
+    """
+    known = nodes.select(F.col("id").alias("known"))
+    start = nodes.join(known, F.col("parent_id") == F.col("known"), "left")
+    missing = F.col("parent_id").isNotNull() & F.col("known").isNull()
+    state = cut(start.select("id", F.col("known").alias("up"), F.col("known").isNotNull().cast("long").alias("depth"), F.coalesce("flag", F.lit(False)).alias("flagged"), missing.alias("broken")))
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("up IS NOT NULL").isEmpty():
+            break
+        s, t = state.alias("s"), state.alias("t")
+        either = lambda c: (F.col(f"s.{c}") | F.coalesce(f"t.{c}", F.lit(False))).alias(c)
+        depth = (F.col("s.depth") + F.coalesce("t.depth", F.lit(0))).alias("depth")
+        state = cut(s.join(t, F.col("s.up") == F.col("t.id"), "left").select("s.id", "t.up", depth, either("flagged"), either("broken")))
+    return state.select("id", "depth", "flagged", "broken", F.col("up").isNotNull().alias("cyclic"))
+
+
 def hidden(messages: DataFrame, roots: DataFrame) -> DataFrame:
     """Messages that are, or stand below, a deleted root."""
-    up = closure(messages).select("id", F.col("ancestor").alias("root_id"))
-    return up.unionByName(messages.select("id", F.col("id").alias("root_id"))).join(roots, "root_id", "left_semi").select("id").distinct()
+    marks = roots.select(F.col("root_id").alias("id"), F.lit(True).alias("flag")).distinct()
+    return climb(messages.select("id", "parent_id").join(marks, "id", "left")).where("flagged").select("id")
 
 
 def waves(nodes: DataFrame) -> DataFrame:
-    """(id, wave) in topological order by rounds: a node is ready when its parent is done.
+    """(id, wave) in topological order of (id, parent_id): a node is ready when its parent is done.
 
     Nodes on or below a cycle, or below a missing parent, never become ready and are left out.
     """
-    done = cut(nodes.where("parent_id IS NULL").select("id", F.lit(0).alias("wave")))
-    ready, wave = done, 0
-    while not ready.isEmpty():
-        wave += 1
-        ready = cut(nodes.join(ready.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(wave).alias("wave")))
-        done = done.unionByName(ready)
-    return done
+    found = climb(nodes.select("id", "parent_id", F.lit(False).alias("flag")))
+    return found.where("NOT broken AND NOT cyclic").select("id", F.col("depth").cast("int").alias("wave"))
+
+
+def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, wave) over several relations: edges (id, needs); a node is ready when all it needs is done.
+
+    One round a wave; nodes on or behind a cycle or a missing need are left out.
+    """
+    left = cut(nodes.select("id").join(edges.groupBy("id").agg(F.count(F.lit(1)).alias("open")), "id", "left").fillna(0, ["open"]))
+    done, wave = None, 0
+    while True:
+        ready = cut(left.where("open = 0").select("id"))
+        if ready.isEmpty():
+            return done if done is not None else ready.select("id", F.lit(0).alias("wave"))
+        done = ready.select("id", F.lit(wave).alias("wave")) if done is None else done.unionByName(ready.select("id", F.lit(wave).alias("wave")))
+        met = edges.join(ready.select(F.col("id").alias("needs")), "needs").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+        rest = left.where("open > 0").join(met, "id", "left")
+        left, wave = cut(rest.select("id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))), wave + 1
+
+
+def paths(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(leaf, id, depth) from every asked leaf up to its root, the leaf itself at depth 0; cycles raise.
+
+    Jump tables of 1, 2, 4 … steps are made once; each path is then filled from the longest
+    jump down, so only the asked paths are written out.
+    """
+    lifts = [cut(nodes.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up")))]
+    most = lifts[0].count().bit_length() + 1
+    while not lifts[-1].isEmpty():
+        if len(lifts) > most:
+            raise ValueError("the parent relation has a cycle")
+        a, b = lifts[-1].alias("a"), lifts[-1].alias("b")
+        lifts.append(cut(a.join(b, F.col("a.up") == F.col("b.id")).select("a.id", "b.up")))
+    present = nodes.select("id")
+    found = leaves.select("leaf").join(present.withColumnRenamed("id", "leaf"), "leaf", "left_semi").select("leaf", F.col("leaf").alias("id"), F.lit(0).alias("depth"))
+    for k in reversed(range(len(lifts) - 1)):
+        found = cut(found.unionByName(found.join(lifts[k], "id").select("leaf", F.col("up").alias("id"), (F.col("depth") + 2**k).alias("depth"))))
+    return found.join(present, "id", "left_semi").select("leaf", "id", "depth")
+
+
+def window(path: DataFrame, size: int) -> DataFrame:
+    """The newest ``size`` nodes of each path, oldest first as position 0 …, and the next older node as cursor."""
+    near = path.where(F.col("depth") <= size)
+    by = near.groupBy("leaf").agg(F.least(F.max("depth"), F.lit(size - 1)).alias("last"), F.max(F.when(F.col("depth") == size, F.col("id"))).alias("cursor"))
+    return near.where(F.col("depth") < size).join(by, "leaf").select("leaf", "id", (F.col("last") - F.col("depth")).alias("position"), "cursor")
+
+
+def retained_leaf(path: DataFrame, gone: DataFrame) -> DataFrame:
+    """(leaf, moved_to): each active leaf moves to its closest ancestor-or-self not in ``gone``; null if none is left."""
+    kept = path.join(gone.select("id"), "id", "left_anti").groupBy("leaf").agg(F.min_by("id", "depth").alias("moved_to"))
+    return path.select("leaf").distinct().join(kept, "leaf", "left")
+
+
+def is_ancestor(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (ancestor, id) with ``holds``: true where the first stands above the second."""
+    up = paths(pairs.select(F.col("id").alias("leaf")).distinct(), nodes).where("depth > 0").select(F.col("leaf").alias("id"), F.col("id").alias("ancestor"), F.lit(True).alias("found"))
+    return pairs.join(up, ["id", "ancestor"], "left").select("ancestor", "id", F.coalesce("found", F.lit(False)).alias("holds"))
+
+
+def work_queue(items: DataFrame) -> DataFrame:
+    """(id, state) of pending items of (id, parent_id, done): ready, waiting, missing_parent or cycle."""
+    marks = climb(items.select("id", "parent_id", F.lit(False).alias("flag"))).select("id", "cyclic")
+    parents = items.select(F.col("id").alias("p_id"), F.col("done").alias("p_done"))
+    j = items.where("NOT done").join(parents, F.col("parent_id") == F.col("p_id"), "left").join(marks, "id")
+    state = (
+        F.when(F.col("parent_id").isNull() | F.col("p_done"), "ready").when(F.col("p_id").isNull(), "missing_parent")
+        .when(F.col("cyclic"), "cycle").otherwise("waiting")
+    )
+    return j.select("id", state.alias("state"))
+
+
+def candidates(messages: DataFrame) -> DataFrame:
+    """(parent_id, id, position): the answers to one prompt in id order."""
+    w = Window.partitionBy("parent_id").orderBy("id")
+    return messages.where("parent_id IS NOT NULL").select("parent_id", "id", F.row_number().over(w).alias("position"))
+
+
+def prefix_roles(path: DataFrame) -> DataFrame:
+    """(leaf, n, roles) of path rows (leaf, id, role): their number and their roles root first.
+
+    One row's list is one path, the unit a summary reads.
+    """
+    steps = F.array_sort(F.collect_list(F.struct("id", "role")))
+    return path.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(steps, lambda x: x.role), ">").alias("roles"))
 
 
 def children(messages: DataFrame, roots: DataFrame) -> DataFrame:

@@ -5,30 +5,12 @@ from pyspark.sql import functions as F
 
 from loomline.functions import chunking
 from loomline.operators import audits, graph, search
+from loomline.plans.registry import MESSAGES, QUERIES, SQL, UP, query
 from loomline.sources import archive
 from loomline.sources.archive import read
 from loomline.streaming import activity
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    """Register the function as a query under its name, with the SQL it must agree with."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-MESSAGES = """m AS (SELECT conv_id * 1000 + turn AS id, conv_id AS thread_id, turn, role, text,
-  CASE WHEN turn - CASE WHEN turn % 5 = 4 THEN 2 ELSE 1 END >= 0 THEN conv_id * 1000 + turn - CASE WHEN turn % 5 = 4 THEN 2 ELSE 1 END END AS parent_id FROM conversations)"""
-UP = f"""WITH RECURSIVE {MESSAGES}, c AS (SELECT id, parent_id AS ancestor, 1 AS depth FROM m WHERE parent_id IS NOT NULL
-  UNION ALL SELECT c.id, m.parent_id, depth + 1 FROM c JOIN m ON c.ancestor = m.id WHERE m.parent_id IS NOT NULL)"""
+__all__ = ["QUERIES", "SQL"]
 
 
 @query("SELECT conv_id AS id, conv_id % 5 = 0 AS pinned, conv_id % 7 = 0 AS archived, max(turn) AS activity, count(*) AS n_messages FROM conversations GROUP BY conv_id ORDER BY pinned DESC, activity DESC, id LIMIT 50")
@@ -132,9 +114,7 @@ def ancestor_paths(spark, sf):
 @query(UP + ", l AS (SELECT max(id) AS leaf FROM m GROUP BY thread_id) SELECT leaf, ancestor AS id, depth FROM c JOIN l ON c.id = l.leaf UNION ALL SELECT leaf, leaf, 0 FROM l")
 def active_path(spark, sf):
     m = archive.messages(spark, sf)
-    leaf = m.groupBy("thread_id").agg(F.max("id").alias("leaf")).select("leaf")
-    up = graph.closure(m.select("id", "parent_id"))
-    return leaf.join(up, leaf.leaf == up.id).select("leaf", F.col("ancestor").alias("id"), "depth").unionByName(leaf.select("leaf", F.col("leaf").alias("id"), F.lit(0).alias("depth")))
+    return graph.paths(m.groupBy("thread_id").agg(F.max("id").alias("leaf")), m)
 
 
 @query(UP + ", r AS (SELECT id FROM m WHERE thread_id % 6 = 0 AND turn = 1) SELECT DISTINCT id FROM (SELECT id, ancestor FROM c UNION ALL SELECT id, id FROM m) WHERE ancestor IN (SELECT id FROM r)")
@@ -307,3 +287,6 @@ def streaming_activity(spark, sf):
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18, 2)))::DOUBLE AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_extension(spark, sf):
     return read(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty"))
+
+
+from loomline.plans import imports, trees  # noqa: E402,F401  (each registers its queries)
