@@ -40,3 +40,80 @@ def reconcile(references: DataFrame, catalogue: DataFrame, files: DataFrame) ->
         .when(F.col("r").isNull() & F.col("f").isNotNull(), "orphan_blob").when(F.col("c") != F.col("f"), "size_mismatch")
     )
     return j.select("digest", finding.alias("finding")).where("finding IS NOT NULL")
+
+
+def dangling(owners: DataFrame, reference: str, targets: DataFrame, finding: str) -> DataFrame:
+    """(id, finding) of owners whose set reference names no target; targets: id."""
+    there = targets.select(F.col("id").alias("target")).distinct()
+    return owners.where(F.col(reference).isNotNull()).join(there, F.col(reference) == F.col("target"), "left_anti").select("id", F.lit(finding).alias("finding"))
+
+
+def out_of_scope(owners: DataFrame, reference: str, targets: DataFrame, scope: str, finding: str) -> DataFrame:
+    """(id, finding) of owners whose set reference names no target of the same scope."""
+    there = targets.select(F.col("id").alias("target"), F.col(scope).alias("target_scope")).distinct()
+    same = (F.col(reference) == F.col("target")) & (F.col(scope) == F.col("target_scope"))
+    return owners.where(F.col(reference).isNotNull()).join(there, same, "left_anti").select("id", F.lit(finding).alias("finding"))
+
+
+def unmatched_output(messages: DataFrame, generations: DataFrame) -> DataFrame:
+    """(id, finding) of messages (id, generation_id) whose generation is absent or produced another message (output_id)."""
+    g = generations.select(F.col("id").alias("g"), "output_id")
+    wrong = messages.where("generation_id IS NOT NULL").join(g, (F.col("generation_id") == F.col("g")) & (F.col("id") == F.col("output_id")), "left_anti")
+    return wrong.select("id", F.lit("generation_link_mismatch").alias("finding"))
+
+
+def context_chain(contexts: DataFrame) -> DataFrame:
+    """(id, finding) of contexts (id, version, previous_id): a root is version 1, any other one more than its previous."""
+    before = contexts.select(F.col("id").alias("p"), F.col("version").alias("p_version"))
+    j = contexts.join(before, F.col("previous_id") == F.col("p"), "left")
+    sound = F.when(F.col("previous_id").isNull(), F.col("version") == 1).otherwise(F.coalesce(F.col("version") == F.col("p_version") + 1, F.lit(False)))
+    return j.where(~sound).select("id", F.lit("context_chain_break").alias("finding"))
+
+
+def polymorphic(owners: DataFrame, targets: dict[str, DataFrame], finding: str) -> DataFrame:
+    """(id, finding) of owners (id, kind, target_id) whose target of that kind is absent; unknown kinds count as absent."""
+    there = None
+    for kind, df in targets.items():
+        part = df.select(F.lit(kind).alias("t_kind"), F.col("id").alias("t_id"))
+        there = part if there is None else there.unionByName(part)
+    return owners.join(there, (F.col("kind") == F.col("t_kind")) & (F.col("target_id") == F.col("t_id")), "left_anti").select("id", F.lit(finding).alias("finding"))
+
+
+def affected(log: DataFrame, targets: DataFrame, most: int = 256) -> DataFrame:
+    """(id, finding) of log rows (id, affects: JSON list of numbers): malformed lists, and rows naming an absent target.
+
+    As a check the first ``most`` references of a row are read, as the format bounds them.
+    """
+    parsed = log.withColumn("refs", F.from_json("affects", "array<bigint>"))
+    is_list = F.coalesce(F.expr("schema_of_variant(try_parse_json(affects))").startswith("ARRAY"), F.lit(False))
+    refs = parsed.where(is_list).select("id", F.explode(F.slice("refs", 1, most)).alias("target"))
+    lost = refs.join(targets.select(F.col("id").alias("target")).distinct(), "target", "left_anti").select("id").distinct().select("id", F.lit("sync_affects_missing").alias("finding"))
+    return parsed.where(~is_list).select("id", F.lit("sync_affects_malformed").alias("finding")).unionByName(lost)
+
+
+def uncovered(records: DataFrame, log: DataFrame) -> DataFrame:
+    """Records (id) that no log row's affects (JSON list) names."""
+    seen = log.select(F.explode(F.from_json("affects", "array<bigint>")).alias("id")).distinct()
+    return records.select("id").join(seen, "id", "left_anti")
+
+
+def rehash(catalogue: DataFrame, contents: DataFrame) -> DataFrame:
+    """(id, finding) of catalogued (id, digest, bytes) against contents (id, content): missing_blob, size_mismatch, hash_mismatch."""
+    c = contents.select(F.col("id").alias("c"), F.sha2("content", 256).alias("c_digest"), F.octet_length("content").alias("c_bytes"))
+    j = catalogue.join(c, F.col("id") == F.col("c"), "left")
+    finding = F.when(F.col("c").isNull(), "missing_blob").when(F.col("c_bytes") != F.col("bytes"), "size_mismatch").when(F.col("c_digest") != F.col("digest"), "hash_mismatch")
+    return j.select("id", finding.alias("finding")).where("finding IS NOT NULL")
+
+
+def cleanup_refusal(requests: DataFrame) -> DataFrame:
+    """(id, refusal) of clean-up requests with boolean columns; the first reason that holds, null where the blob may go."""
+    reasons = ("stale", "not_a_finding", "referenced", "protected", "in_use", "missing")
+    refusal = F.coalesce(*[F.when(F.col(r), r) for r in reasons])
+    return requests.select("id", refusal.alias("refusal"))
+
+
+def outcome_counts(findings: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(finding, outcome, n) of every known kind of kinds (finding, outcome): ``ok`` where none was found."""
+    n = findings.groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
+    j = F.broadcast(kinds).join(n, "finding", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return j.select("finding", F.when(F.col("n") == 0, "ok").otherwise(F.col("outcome")).alias("outcome"), "n")
