@@ -1,10 +1,16 @@
 """Lexical and vector search, rank fusion and retrieval measures."""
 
+import functools
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 TOKEN = "[a-z0-9_]+"
+WORD = re.compile(r"\w+")
 
 
 def tokens(text: Column) -> Column:
@@ -85,3 +91,134 @@ def measures(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """recall at k and reciprocal rank of every query; relevant: query_id, vec_id."""
     hits = relevant.join(ranking.where(F.col("rank") <= k), ["query_id", "vec_id"], "left").groupBy("query_id")
     return hits.agg(F.round(F.count("rank") / F.count(F.lit(1)), 6).alias("recall"), F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"))
+
+
+def parse_query(query: str, most_chars: int = 4096, most_terms: int = 64) -> list[list[str]]:
+    """The phrases of a query, each a list of words; quotes group words, terms without letter or digit are dropped."""
+    if len(query) > most_chars:
+        raise ValueError(f"a query has at most {most_chars} characters")
+    text = query.replace("\0", " ")
+    if re.search(r'(?:^|\s)"[^"]*$', re.sub(r'(?<!\S)"[^"]*"', " ", text)):
+        raise ValueError("close the quoted phrase")
+    raw = [m.group(1) if m.group(1) is not None else m.group(2) for m in re.finditer(r'(?<!\S)"([^"]*)"|(\S+)', text)]
+    phrases = [re.findall(TOKEN, fold(t)) for t in raw if any(c.isalnum() for c in t)]
+    if len(phrases) > most_terms:
+        raise ValueError(f"a query has at most {most_terms} terms")
+    return [p for p in phrases if p]
+
+
+def fold(text: str) -> str:
+    """Lower case without diacritics."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+
+
+def phrase_count(words: Column, phrase: list[str]) -> Column:
+    """How often the words of a phrase follow each other in an array of words."""
+    if len(phrase) == 1:
+        return F.size(F.filter(words, lambda x: x == phrase[0]))
+    want = F.array(*[F.lit(p) for p in phrase])
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words)))
+    return F.when(F.size(words) < len(phrase), 0).otherwise(F.size(F.filter(starts, lambda i: F.slice(words, i, len(phrase)) == want)))
+
+
+def lexical(docs: DataFrame, phrases: list[list[str]], k: int, columns: dict[str, float], every: bool = True) -> DataFrame:
+    """(id, score) of the k best rows by BM25 over several weighted columns; rows hold every phrase, or any.
+
+    A column's weight multiplies its counts; the length is that of all columns. No phrases: no rows.
+    """
+    if not phrases:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    words = docs.select("id", *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
+    total = lambda p, weighted: sum((phrase_count(F.col(c), p) * (w if weighted else 1) for c, w in columns.items()), F.lit(0))
+    length = sum((F.size(c) for c in columns), F.lit(0)).alias("len")
+    counts = words.select("id", length, *[total(p, True).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    found = [F.col(f"tf{i}") > 0 for i in range(len(phrases))]
+    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.sum(h.cast("long")).alias(f"df{i}") for i, h in enumerate(found)])
+    keep = functools.reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), found)
+    score = F.lit(0.0)
+    for i in range(len(phrases)):
+        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    both = counts.where(keep).crossJoin(F.broadcast(stats))  # one row of statistics
+    return both.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def filtered_knn(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, candidates: int, k: int, first: bool = False) -> DataFrame:
+    """Nearest neighbours among ``allowed`` (vec_id). The filter follows the candidates, so fewer than k may come back; ``first`` filters before."""
+    if first:
+        return knn(vectors.join(allowed, "vec_id", "left_semi"), queries, k)
+    kept = knn(vectors, queries, candidates).drop("rank").join(allowed, "vec_id", "left_semi")
+    return ranked(kept, "distance", k)
+
+
+def collapse(ranking: DataFrame, owners: DataFrame) -> DataFrame:
+    """(query_id, owner_id, rank): each owner by its best item; owners: vec_id, owner_id."""
+    return ranking.join(owners, "vec_id").groupBy("query_id", "owner_id").agg(F.min("rank").alias("rank"))
+
+
+def one_vector_a_digest(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Inputs to embed, one a digest (digest, vector_id the smallest chunk id), and links (id, vector_id) of all chunks."""
+    vectors = chunks.groupBy("digest").agg(F.min("id").alias("vector_id"))
+    return vectors, chunks.join(vectors, "digest").select("id", "vector_id")
+
+
+def semantic_score(ranking: DataFrame, constant: int = 60) -> DataFrame:
+    return ranking.withColumn("score", F.round(1 / (F.col("rank") + constant), 9))
+
+
+def search(docs: DataFrame, vectors: DataFrame, mode: str, query: str, vector: DataFrame | None, k: int = 20, pool: int = 256) -> DataFrame:
+    """(id, score, found, mode_used): exact and best_lexical by words, semantic by vector, hybrid by both fused."""
+    phrases = parse_query(query)
+    if mode == "semantic":
+        near = semantic_score(knn(vectors, vector, min(k, pool)))
+        return near.select(F.col("vec_id").alias("id"), "score", F.lit("second").alias("found"), F.lit("semantic").alias("mode_used"))
+    words = lexical(docs, phrases, pool, {"text": 1.0, "context": 2.0})
+    if mode == "exact" or vector is None:
+        used = "exact" if mode == "exact" else "best_lexical"
+        return words.orderBy(F.desc("score"), "id").limit(k).select("id", "score", F.lit("first").alias("found"), F.lit(used).alias("mode_used"))
+    one = words.select(F.lit(0).alias("query_id"), F.col("id").alias("vec_id"), (-F.col("score")).alias("s"))
+    both = fuse(ranked(one, "s", pool), knn(vectors, vector.withColumn("query_id", F.lit(0)), pool))
+    return both.orderBy(F.desc("score"), "vec_id").limit(k).select(F.col("vec_id").alias("id"), "score", "found", F.lit("hybrid").alias("mode_used"))
+
+
+def excerpt(text: str, phrases: list[list[str]], size: int = 512, lead: int = 96) -> tuple[str, list[tuple[int, int]]]:
+    """An excerpt from ``lead`` units before the first match and the matches in it, in UTF-16 units."""
+    words = [(m.start(), m.end(), fold(m.group())) for m in WORD.finditer(text)]
+    names = [w[2] for w in words]
+    spans = sorted({(words[i][0], words[i + len(p) - 1][1]) for p in phrases for i in range(len(words) - len(p) + 1) if names[i : i + len(p)] == p})
+    joined: list[tuple[int, int]] = []
+    for a, b in spans:
+        if joined and a < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    units = text.encode("utf-16-le", "surrogatepass")
+    wide, at, here = [], 0, 0
+    for edge in (x for span in joined for x in span):
+        here += len(text[at:edge].encode("utf-16-le", "surrogatepass")) // 2
+        wide.append(here)
+        at = edge
+    matches = list(zip(wide[::2], wide[1::2]))
+    low = lambda i: 0xDC00 <= int.from_bytes(units[2 * i : 2 * i + 2], "little") <= 0xDFFF
+    start = max(0, (matches[0][0] if matches else 0) - lead)
+    end = min(len(units) // 2, start + size)
+    start -= start > 0 and low(start)
+    end -= end < len(units) // 2 and low(end)
+    before, after = "…" if start else "", "…" if end < len(units) // 2 else ""
+    shown = [(max(start, a) - start + len(before), min(end, b) - start + len(before)) for a, b in matches if b > start and a < end]
+    return before + units[2 * start : 2 * end].decode("utf-16-le", "surrogatepass") + after, shown
+
+
+def excerpts(hits: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """(id, excerpt, highlights) of hits (id, text)."""
+
+    @F.pandas_udf("excerpt string, highlights array<struct<start: int, end: int>>")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        found = [excerpt(t or "", phrases) for t in texts]
+        return pd.DataFrame({"excerpt": [t for t, _ in found], "highlights": [[{"start": a, "end": b} for a, b in h] for _, h in found]})
+
+    return hits.select("id", cut("text").alias("x")).select("id", "x.excerpt", "x.highlights")

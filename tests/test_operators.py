@@ -39,3 +39,37 @@ def test_sign_bits(spark):
 def test_replay(spark):
     log = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, None)], "operation_id int, digest string")
     assert {r.operation_id: r.outcome for r in audits.replay(log).collect()} == {1: "replayed", 2: "conflict", 3: "stored"}
+
+
+def test_query_parser():
+    assert search.parse_query('Über "of The" -- x_1\0y') == [["uber"], ["of", "the"], ["x_1"], ["y"]]
+    assert search.parse_query("") == []
+    for bad in ('an "open phrase', "x" * 4097, "a " * 65):
+        with pytest.raises(ValueError):
+            search.parse_query(bad)
+
+
+def test_excerpts_count_utf16_units(spark):
+    assert search.excerpt("a 😀 cat", [["cat"]]) == ("a 😀 cat", [(5, 8)])
+    text, marks = search.excerpt("😀" * 100 + " cat " + "x" * 600, [["cat"]])
+    assert text[0] == text[-1] == "…" and len(text.encode("utf-16-le")) // 2 <= 515
+    a, b = marks[0]
+    assert text.encode("utf-16-le")[2 * a : 2 * b].decode("utf-16-le") == "cat"
+    assert search.excerpt("nothing", [["cat"]]) == ("nothing", []) and search.excerpt("", []) == ("", [])
+    hits = spark.createDataFrame([(1, "the cat"), (2, None)], "id int, text string")
+    assert {r.id: len(r.highlights) for r in search.excerpts(hits, [["cat"]]).collect()} == {1: 1, 2: 0}
+
+
+def test_code_flags_carry_over_chunks():
+    text = "intro\n```py\ncode\nmore code\n```\nafter it\n"
+    cut = [(0, 6), (6, 17), (17, 27), (27, 31), (31, len(text))]
+    assert chunking.code_flags(text, cut) == [False, True, True, True, False]
+    assert chunking.code_flags("~~~\n```\nx\n~~~~\ny", [(0, 8), (8, 15), (15, 16)]) == [True, True, False]
+
+
+def test_phrases_and_absent_terms(spark):
+    docs = spark.createDataFrame([(1, "a b a b", None), (2, "b a", "a b"), (3, None, None)], "id int, text string, context string")
+    both = {"text": 1.0, "context": 2.0}
+    assert {r.id for r in search.lexical(docs, [["a", "b"]], 9, both).collect()} == {1, 2}
+    assert search.lexical(docs, [["a"], ["z"]], 9, both).count() == 0 and search.lexical(docs, [["a"], ["z"]], 9, both, every=False).count() == 2
+    assert search.lexical(docs, [], 9, both).count() == 0
