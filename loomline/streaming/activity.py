@@ -1,7 +1,9 @@
 """Streaming upkeep of per-user activity over the event log."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def events(spark: SparkSession, folder: str, schema, files: str = "events*.parquet") -> DataFrame:
@@ -17,3 +19,29 @@ def activity(stream: DataFrame) -> DataFrame:
 def windowed(stream: DataFrame, late: str = "10 minutes", size: str = "1 day") -> DataFrame:
     """Counts by event type and tumbling window, bounded by a watermark (an addition of this engine)."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sessions(stream: DataFrame, late: str = "10 minutes", gap: str = "1 hour") -> DataFrame:
+    """Sessions of each user, ended by a gap without events (an addition of this engine)."""
+    return stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sequence_checks(stream: DataFrame) -> DataFrame:
+    """(stream, sequence, outcome) of a log (stream, sequence): appended, repeated, or gap.
+
+    The state of a stream is the last sequence appended, one long. A batch's rows of a stream are
+    taken in sequence order; a row that leaves a gap is reported and not appended.
+    """
+
+    def check(key, frames, state):
+        last = state.get[0] if state.exists else None
+        for sequence in sorted(s for f in frames for s in f["sequence"]):
+            if last is None or sequence == last + 1:
+                outcome, last = "appended", sequence
+            else:
+                outcome = "repeated" if sequence <= last else "gap"
+            yield pd.DataFrame({"stream": [key[0]], "sequence": [sequence], "outcome": [outcome]})
+        if last is not None:
+            state.update((int(last),))
+
+    return stream.groupBy("stream").applyInPandasWithState(check, "stream long, sequence long, outcome string", "last long", "append", GroupStateTimeout.NoTimeout)
