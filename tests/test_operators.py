@@ -73,3 +73,22 @@ def test_phrases_and_absent_terms(spark):
     assert {r.id for r in search.lexical(docs, [["a", "b"]], 9, both).collect()} == {1, 2}
     assert search.lexical(docs, [["a"], ["z"]], 9, both).count() == 0 and search.lexical(docs, [["a"], ["z"]], 9, both, every=False).count() == 2
     assert search.lexical(docs, [], 9, both).count() == 0
+
+
+def test_climb_marks_broken_cyclic_and_flagged(spark):
+    rows = [(1, None, False), (2, 1, True), (3, 2, False), (4, 99, False), (5, 4, False), (6, 7, False), (7, 6, False), (8, 7, None)]
+    found = {r.id: (r.depth, r.flagged, r.broken, r.cyclic) for r in graph.climb(spark.createDataFrame(rows, "id int, parent_id int, flag boolean")).collect()}
+    assert found[1] == (0, False, False, False) and found[3] == (2, True, False, False)
+    assert found[5][2] and found[4][2] and not found[5][3]
+    assert all(found[i][3] for i in (6, 7, 8)) and not found[8][1]
+
+
+def test_work_queue_and_paths(spark):
+    items = spark.createDataFrame([(1, None, False), (2, 1, False), (3, 99, False), (4, 5, False), (5, 4, False), (6, 7, False), (7, None, True)], "id int, parent_id int, done boolean")
+    assert {r.id: r.state for r in graph.work_queue(items).collect()} == {1: "ready", 2: "waiting", 3: "missing_parent", 4: "cycle", 5: "cycle", 6: "ready"}
+    with pytest.raises(ValueError):
+        graph.paths(items.select("id").withColumnRenamed("id", "leaf"), items)
+    chain = spark.range(13).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    path = graph.paths(spark.range(12, 13).withColumnRenamed("id", "leaf"), chain)
+    assert {(r.id, r.depth) for r in path.collect()} == {(12 - d, d) for d in range(13)}
+    assert graph.paths(spark.range(0).withColumnRenamed("id", "leaf"), chain).count() == 0
