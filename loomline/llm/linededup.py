@@ -95,7 +95,10 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
-    """Hashes of a line's own segments, and of the substrings by which shorter or equal lines are looked up."""
+    """Hashes of a line's own segments, and of the substrings by which shorter or equal lines are looked up.
+
+    A hash that is already an own one (a line that repeats itself) is not listed again.
+    """
     raw, n, parts = line.encode("utf-32-le", "surrogatepass"), len(line), edits + 1
     own, other = [], []
     for longer in range(parts):  # this line has `longer` characters more than the line looked for
@@ -106,24 +109,26 @@ def line_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
                 if begin + shift >= 0 and end + shift <= n:
                     key = xxhash.xxh3_64_intdigest(raw[4 * (begin + shift) : 4 * (end + shift)], seed)
                     (other if longer or shift else own).append(key)
-    return own, other
+    return own, list(set(other).difference(own))
 
 
 def key_batches(edits: int):
-    """mapInArrow function: (line, h1) to (key, own, h1), a row for each key."""
+    """mapInArrow function: (line, id) to (key, look), a row for each key.
+
+    ``look`` is ~id, so negative, where the key is a segment of the line's own, and
+    id where the line looks others up: one long says which line and in which part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 5000):
-            keys, own, counts = [], [], []
+            keys, counts = [], []
             for line in batch.column("line").to_pylist():
-                mine, other = line_keys(line, edits)
-                keys += mine
-                keys += other
-                own += [True] * len(mine)
-                own += [False] * len(other)
-                counts.append(len(mine) + len(other))
-            h1 = np.repeat(batch.column("h1").to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(own, pa.bool_()), pa.array(h1)], names=["key", "own", "h1"])
+                for part in line_keys(line, edits):
+                    keys += part
+                    counts.append(len(part))
+            ids = batch.column("id").to_numpy()
+            look = np.repeat(np.column_stack([~ids, ids]).ravel(), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(look)], names=["key", "look"])
 
     return run
 
@@ -185,14 +190,16 @@ def node_of() -> Column:
 
 def near_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """node, h1, h2, keep_id, root of every line that is linked to a different one."""
-    keyed = lines.select("line", "h1").mapInArrow(key_batches(edits), "key long, own boolean, h1 long")
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("own").alias("own"))
-    shared = persist(shared.where("a <> b and own").select("key"))
+    lines = lines.withColumn("id", F.shiftrightunsigned("h1", 1))
+    keyed = lines.select("line", "id").mapInArrow(key_batches(edits), "key long, look long")
+    shared = keyed.groupBy("key").agg(F.min("look").alias("a"), F.max("look").alias("b"))
+    shared = persist(shared.where("a < 0 and a <> b").select("key"))  # a line owns the key, and another has it
     meeting = persist(keyed.join(small(shared, BROADCAST_KEYS), "key").distinct())
-    wanted = persist(meeting.select("h1").distinct())
-    texts = lines.join(small(wanted, BROADCAST_KEYS), "h1").groupBy("line", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    members = persist(meeting.join(persist(texts), "h1").withColumn("node", node_of()))
-    grouped = bounded_groups(members.drop("doc_id", "h1", "h2"), ["key"], "line", GROUP_ROWS)
+    meeting = meeting.select("key", (F.col("look") < 0).alias("own"), F.when(F.col("look") < 0, F.bitwise_not("look")).otherwise(F.col("look")).alias("id"))
+    wanted = persist(meeting.select("id").distinct())
+    texts = lines.join(small(wanted, BROADCAST_KEYS), "id").groupBy("line", "id", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    members = persist(meeting.join(persist(texts), "id").withColumn("node", node_of()))
+    grouped = bounded_groups(members.drop("doc_id", "id", "h1", "h2"), ["key"], "line", GROUP_ROWS)
     links = grouped.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "own", "line", "node").mapInArrow(link_batches(edits), "a string, b string")
     roots = components(links, "a", "b")
     roots = persist(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
