@@ -17,10 +17,10 @@ as an empty text; an empty table gives no rows.
 """
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ MIN_CHARS, EDITS = 24, 2
 GROUP_ROWS = 256
 #: Most shared keys (a long each) that may be broadcast to the second look at the lines.
 BROADCAST_KEYS = 1_000_000
+#: Code points that are hashed at once, besides a longer line; the base of the hash (any odd number).
+SLICE_CHARS, BASE = 1 << 18, 0x2545F4914F6CDD1D
 WORD_BITS, FULL = 64, (1 << 64) - 1
 
 
@@ -94,22 +96,56 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def line_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
-    """Hashes of a line's own segments, and of the substrings by which shorter or equal lines are looked up.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each number spread over 64 bits; zero does not stay zero."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** k and BASE ** -k modulo 2 ** 64 for k below n."""
+    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
 
-    A hash that is already an own one (a line that repeats itself) is not listed again.
+def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, a row for each line: those of its own segments, and of the substrings by which
+    shorter or equal lines are looked up; which columns are own; which hashes there are.
+
+    All substrings of a batch come from one running polynomial over its code points.
+    Equal substrings have equal hashes; unequal ones that collide cost a comparison
+    only. A hash that is an own one already (a line that repeats itself) is left out.
     """
-    raw, n, parts = line.encode("utf-32-le", "surrogatepass"), len(line), edits + 1
-    own, other = [], []
-    for longer in range(parts):  # this line has `longer` characters more than the line looked for
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    up, down = powers(1 << max(SLICE_CHARS, len(chars)).bit_length())
+    total = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(mixed(chars) * up[: len(chars)], out=total[1:])
+    n = np.array([len(s) for s in lines], np.int64)
+    start, parts = np.cumsum(n) - n, edits + 1
+    keys, own, valid = [], [], []
+    for longer in range(parts):  # the line has `longer` characters more than the line looked for
         length = n - longer
         for i in range(parts):
-            begin, end, seed = length * i // parts, length * (i + 1) // parts, length * parts + i
-            for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1):
-                if begin + shift >= 0 and end + shift <= n:
-                    key = xxhash.xxh3_64_intdigest(raw[4 * (begin + shift) : 4 * (end + shift)], seed)
-                    (other if longer or shift else own).append(key)
-    return own, list(set(other).difference(own))
+            begin, end, seed = length * i // parts, length * (i + 1) // parts, mixed((length * parts + i).astype(np.uint64))
+            first = None
+            for shift in sorted(range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1), key=abs):
+                fits = (length >= 0) & (begin + shift >= 0) & (end + shift <= n)
+                low, high = (np.where(fits, start + x + shift, 0) for x in (begin, end))
+                key = mixed((total[high] - total[low]) * down[low] + seed)
+                own.append(not longer and not shift)
+                if own[-1]:
+                    first = key
+                keys.append(key)
+                valid.append(fits if own[-1] or first is None else fits & (key != first))
+    return np.column_stack(keys).view(np.int64), np.array(own), np.column_stack(valid)
+
+
+def line_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
+    """One line's own hashes, and the others it is looked up by."""
+    keys, own, valid = keys_of([line], edits)
+    return keys[0][own & valid[0]].tolist(), keys[0][~own & valid[0]].tolist()
 
 
 def key_batches(edits: int):
@@ -121,14 +157,14 @@ def key_batches(edits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 5000):
-            keys, counts = [], []
-            for line in batch.column("line").to_pylist():
-                for part in line_keys(line, edits):
-                    keys += part
-                    counts.append(len(part))
-            ids = batch.column("id").to_numpy()
-            look = np.repeat(np.column_stack([~ids, ids]).ravel(), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(look)], names=["key", "look"])
+            lines, ids = batch.column("line").to_pylist(), batch.column("id").to_numpy()
+            ends = np.cumsum([len(s) for s in lines]) // SLICE_CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(lines)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low < high:
+                    keys, own, valid = keys_of(lines[low:high], edits)
+                    look = np.where(own, ~ids[low:high, None], ids[low:high, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[valid]), pa.array(look[valid])], names=["key", "look"])
 
     return run
 
