@@ -157,3 +157,18 @@ def prefix_roles(path: DataFrame) -> DataFrame:
 def children(messages: DataFrame, roots: DataFrame) -> DataFrame:
     """Visible children: (parent_id, id) without deleted roots."""
     return messages.where("parent_id IS NOT NULL").join(roots, messages.id == roots.root_id, "left_anti").select("parent_id", "id")
+
+
+def unpaired(path: DataFrame, uses: DataFrame) -> DataFrame:
+    """(leaf, id, finding) where a prefix cuts a tool call from its result.
+
+    path: (leaf, id, depth); uses: (id, call_id, result), result false for the call itself.
+    open_call: no result of it further down the prefix. orphan_result: no call above it.
+    """
+    steps = path.join(uses, "id").select("leaf", "call_id", "id", "depth", "result")
+    span = steps.groupBy("leaf", "call_id").agg(F.max(F.when(~F.col("result"), F.col("depth"))).alias("called"), F.min(F.when(F.col("result"), F.col("depth"))).alias("answered"))
+    finding = (
+        F.when(~F.col("result") & (F.col("answered").isNull() | (F.col("answered") >= F.col("depth"))), "open_call")
+        .when(F.col("result") & (F.col("called").isNull() | (F.col("called") <= F.col("depth"))), "orphan_result")
+    )
+    return steps.join(span, ["leaf", "call_id"]).select("leaf", "id", finding.alias("finding")).where("finding IS NOT NULL")

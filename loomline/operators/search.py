@@ -112,6 +112,24 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
+@functools.cache
+def accents() -> tuple[str, str]:
+    """Lower-case letters with marks, and the letters below the marks, by canonical decomposition."""
+    pairs = [(chr(c), fold(chr(c))) for c in range(0xC0, 0x2000) if chr(c).islower() and not unicodedata.combining(chr(c))]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded_tokens(text: Column) -> Column:
+    """Words of letters, digits and ``_`` of any script, lower-case and without diacritics; null stays null.
+
+    Letters with a mark of their own are translated and combining marks removed, all in built-in functions.
+    """
+    marked, plain = accents()
+    bare = F.regexp_replace(F.translate(F.lower(text), marked, plain), "\\p{Mn}", "")
+    return F.regexp_extract_all(bare, F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
+
+
 def phrase_count(words: Column, phrase: list[str]) -> Column:
     """How often the words of a phrase follow each other in an array of words."""
     if len(phrase) == 1:

@@ -1,6 +1,6 @@
 """Keeping a search index current: dirty scopes, stale heads, claims, garbage."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fields whose change makes derived text stale.
@@ -73,3 +73,38 @@ def totals(heads: DataFrame) -> DataFrame:
     """(epoch, chunks, vectors, pending) over heads that are not stale."""
     n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return heads.where("NOT stale").groupBy("epoch").agg(n("chunks").alias("chunks"), n("vectors").alias("vectors"), n(F.col("chunks") - F.col("vectors") - F.col("failed")).alias("pending"))
+
+
+def publish_outcomes(results: DataFrame, chunks: DataFrame, generation: int, model: str, dims: int) -> DataFrame:
+    """(item, outcome) of computed vectors: published, or the first reason against it.
+
+    results: item, chunk_id, digest, generation, model, vector; chunks: chunk_id, digest,
+    one row each. A chunk takes the least item that passes the checks before ``duplicate``.
+    A null counts as different; a vector must be finite, of ``dims`` values and unit length.
+    """
+    now = chunks.select("chunk_id", F.col("digest").alias("current"))
+    early = (
+        F.when(~F.col("generation").eqNullSafe(F.lit(generation)), "stale_generation").when(~F.col("model").eqNullSafe(F.lit(model)), "model_mismatch")
+        .when(F.col("current").isNull() | ~F.col("digest").eqNullSafe(F.col("current")), "chunk_changed")
+    )
+    j = results.join(now, "chunk_id", "left").withColumn("early", early)
+    place = F.row_number().over(Window.partitionBy("chunk_id", F.col("early").isNull()).orderBy("item"))
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    sound = F.coalesce((F.size("vector") == dims) & ~F.isnan(square) & (F.abs(square - 1) <= 0.01), F.lit(False))
+    outcome = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("place") > 1, "duplicate").when(~sound, "invalid_vector").otherwise("published")
+    return j.withColumn("place", place).select("item", outcome.alias("outcome"))
+
+
+def chunk_id(source: str, position: str, text: str) -> Column:
+    """The content-addressed name of a chunk: SHA-256 of its source, its place and its text."""
+    return F.sha2(F.concat_ws("\n", F.col(source).cast("string"), F.col(position).cast("string"), F.coalesce(F.col(text), F.lit(""))), 256)
+
+
+def resolve_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits (hit, source_key, position, chunk_id) with ``state``: current, conflict (the chunk reads otherwise now) or gone.
+
+    chunks: source_key, position, text as they stand now, one row for each place.
+    """
+    now = chunks.select("source_key", "position", chunk_id("source_key", "position", "text").alias("now"))
+    state = F.when(F.col("now").isNull(), "gone").when(F.col("now").eqNullSafe(F.col("chunk_id")), "current").otherwise("conflict")
+    return hits.join(now, ["source_key", "position"], "left").select("hit", state.alias("state"))
