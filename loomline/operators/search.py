@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.nearest import nearest, nearest_by_bits
+
 K1, B = 1.2, 0.75
 TOKEN = "[a-z0-9_]+"
 WORD = re.compile(r"\w+")
@@ -61,22 +63,24 @@ def ranked(pairs: DataFrame, by: str, k: int, query: str = "query_id", item: str
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest neighbours; queries are a bounded set and go to every task."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(l2(F.col("embedding"), F.col("q")), 6).alias("distance"))
-    return ranked(pairs, "distance", k)
+    """Exact nearest neighbours of any number of queries, which go to the tasks a block at a time."""
+    return ranked(nearest(vectors, queries, k).withColumn("distance", F.round("distance", 6)), "distance", k)
 
 
 def hamming_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    bits = vectors.select("vec_id", sign_bits(F.col("embedding")).alias("bits"))
-    asked = F.broadcast(queries.select("query_id", sign_bits(F.col("q")).alias("q_bits")))
-    return ranked(bits.crossJoin(asked).select("query_id", "vec_id", hamming(F.col("bits"), F.col("q_bits")).alias("hamming")), "hamming", k)
+    return ranked(nearest_by_bits(vectors, queries, k).drop("distance"), "hamming", k)
+
+
+def dot_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, similarity, rank) by the largest product."""
+    best = ranked(nearest(vectors, queries, k, "dot").withColumn("distance", F.round("distance", 6)), "distance", k)
+    return best.select("query_id", "vec_id", (-F.col("distance")).alias("similarity"), "rank")
 
 
 def coarse_then_rerank(vectors: DataFrame, queries: DataFrame, candidates: int, k: int) -> DataFrame:
     """Nearest by sign bits first, then exact distances of the candidates only."""
-    coarse = hamming_top(vectors, queries, candidates).select("query_id", "vec_id")
-    pairs = vectors.join(coarse, "vec_id").join(F.broadcast(queries), "query_id")
-    return ranked(pairs.select("query_id", "vec_id", F.round(l2(F.col("embedding"), F.col("q")), 6).alias("distance")), "distance", k)
+    coarse = ranked(nearest_by_bits(vectors, queries, candidates), "hamming", candidates)
+    return ranked(coarse.select("query_id", "vec_id", F.round("distance", 6).alias("distance")), "distance", k)
 
 
 def fuse(first: DataFrame, second: DataFrame, constant: int = 60) -> DataFrame:
@@ -93,6 +97,18 @@ def measures(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return hits.agg(F.round(F.count("rank") / F.count(F.lit(1)), 6).alias("recall"), F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
+def measures_by_label(ranking: DataFrame, labels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``measures`` where the items of a query's own label are relevant, without a row for each such pair.
+
+    labels: vec_id, label; queries: query_id, label. Null labels have no relevant item and no row.
+    """
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    same = ranking.where(F.col("rank") <= k).join(labels.withColumnRenamed("label", "found"), "vec_id").join(queries, "query_id").where("found = label")
+    best = same.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"))
+    j = queries.join(sizes, "label").join(best, "query_id", "left")
+    return j.select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"))
+
+
 def parse_query(query: str, most_chars: int = 4096, most_terms: int = 64) -> list[list[str]]:
     """The phrases of a query, each a list of words; quotes group words, terms without letter or digit are dropped."""
     if len(query) > most_chars:
@@ -203,6 +219,18 @@ def search(docs: DataFrame, vectors: DataFrame, mode: str, query: str, vector: D
     return both.orderBy(F.desc("score"), "vec_id").limit(k).select(F.col("vec_id").alias("id"), "score", "found", F.lit("hybrid").alias("mode_used"))
 
 
+def search_each(docs: DataFrame, vectors: DataFrame, mode: str, query: str, queries: DataFrame, k: int = 20, pool: int = 256) -> DataFrame:
+    """(query_id, id, score, found, mode_used): semantic or hybrid search with every vector of queries (query_id, q) beside one text."""
+    if mode == "semantic":
+        near = semantic_score(knn(vectors, queries, min(k, pool)))
+        return near.select("query_id", F.col("vec_id").alias("id"), "score", F.lit("second").alias("found"), F.lit("semantic").alias("mode_used"))
+    words = lexical(docs, parse_query(query), pool, {"text": 1.0, "context": 2.0})
+    one = ranked(words.select(F.lit(0).alias("list"), F.col("id").alias("vec_id"), (-F.col("score")).alias("s")), "s", pool, "list").select("vec_id", "rank")
+    both = fuse(queries.select(F.col("query_id").cast("long")).crossJoin(F.broadcast(one)), knn(vectors, queries, pool))  # at most ``pool`` rows
+    best = ranked(both.withColumn("s", -F.col("score")), "s", k)
+    return best.select("query_id", F.col("vec_id").alias("id"), "score", "found", F.lit("hybrid").alias("mode_used"))
+
+
 def excerpt(text: str, phrases: list[list[str]], size: int = 512, lead: int = 96) -> tuple[str, list[tuple[int, int]]]:
     """An excerpt from ``lead`` units before the first match and the matches in it, in UTF-16 units."""
     words = [(m.start(), m.end(), fold(m.group())) for m in WORD.finditer(text)]

@@ -16,6 +16,25 @@ def query(sql: str | None = None):
     return add
 
 
+#: Every row whose id is divisible by 100 asks, so the queries grow with the table.
+EVERY = "vec_id % 100 = 0"
+
+
+def every():
+    """Register a vector search once more as NAME_every, asked by the rows of EVERY; stands above ``query``.
+
+    The function takes the condition of its queries as ``asked``; the SQL is the same but for that condition.
+    """
+
+    def add(f):
+        name = f"{f.__name__}_every"
+        QUERIES[name] = lambda spark, sf: f(spark, sf, asked=EVERY)
+        SQL[name] = SQL[f.__name__].replace("q.vec_id < 18", f"q.{EVERY}")
+        return f
+
+    return add
+
+
 MESSAGES = """m AS (SELECT conv_id * 1000 + turn AS id, conv_id AS thread_id, turn, role, text,
   CASE WHEN turn - CASE WHEN turn % 5 = 4 THEN 2 ELSE 1 END >= 0 THEN conv_id * 1000 + turn - CASE WHEN turn % 5 = 4 THEN 2 ELSE 1 END END AS parent_id FROM conversations)"""
 UP = f"""WITH RECURSIVE {MESSAGES}, c AS (SELECT id, parent_id AS ancestor, 1 AS depth FROM m WHERE parent_id IS NOT NULL

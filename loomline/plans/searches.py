@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import chunking
 from loomline.operators import search
-from loomline.plans.registry import query
+from loomline.plans.registry import EVERY, every, query
 from loomline.sources.archive import read
 
 NEAR = """e AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 18),
@@ -16,38 +16,40 @@ w AS (SELECT id, round(ln(1 + (nn - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a
 FROM c, s WHERE a > 0 AND b > 0 ORDER BY score DESC, id LIMIT 256)"""
 
 
-def _queries(spark, sf):
-    return read(spark, sf, "embeddings").where("vec_id < 18").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def _queries(spark, sf, asked="vec_id < 18"):
+    return read(spark, sf, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def _docs(spark, sf):
     return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.concat("source", F.lit(" the")).alias("context"))
 
 
+@every()
 @query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x WHERE rank <= 100 AND label = 3) SELECT * FROM f WHERE rank <= 10")
-def filtered_knn(spark, sf):
+def filtered_knn(spark, sf, asked="vec_id < 18"):
     v = read(spark, sf, "embeddings")
-    return search.filtered_knn(v, _queries(spark, sf), v.where("label = 3").select("vec_id"), 100, 10)
+    return search.filtered_knn(v, _queries(spark, sf, asked), v.where("label = 3").select("vec_id"), 100, 10)
 
 
+@every()
 @query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM e WHERE label = 3) SELECT * FROM f WHERE rank <= 10")
-def prefiltered_knn(spark, sf):
+def prefiltered_knn(spark, sf, asked="vec_id < 18"):
     v = read(spark, sf, "embeddings")
-    return search.filtered_knn(v, _queries(spark, sf), v.where("label = 3").select("vec_id"), 100, 10, first=True)
+    return search.filtered_knn(v, _queries(spark, sf, asked), v.where("label = 3").select("vec_id"), 100, 10, first=True)
 
 
+@every()
 @query(f"WITH {NEAR} SELECT query_id, label AS owner_id, min(rank) AS rank FROM x WHERE rank <= 50 GROUP BY query_id, label")
-def collapsed_hits(spark, sf):
+def collapsed_hits(spark, sf, asked="vec_id < 18"):
     v = read(spark, sf, "embeddings")
-    return search.collapse(search.knn(v, _queries(spark, sf), 50), v.select("vec_id", F.col("label").alias("owner_id")))
+    return search.collapse(search.knn(v, _queries(spark, sf, asked), 50), v.select("vec_id", F.col("label").alias("owner_id")))
 
 
+@every()
 @query("""WITH e AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS s FROM embeddings v, embeddings q WHERE q.vec_id < 18)
 SELECT * FROM (SELECT query_id, vec_id, s AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM e) WHERE rank <= 10""")
-def dot_ranking(spark, sf):
-    pairs = read(spark, sf, "embeddings").crossJoin(F.broadcast(_queries(spark, sf)))
-    scored = pairs.select("query_id", "vec_id", F.round(-search.dot(F.col("embedding"), F.col("q")), 6).alias("s"))
-    return search.ranked(scored, "s", 10).select("query_id", "vec_id", (-F.col("s")).alias("similarity"), "rank")
+def dot_ranking(spark, sf, asked="vec_id < 18"):
+    return search.dot_top(read(spark, sf, "embeddings"), _queries(spark, sf, asked), 10)
 
 
 @query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY sha256(text)) AS vector_id FROM documents WHERE text IS NOT NULL")
@@ -73,6 +75,18 @@ def semantic_search(spark, sf):
     return search.search(_docs(spark, sf), read(spark, sf, "embeddings"), "semantic", "", _queries(spark, sf).where("query_id = 5"))
 
 
+@query(f"""WITH {COUNTS}, l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r1 FROM w), {NEAR.replace("q.vec_id < 18", "q." + EVERY)}, k AS (SELECT query_id, vec_id AS id, rank AS r2 FROM x WHERE rank <= 256), a AS (SELECT vec_id AS query_id, id, r1 FROM embeddings, l WHERE {EVERY}),
+f AS (SELECT coalesce(a.query_id, k.query_id) AS query_id, coalesce(a.id, k.id) AS id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score, CASE WHEN r2 IS NULL THEN 'first' WHEN r1 IS NULL THEN 'second' ELSE 'both' END AS found FROM a FULL JOIN k ON a.query_id = k.query_id AND a.id = k.id)
+SELECT query_id, id, score, found, 'hybrid' AS mode_used FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM f) WHERE n <= 20""")
+def hybrid_search_every(spark, sf):
+    return search.search_each(_docs(spark, sf), read(spark, sf, "embeddings"), "hybrid", "the and", _queries(spark, sf, EVERY))
+
+
+@query(f"WITH {NEAR.replace('q.vec_id < 18', 'q.' + EVERY)} SELECT query_id, vec_id AS id, round(1.0::DOUBLE / (60 + rank), 9) AS score, 'second' AS found, 'semantic' AS mode_used FROM x WHERE rank <= 20")
+def semantic_search_every(spark, sf):
+    return search.search_each(_docs(spark, sf), read(spark, sf, "embeddings"), "semantic", "", _queries(spark, sf, EVERY))
+
+
 @query()
 def search_excerpts(spark, sf):
     return search.excerpts(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), search.parse_query('the "of the"'))
