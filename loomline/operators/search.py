@@ -97,6 +97,13 @@ def measures(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return hits.agg(F.round(F.count("rank") / F.count(F.lit(1)), 6).alias("recall"), F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
+def candidate_recall(exact: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, recall): the share of the exact hits of each query that the candidates hold; both query_id, vec_id."""
+    found = candidates.select("query_id", "vec_id", F.lit(1).alias("held"))
+    hits = exact.select("query_id", "vec_id").join(found, ["query_id", "vec_id"], "left").groupBy("query_id")
+    return hits.agg(F.round(F.count("held") / F.count(F.lit(1)), 6).alias("recall"))
+
+
 def measures_by_label(ranking: DataFrame, labels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``measures`` where the items of a query's own label are relevant, without a row for each such pair.
 

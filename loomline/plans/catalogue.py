@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import chunking
 from loomline.operators import audits, graph, search
-from loomline.plans.registry import MESSAGES, QUERIES, SQL, UP, every, query
+from loomline.plans.registry import EVERY, MESSAGES, QUERIES, SQL, UP, every, query
 from loomline.sources import archive
 from loomline.sources.archive import read
 from loomline.streaming import activity
@@ -200,17 +200,36 @@ def hamming_topk(spark, sf, asked="vec_id < 18"):
 
 @every()
 @query(f"WITH {EXACT}, {BITS}, z AS (SELECT e.query_id, e.vec_id, distance FROM e JOIN y ON e.query_id = y.query_id AND e.vec_id = y.vec_id WHERE y.rank <= 100), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM z) SELECT * FROM w WHERE rank <= 10")
-def coarse_then_rerank(spark, sf, asked="vec_id < 18"):
-    return search.coarse_then_rerank(read(spark, sf, "embeddings"), _queries(spark, sf, asked), 100, 10)
+def coarse_then_rerank(spark, sf, asked="vec_id < 18", pool=100):
+    return search.coarse_then_rerank(read(spark, sf, "embeddings"), _queries(spark, sf, asked), pool, 10)
 
 
 @every()
 @query(f"""WITH {EXACT}, {BITS}, a AS (SELECT query_id, vec_id, rank AS r1 FROM x WHERE rank <= 64), c AS (SELECT query_id, vec_id, rank AS r2 FROM y WHERE rank <= 64)
 SELECT coalesce(a.query_id, c.query_id) AS query_id, coalesce(a.vec_id, c.vec_id) AS vec_id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score,
  CASE WHEN r2 IS NULL THEN 'first' WHEN r1 IS NULL THEN 'second' ELSE 'both' END AS found FROM a FULL JOIN c ON a.query_id = c.query_id AND a.vec_id = c.vec_id""")
-def rrf_fusion(spark, sf, asked="vec_id < 18"):
+def rrf_fusion(spark, sf, asked="vec_id < 18", pool=64):
     v, q = read(spark, sf, "embeddings"), _queries(spark, sf, asked)
-    return search.fuse(search.knn(v, q, 64), search.hamming_top(v, q, 64))
+    return search.fuse(search.knn(v, q, pool), search.hamming_top(v, q, pool))
+
+
+@query(SQL["coarse_then_rerank_every"].replace("y.rank <= 100", "y.rank <= 5000"))
+def coarse_then_rerank_wide(spark, sf):
+    """With the 5,000 candidates of V5."""
+    return coarse_then_rerank(spark, sf, EVERY, 5000)
+
+
+@query(SQL["rrf_fusion_every"].replace("rank <= 64", "rank <= 256"))
+def rrf_fusion_wide(spark, sf):
+    """With the 256 hits a side of R2."""
+    return rrf_fusion(spark, sf, EVERY, 256)
+
+
+@query(f"WITH {EXACT}, {BITS} SELECT x.query_id, round(count(y.rank) / count(*)::DOUBLE, 6) AS recall FROM x LEFT JOIN (SELECT * FROM y WHERE rank <= 5000) y ON x.query_id = y.query_id AND x.vec_id = y.vec_id WHERE x.rank <= 100 GROUP BY x.query_id".replace("q.vec_id < 18", f"q.{EVERY}"))
+def candidate_recall(spark, sf):
+    """Which share of the exact 100 nearest is among the 5,000 candidates by sign bits."""
+    v, q = read(spark, sf, "embeddings"), _queries(spark, sf, EVERY)
+    return search.candidate_recall(search.knn(v, q, 100), search.hamming_top(v, q, 5000))
 
 
 @every()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import chunking
 from loomline.operators import search
-from loomline.plans.registry import EVERY, every, query
+from loomline.plans.registry import EVERY, SQL, every, query
 from loomline.sources.archive import read
 
 NEAR = """e AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 18),
@@ -26,9 +26,15 @@ def _docs(spark, sf):
 
 @every()
 @query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x WHERE rank <= 100 AND label = 3) SELECT * FROM f WHERE rank <= 10")
-def filtered_knn(spark, sf, asked="vec_id < 18"):
+def filtered_knn(spark, sf, asked="vec_id < 18", pool=100):
     v = read(spark, sf, "embeddings")
-    return search.filtered_knn(v, _queries(spark, sf, asked), v.where("label = 3").select("vec_id"), 100, 10)
+    return search.filtered_knn(v, _queries(spark, sf, asked), v.where("label = 3").select("vec_id"), pool, 10)
+
+
+@query(SQL["filtered_knn_every"].replace("rank <= 100", "rank <= 1024"))
+def filtered_knn_wide(spark, sf):
+    """With the 1,024 candidates of V6."""
+    return filtered_knn(spark, sf, EVERY, 1024)
 
 
 @every()

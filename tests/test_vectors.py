@@ -33,3 +33,13 @@ def test_blocks_and_pieces_agree_with_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nearest, "COUNTED", 5)
     assert {(r.query_id, r.vec_id, r["rank"]) for r in search.hamming_top(v, q, 12).collect()} == want(h, 12)
     assert search.knn(v, q.limit(0), 3).count() == 0
+
+
+def test_pools_of_the_survey_and_their_recall(spark):
+    assert all(f"rank <= {n}" in catalogue.SQL[f"{name}_wide"] for name, n in (("coarse_then_rerank", 5000), ("filtered_knn", 1024), ("rrf_fusion", 256)))
+    exact = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "query_id long, vec_id long")
+    held = spark.createDataFrame([(1, 2), (1, 9)], "query_id long, vec_id long")
+    assert {r.query_id: r.recall for r in search.candidate_recall(exact, held).collect()} == {1: 0.5, 2: 0.0}
+    wide, narrow = (catalogue.QUERIES[f"coarse_then_rerank_{x}"](spark, SF).agg(F.sum("distance")).first()[0] for x in ("wide", "every"))
+    assert wide < narrow
+    assert catalogue.QUERIES["candidate_recall"](spark, SF).agg(F.min("recall")).first()[0] >= 0.9
