@@ -9,17 +9,11 @@ from loomline.sources.archive import read
 from loomline.streaming import activity
 
 
-def _drained(spark, stream, name: str, mode: str):
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
-
-
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def daily_windows_extension(spark, sf):
     """Tumbling windows (an addition of this engine), in complete mode so that no open window is held back."""
     counts = activity.windowed(activity.events(spark, sf, read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).schema))
-    return _drained(spark, counts, "loomline_daily", "complete").select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
+    return activity.drained(counts).select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
 
 
 @query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
@@ -34,7 +28,7 @@ def user_sessions_extension(spark, sf):
 def streaming_sequence(spark, sf):
     """The event log as a stream: after the first gap of a user nothing more is appended."""
     log = activity.events(spark, sf, read(spark, sf, "events").schema).select(F.col("user_id").alias("stream"), F.col("event_id").alias("sequence"))
-    return _drained(spark, activity.sequence_checks(log), "loomline_sequence", "append")
+    return activity.checked(log)
 
 
 @query("SELECT event_id, CAST(p AS INT) AS position, CASE WHEN p = 0 THEN event_type ELSE 'message' END AS event, CASE WHEN p = 0 THEN props || chr(10) || 'more' ELSE 'end' END AS data FROM events, (VALUES (0), (1)) v(p)")
