@@ -42,6 +42,26 @@ def reconcile(references: DataFrame, catalogue: DataFrame, files: DataFrame) ->
     return j.select("digest", finding.alias("finding")).where("finding IS NOT NULL")
 
 
+def inventory(references: DataFrame, catalogue: DataFrame, files: DataFrame) -> DataFrame:
+    """(finding, digest, path) of all seven kinds of a blob inventory; a digest may have several findings.
+
+    references: digest, protected (a protecting reference counts apart), expected; catalogue: digest, bytes;
+    files: kind (blob, staged, unknown), digest, path, bytes.
+    """
+    r = references.groupBy("digest").agg(F.count_if(~F.col("protected")).alias("refs"), F.max("protected").alias("protected"), F.min("expected").alias("low"), F.max("expected").alias("high"))
+    blobs = files.where("kind = 'blob'").select("digest", "path", F.col("bytes").alias("f"))
+    j = r.join(catalogue.withColumnRenamed("bytes", "c"), "digest", "full").join(blobs, "digest", "full")
+    refs, kept, seen = F.coalesce("refs", F.lit(0)), F.coalesce("protected", F.lit(False)), F.col("f").isNotNull()
+    differs = F.coalesce(F.col("low") != F.col("f"), F.lit(False)) | F.coalesce(F.col("high") != F.col("f"), F.lit(False)) | F.coalesce(F.col("c") != F.col("f"), F.lit(False))
+    kinds = {
+        "orphan_blob": seen & (refs == 0) & ~kept, "protected_blob": kept, "missing_catalog": (refs > 0) & F.col("c").isNull(),
+        "missing_blob": ~seen & ((refs > 0) | F.col("c").isNotNull()), "size_mismatch": seen & differs,
+    }
+    found = j.select(F.explode(F.array_compact(F.array(*[F.when(holds, k) for k, holds in kinds.items()]))).alias("finding"), "digest", "path")
+    other = files.where("kind <> 'blob'").select(F.when(F.col("kind") == "staged", "staged_file").otherwise("unrecognized_entry").alias("finding"), F.lit(None).cast("string").alias("digest"), F.when(F.col("kind") == "staged", F.col("path")).alias("path"))
+    return found.unionByName(other)
+
+
 def dangling(owners: DataFrame, reference: str, targets: DataFrame, finding: str) -> DataFrame:
     """(id, finding) of owners whose set reference names no target; targets: id."""
     there = targets.select(F.col("id").alias("target")).distinct()

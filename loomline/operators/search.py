@@ -97,6 +97,22 @@ def measures(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return hits.agg(F.round(F.count("rank") / F.count(F.lit(1)), 6).alias("recall"), F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
+def check_evaluation(ranking: DataFrame, relevant: DataFrame, judged: DataFrame) -> DataFrame:
+    """(query_id, fault) of evaluation input that ``measures`` must not be given.
+
+    unjudged and unranked queries, queries without a relevant item, and items ranked twice; judged: query_id.
+    """
+    asked, ranked_ids, held = (df.select("query_id").distinct() for df in (judged, ranking, relevant))
+    twice = ranking.groupBy("query_id", "vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("query_id").distinct()
+    faults = [("unjudged", ranked_ids.join(asked, "query_id", "left_anti")), ("unranked", asked.join(ranked_ids, "query_id", "left_anti")), ("no_relevant", asked.join(held, "query_id", "left_anti")), ("duplicate", twice)]
+    return functools.reduce(DataFrame.unionByName, [df.select("query_id", F.lit(name).alias("fault")) for name, df in faults])
+
+
+def visible_measures(ranking: DataFrame, relevant: DataFrame, visible: DataFrame, k: int) -> DataFrame:
+    """``measures`` where only visible items (vec_id) are relevant; queries without one are dropped (R8). The ranking stays as it is."""
+    return measures(ranking, relevant.join(visible, "vec_id", "left_semi"), k)
+
+
 def candidate_recall(exact: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, recall): the share of the exact hits of each query that the candidates hold; both query_id, vec_id."""
     found = candidates.select("query_id", "vec_id", F.lit(1).alias("held"))

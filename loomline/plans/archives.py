@@ -138,3 +138,29 @@ def record_export(spark, sf):
     """Counts of the JSON lines an open export holds."""
     rows = archives.records({"pages": read(spark, sf, "pages").withColumnRenamed("page_id", "id"), "benchmark": read(spark, sf, "benchmark").withColumnRenamed("item_id", "id")})
     return archives.checksums(rows).select("collection", "n")
+
+
+IDS = {"benchmark": "item_id", "conversations": "conv_id * 1000 + turn", "documents": "doc_id", "embeddings": "vec_id", "events": "event_id", "labels": "doc_id", "pages": "page_id"}
+
+
+@query()
+def export_checksums(spark, sf):
+    """The manifest of an open export: counts and checksums of the JSON lines of every collection."""
+    return archives.checksums(archives.records({name: read(spark, sf, name).withColumn("id", F.expr(of)) for name, of in IDS.items()}))
+
+
+@query("""WITH r AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS digest, count(*) FILTER (doc_id % 6 <> 0) AS refs, max(doc_id % 6 = 0) AS protected FROM labels GROUP BY 1),
+c AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS digest, n_chars AS c FROM documents WHERE doc_id % 9 <> 0),
+f AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS digest, 'blobs/' || doc_id AS path, n_chars + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS f FROM documents WHERE doc_id % 8 <> 0),
+j AS (SELECT coalesce(r.digest, c.digest, f.digest) AS digest, coalesce(refs, 0) AS refs, coalesce(protected, false) AS protected, c, path, f FROM r FULL JOIN c ON r.digest = c.digest FULL JOIN f ON coalesce(r.digest, c.digest) = f.digest)
+SELECT 'orphan_blob' AS finding, digest, path FROM j WHERE f IS NOT NULL AND refs = 0 AND NOT protected UNION ALL SELECT 'protected_blob', digest, path FROM j WHERE protected
+UNION ALL SELECT 'missing_catalog', digest, path FROM j WHERE refs > 0 AND c IS NULL UNION ALL SELECT 'missing_blob', digest, path FROM j WHERE f IS NULL AND (refs > 0 OR c IS NOT NULL)
+UNION ALL SELECT 'size_mismatch', digest, path FROM j WHERE f <> c UNION ALL SELECT 'staged_file', NULL, 'staged/' || page_id FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'unrecognized_entry', NULL, NULL FROM pages WHERE page_id % 3 = 1""")
+def blob_inventory(spark, sf):
+    """All seven kinds of finding of D13."""
+    key = F.col("doc_id").cast("string")
+    d, p = read(spark, sf, "documents").withColumn("digest", F.sha2(key, 256)), read(spark, sf, "pages").where("page_id % 3 < 2")
+    refs = read(spark, sf, "labels").select(F.sha2(key, 256).alias("digest"), (F.col("doc_id") % 6 == 0).alias("protected"), F.lit(None).cast("long").alias("expected"))
+    blobs = d.where("doc_id % 8 <> 0").select(F.lit("blob").alias("kind"), "digest", F.concat(F.lit("blobs/"), key).alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)).cast("long").alias("bytes"))
+    others = p.select(F.when(F.col("page_id") % 3 == 0, "staged").otherwise("unknown").alias("kind"), F.lit(None).cast("string").alias("digest"), F.concat(F.lit("staged/"), F.col("page_id").cast("string")).alias("path"), F.lit(0).cast("long").alias("bytes"))
+    return audits.inventory(refs, d.where("doc_id % 9 <> 0").select("digest", F.col("n_chars").alias("bytes")), blobs.unionByName(others))
