@@ -18,6 +18,21 @@ def chain_digest(records: DataFrame, zero: str = "") -> DataFrame:
     return records.groupBy("group").agg(F.aggregate(ordered, F.lit(zero), lambda s, d: F.sha2(F.concat(s, d), 256)).alias("digest"))
 
 
+def tree_digest(records: DataFrame, size: int = 1024) -> DataFrame:
+    """(group, digest) of records (group, ordinal, digest): blocks of ``size`` ordinals are chained, then blocks of their digests.
+
+    Every group takes as many levels as the largest ordinal asks for. No row holds more than ``size`` digests, however large
+    the group; ordinals are unique in a group and not negative.
+    """
+    level, top = records, records.agg(F.max("ordinal")).first()[0] or 0
+    while True:
+        key = F.struct("group", F.floor(F.col("ordinal") / size).cast("long").alias("block"))
+        level = chain_digest(level.select(key.alias("group"), "ordinal", "digest")).select("group.group", F.col("group.block").alias("ordinal"), "digest")
+        top //= size
+        if top == 0:
+            return level.select("group", "digest")
+
+
 def byte_pages(rows: DataFrame, scope: str, order: str, size: Column, most: int) -> DataFrame:
     """rows with ``used`` (bytes up to and with the row in its scope) and ``fits``; a first row too large is an error of the page."""
     w = Window.partitionBy(scope).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -51,6 +66,18 @@ def markdown(messages: DataFrame) -> DataFrame:
     return messages.groupBy("thread_id").agg(F.array_join(parts, "\n\n").alias("text"))
 
 
+def markdown_pieces(messages: DataFrame) -> DataFrame:
+    """(thread_id, turn, text): ``markdown`` as one row a message, range-sorted, so that files in their order are the threads.
+
+    The texts of a thread, joined, are its Markdown; no row holds more than one message.
+    """
+    one = F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), "text")
+    first = F.min("turn").alias("first")
+    starts = messages.where("role IS NOT NULL AND text IS NOT NULL").groupBy("thread_id").agg(first)
+    pieces = messages.where("role IS NOT NULL AND text IS NOT NULL").join(starts, "thread_id")
+    return pieces.select("thread_id", "turn", F.concat(F.when(F.col("turn") > F.col("first"), "\n\n").otherwise(""), one).alias("text")).orderBy("thread_id", "turn")
+
+
 def records(collections: dict[str, DataFrame]) -> DataFrame:
     """(collection, id, record): the rows of every collection as JSON lines."""
     parts = [df.select(F.lit(name).alias("collection"), F.col("id").cast("string").alias("id"), F.to_json(F.struct("*")).alias("record")) for name, df in sorted(collections.items())]

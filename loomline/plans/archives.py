@@ -164,3 +164,15 @@ def blob_inventory(spark, sf):
     blobs = d.where("doc_id % 8 <> 0").select(F.lit("blob").alias("kind"), "digest", F.concat(F.lit("blobs/"), key).alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)).cast("long").alias("bytes"))
     others = p.select(F.when(F.col("page_id") % 3 == 0, "staged").otherwise("unknown").alias("kind"), F.lit(None).cast("string").alias("digest"), F.concat(F.lit("staged/"), F.col("page_id").cast("string")).alias("path"), F.lit(0).cast("long").alias("bytes"))
     return audits.inventory(refs, d.where("doc_id % 9 <> 0").select("digest", F.col("n_chars").alias("bytes")), blobs.unionByName(others))
+
+
+@query()
+def manifest_tree(spark, sf):
+    """The manifest by blocks of 64 turns, for threads of any length."""
+    return archives.tree_digest(archive.messages(spark, sf).select(F.col("thread_id").alias("group"), F.col("turn").alias("ordinal"), F.sha2("text", 256).alias("digest")), 64)
+
+
+@query(f"WITH {MESSAGES} SELECT thread_id, turn, sha256(CASE WHEN turn > min(turn) OVER (PARTITION BY thread_id) THEN chr(10) || chr(10) ELSE '' END || '## ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || text) AS digest FROM m WHERE text IS NOT NULL AND role IS NOT NULL")
+def markdown_piece_export(spark, sf):
+    """Markdown by message, digested by piece."""
+    return archives.markdown_pieces(archive.messages(spark, sf)).select("thread_id", "turn", F.sha2("text", 256).alias("digest"))
