@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of narrow rows (a few longs each) that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Largest number of narrow rows (a few longs each), and of the parts they hold in all, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_PARTS = 200_000, 2_000_000
+#: Least rows of a key that is joined apart from the others.
+HOT_ROWS = 10_000
 #: Rows of an Arrow batch: whole texts are long, and a batch of the default 10,000 fills a worker.
 BATCH_ROWS = 2000
 
@@ -31,18 +33,67 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store through Hadoop's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def persist(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder the session names."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, parts: Column | None = None) -> DataFrame:
     """A persisted narrow table, marked for broadcast only if it has few rows.
 
-    Above the bound the join stays a shuffle join; the result is the same.
+    ``parts``: for rows of unequal width, the elements or characters of one; their
+    sum is bounded too. Above a bound the join stays a shuffle join; the result is the same.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if parts is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(parts), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_PARTS else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front of those that df has already (in any case)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def column(name: str) -> Column:
+    """A column by its literal name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
+    """Inner join of rows with a persisted table of one row a key, which counts the key's rows in ``n``.
+
+    Keys that hold more than 1 / BROADCAST_ROWS of all rows are broadcast apart (so
+    they are fewer than BROADCAST_ROWS), and no task gets all rows of such a key.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    bound = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
+    hot = one.where(F.col(n) > bound)
+    if hot.isEmpty():
+        return rows.join(one.drop(n), key)
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(one.where(F.col(n) <= bound).drop(n), key)
+    return rows.join(F.broadcast(hot.drop(n)), key).unionByName(rest)
+
+
+def without(docs: DataFrame, drop: DataFrame, text: str = "text") -> DataFrame:
+    """docs less the rows that ``drop`` names by (doc_id, th), th being text_hash."""
+    a, b = fresh(docs, "drop_id", "drop_th")
+    gone = persist(drop.select(F.col("doc_id").alias(a), F.col("th").alias(b)).distinct())
+    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col(a)) & (text_hash(text) == F.col(b)), "left_anti")
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -87,17 +138,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Returns (node, root) with root the smallest node reachable, for every node of
     an edge between different nodes. Each round persists its edges, so a lost
     executor costs one round; rounds grow with the logarithm of a component's size.
+    A node of very many edges (the root of a giant component) is joined apart.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, before = persist(e), None
+    n = F.count(F.lit(1)).alias("n")
     while True:
         sign = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before or sign[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = sign
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = persist(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = persist(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = persist(large.groupBy("u").agg(F.min("v").alias("m")))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = persist(both.groupBy("u").agg(F.min("v").alias("m"), n).select("u", F.least("u", "m").alias("m"), "n"))
+        large = persist(hot_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = persist(large.groupBy("u").agg(F.min("v").alias("m"), n))
+        moved = hot_join(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = persist(moved.union(least.select("u", F.col("m").alias("v"))).distinct())

@@ -2,14 +2,17 @@
 
 Words of code-switched text are labelled by affix, n-gram and lexicon features and
 learned transitions; a document's language is the one of the largest sum of word
-marginals, its score that sum's share. The CRF learns from text and lang of
-documents whose crc32(doc_id) mod 3 is not 1: at most SAMPLE_PER_LANG a language
-and SAMPLE_ROWS in all, of at most SAMPLE_CHARS code points, in the order of
-md5(doc_id). The training sequences splice stretches of different documents, so
-that transitions between languages are seen. Every text is predicted whole.
+marginals, its score that sum's share. Features are the word, its prefixes and
+suffixes of up to 4 letters and all its 2-, 3- and 4-grams. The CRF learns from text
+and lang of documents whose crc32(doc_id) mod 3 is not 1: at most SAMPLE_PER_LANG
+rows a language and SAMPLE_ROWS in all, in the order of md5(doc_id), each whole. The
+training sequences splice stretches of different documents, so that transitions
+between languages are seen. Every text is predicted whole, however long.
 
 Defined cases: null, or no letter: ``und``, score 0; null doc_ids are predicted, not
-learned from; without any learnable lang all are ``und``.
+learned from; without any learnable lang all are ``und``; of languages that tie, the
+first by name is predicted; repeated rows are predicted alike and learned once each.
+Other columns, whatever their names, are not read.
 """
 
 import random
@@ -23,18 +26,14 @@ from pyspark.sql import functions as F
 from loomline.llm import crf
 from loomline.llm.common import crc_mod, table
 
-SAMPLE_PER_LANG, SAMPLE_ROWS, SAMPLE_CHARS = 150, 1200, 20_000
-#: Words of each sampled document that are learned, and words of a spliced stretch.
-LEARN_WORDS, STRETCH = 400, (4, 40)
+SAMPLE_PER_LANG, SAMPLE_ROWS = 150, 1200
+#: Words of a spliced stretch.
+STRETCH = (4, 40)
 HELD_OUT_MOD, HELD_OUT = 3, 1
 UNKNOWN = "und"
 
 
-def features(word: str) -> list[int]:
-    w = word.lower()
-    slot, n = crf.slot, len(w)
-    affixes = [slot("p", w[:k]) for k in (1, 2, 3) if k <= n] + [slot("s", w[-k:]) for k in (1, 2, 3) if k <= n]
-    return [slot("w", w)] + affixes + [slot("g", w[i : i + 3]) for i in range(1, min(n - 3, 7))]
+FEATURES = crf.Features((1, 2, 3, 4), (1, 2, 3, 4), (2, 3, 4))
 
 
 def fit(texts: list[str], langs: list[str]) -> tuple[crf.Chain, list[str]] | None:
@@ -43,7 +42,7 @@ def fit(texts: list[str], langs: list[str]) -> tuple[crf.Chain, list[str]] | Non
     if not names:
         return None
     rng = random.Random(0)
-    docs = [(crf.WORD.findall(t)[:LEARN_WORDS], names.index(lang)) for t, lang in zip(texts, langs)]
+    docs = [(crf.WORD.findall(t), names.index(lang)) for t, lang in zip(texts, langs)]
     stretches = []
     for words, lang in docs:
         at = 0
@@ -57,13 +56,13 @@ def fit(texts: list[str], langs: list[str]) -> tuple[crf.Chain, list[str]] | Non
         part = stretches[i : i + 4]
         sequences.append([w for words, _ in part for w in words])
         labels.append(np.concatenate([np.full(len(words), lang, np.int64) for words, lang in part]))
-    return crf.fit(sequences, labels, len(names), features, epochs=20), names
+    return crf.fit(sequences, labels, len(names), FEATURES, epochs=20), names
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang"):
     """Fit on the bounded sample of documents that are not held out."""
     known = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT) & (F.length("text") <= SAMPLE_CHARS))
+    known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT) & F.col("text").isNotNull())
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     narrow = known.select("doc_id", "lang", order.alias("o"))
     # Spark limits each task's rows of a language before the window's shuffle
@@ -78,7 +77,7 @@ def predictor(model):
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        emissions = crf.Emissions(model[0], features) if model else None
+        emissions = crf.Emissions(model[0], FEATURES) if model else None
         for batch in batches:
             texts = batch.to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -96,7 +95,7 @@ def word_tagger(model):
 
     @F.arrow_udf("array<struct<start:int,end:int,lang:string>>")
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        emissions = crf.Emissions(model[0], features) if model else None
+        emissions = crf.Emissions(model[0], FEATURES) if model else None
         for batch in batches:
             texts = batch.to_pylist()
             out = [[] for _ in texts]

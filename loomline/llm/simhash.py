@@ -1,17 +1,19 @@
 """SimHash near-duplicates with pigeonring filtering (operator 2).
 
-A fingerprint's 64 bits form a ring of four 16-bit segments. If two fingerprints
-differ in at most 3 bits, some start on the ring exists whose chains of 1, 2, 3
-and 4 segments differ in at most 3/4, 6/4, 9/4 and 3 bits, that is 0, 1, 2 and 3.
-The first two links of the chain are the search key: the start segment is equal and
-the next one differs in at most one bit, so one of its two bytes is equal too. That
-gives 8 exact 24-bit keys a fingerprint. Rows that share a key are compared in
-their task: chains are checked first, then the full distance. Links of a key leave
-the task as a forest (every member to one root), never as all pairs.
+A fingerprint's 8 bytes form a ring. If two fingerprints differ in at most 3 bits,
+some start on the ring exists whose chains of 1 to 8 bytes differ in at most 3/8,
+6/8, 9/8 ... and 3 bits, that is 0, 0, 1, 1, 1, 2, 2 and 3. The first five links of
+the chain are the search key: the first two bytes are equal, and of the next three,
+which differ in at most one bit, two are equal. That gives 24 exact 32-bit keys a
+fingerprint. Rows that share a key are compared in their task: chains are checked
+first, then the full distance. Links of a key leave the task as a forest (every
+member to one root), never as all pairs.
 
 Defined cases: null or blank text has fingerprint zero and links like any other;
-repeated rows keep one result row each; a null doc_id never becomes a component_id
-unless the whole component has none.
+texts are read whole, a very long one in memory of its task; repeated rows keep one
+result row each; a null doc_id never becomes a component_id unless the whole
+component has none. Of a component the row of least (doc_id, text hash) stays, nulls
+last. Extra columns pass through a stage whatever their names.
 """
 
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bounded_groups, components, persist, small, table, text_hash
+from loomline.llm.common import bounded_groups, components, fresh, hot_join, persist, small, table, text_hash, without
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Most rows of one search key that are compared in one task; larger keys are cut into blocks.
@@ -58,27 +60,27 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ring_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp): eight keys of each fingerprint."""
-    segment = lambda i: F.shiftrightunsigned("fp", 16 * (i % 4)).bitwiseAND(0xFFFF)
-    keys = [
-        F.shiftleft(segment(i), 11) + F.shiftrightunsigned(segment(i + 1), 8 * half).bitwiseAND(0xFF) * 8 + (i * 2 + half)
-        for i in range(4)
-        for half in (0, 1)
-    ]
-    return fps.select("fp", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
+    """(key, fp): 24 keys of each fingerprint, four bytes of it and their places."""
+    byte = lambda i: F.shiftrightunsigned("fp", 8 * (i % 8)).bitwiseAND(0xFF)
+    keys = []
+    for i in range(8):
+        for k, (x, y) in enumerate(((2, 3), (2, 4), (3, 4))):
+            four = F.shiftleft(byte(i), 24) + F.shiftleft(byte(i + 1), 16) + F.shiftleft(byte(i + x), 8) + byte(i + y)
+            keys.append(four * 32 + (3 * i + k))
+    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
 def ring_near(x: np.ndarray) -> np.ndarray:
     """Which differences (XOR of fingerprints) keep within the ring's budgets and DISTANCE."""
-    d = np.bitwise_count(np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4)).astype(np.int64)
+    d = np.bitwise_count(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8))
+    around = np.zeros((len(x), 17), np.int16)  # bits that differ before each place, twice around the ring
+    np.cumsum(np.concatenate([d, d], 1), axis=1, out=around[:, 1:])
+    lengths = np.arange(1, 9)
     passed = np.zeros(len(x), bool)
-    for start in range(4):
-        chain, ok = np.zeros(len(x), np.int64), np.ones(len(x), bool)
-        for length in range(1, 5):
-            chain = chain + d[:, (start + length - 1) % 4]
-            ok &= chain * 4 <= length * DISTANCE
-        passed |= ok
-    passed[passed] = d[passed].sum(1) <= DISTANCE
+    for start in range(8):
+        chains = around[:, start + 1 : start + 9] - around[:, start, None]
+        passed |= (chains * 8 <= lengths * DISTANCE).all(1)
+    passed[passed] = around[passed, 8] <= DISTANCE
     return passed
 
 
@@ -143,15 +145,15 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fp, th, component_id and keeper (the row that stays of its component)."""
     rows = persist(fingerprints(docs, text))
-    fps = persist(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first_row")))
+    fps = persist(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first_row")))
     roots = components(links(fps.select("fp")), "a", "b")
     roots = persist(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
     linked_fps = persist(fps.join(small(roots), fps.fp == roots.node).drop("node"))
     totals = linked_fps.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("keeper"))
     of_linked = persist(linked_fps.select("fp", "root").join(totals, "root").drop("root"))
     found = fps.join(small(of_linked), "fp", "left")
-    found = persist(found.select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("keeper", "first_row").alias("keeper")))
-    return rows.join(found, "fp")
+    found = persist(found.select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("keeper", "first_row").alias("keeper")))
+    return hot_join(rows, found, "fp")
 
 
 def hex16(column: str):
@@ -170,8 +172,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by doc_id and text; of rows that agree in both, one stays.
     """
     found = persist(near_duplicates(docs).select("doc_id", "th", (F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th") == F.col("keeper")).alias("stays")))
-    drop = found.where(~F.col("stays")).select(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_th")).distinct()
-    th = text_hash()
-    kept = docs.join(small(persist(drop)), docs.doc_id.eqNullSafe(F.col("drop_id")) & (th == F.col("drop_th")), "left_anti")
-    again = found.where("stays").groupBy("doc_id", "th").count().where("count > 1")
-    return kept if again.isEmpty() else kept.withColumn("row_th", th).dropDuplicates(["doc_id", "row_th"]).drop("row_th")
+    kept = without(docs, found.where(~F.col("stays")))
+    again = persist(found.where("stays").groupBy("doc_id", "th").count().where("count > 1"))
+    if again.isEmpty():
+        return kept
+    a, b, c = fresh(docs, "again_id", "again_th", "row_th")
+    names = again.select(F.col("doc_id").alias(a), F.col("th").alias(b))
+    same = kept.withColumn(c, text_hash()).join(small(names), F.col("doc_id").eqNullSafe(F.col(a)) & (F.col(c) == F.col(b)), "left_semi")
+    return without(kept, again).unionByName(same.dropDuplicates(["doc_id", c]).drop(c))

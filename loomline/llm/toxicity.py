@@ -5,11 +5,15 @@ affix which occurs almost only in toxic documents are toxic. The CRF learns to t
 words by identity and affixes; forward-backward marginals give offending offsets,
 and a logistic curve over their sum and maximum, fitted to the documents' labels,
 gives the score. Labels are learned only from rows whose crc32(doc_id) mod 4 is not
-2, on at most SAMPLE_TOXIC and SAMPLE_CLEAN documents of at most SAMPLE_CHARS code
-points, taken in the order of md5(doc_id). Every text is scored whole.
+2, on at most SAMPLE_TOXIC and SAMPLE_CLEAN documents, taken whole in the order of
+md5(doc_id); the CRF and the curve learn from all of them. Every text is scored
+whole, however long.
 
 Defined cases: null, blank and wordless texts get the score of no evidence; null
-doc_ids are scored, not learned from; without labels of both kinds all score 0.
+doc_ids are scored, not learned from; of repeated doc_ids one row is learned from;
+without labels of both kinds all score 0; a score equal to THRESHOLD is toxic;
+repeated rows are scored alike. A stage passes extra columns through, whatever
+their names.
 """
 
 from collections.abc import Iterator
@@ -20,18 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import crf
-from loomline.llm.common import crc_mod, table
+from loomline.llm.common import crc_mod, fresh, table
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 500, 1500, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 500, 1500
 HELD_OUT_MOD, HELD_OUT = 4, 2
-THRESHOLD, TAG_AT = 0.3, 0.5
+THRESHOLD, TAG_AT, EPOCHS = 0.3, 0.5, 12
 #: Least log-likelihood ratio and least share of toxic documents of a telling word or affix.
 TELLING_LLR, TELLING_SHARE = 22.0, 0.8
 
 
-def features(word: str) -> list[int]:
-    w = word.lower()
-    return [crf.slot("w", w)] + [crf.slot("p", w[:n]) for n in range(2, 9) if n <= len(w)] + [crf.slot("s", w[-n:]) for n in (2, 3, 4) if n < len(w)]
+FEATURES = crf.Features(tuple(range(2, 9)), (2, 3, 4))
 
 
 def keys(word: str) -> list[str]:
@@ -82,16 +84,16 @@ def fit(texts: list[str], toxic: np.ndarray, toxic_share: float) -> tuple[crf.Ch
     docs = [crf.WORD.findall(t or "") for t in texts]
     marks = telling(docs, toxic)
     marked: dict[str, bool] = {}
-    clean = np.flatnonzero(toxic == 0)[: max(50, int(toxic.sum()))]
-    used = [i for i in [*np.flatnonzero(toxic == 1), *clean] if docs[i]]
+    used = [i for i in range(len(docs)) if docs[i]]
     labels = []
     for i in used:
-        for w in set(docs[i]) - marked.keys():
-            marked[w] = any(k in marks for k in keys(w))
-        labels.append(np.array([toxic[i] and marked[w] for w in docs[i]], np.int64))
-    chain = crf.fit([docs[i] for i in used], labels, 2, features)
+        if toxic[i]:
+            for w in set(docs[i]) - marked.keys():
+                marked[w] = any(k in marks for k in keys(w))
+        labels.append(np.fromiter((marked[w] for w in docs[i]), np.int64, len(docs[i])) if toxic[i] else np.zeros(len(docs[i]), np.int64))
+    chain = crf.fit([docs[i] for i in used], labels, 2, FEATURES, epochs=EPOCHS)
     x = np.tile(NO_EVIDENCE, (len(texts), 1))
-    for i, found in crf.marginals(texts, crf.Emissions(chain, features)):
+    for i, found in crf.marginals(texts, crf.Emissions(chain, FEATURES)):
         x[i] = evidence(found)
     weight = np.where(toxic == 1, toxic_share / toxic.mean(), (1 - toxic_share) / (1 - toxic.mean()))
     return chain, logistic(x, toxic, weight)
@@ -102,10 +104,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text"):
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT))
     known = known.select("doc_id", "toxic", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o")).dropDuplicates(["doc_id"])
     share = known.agg(F.avg("toxic")).first()[0]
-    # twice the wanted rows, since some documents are missing or too long
+    # twice the wanted rows, since some documents are missing
     picked = [known.where(F.col("toxic") == c).orderBy("o").limit(2 * n) for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN) rows
-    body = docs.select("doc_id", F.col(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    body = docs.select("doc_id", F.col(text).alias("text")).where("text is not null")
     found = body.join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy("o").select("text", "toxic").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
     rows = [r for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)) for r in [r for r in found if r.toxic == c][:n]]
     return fit([r.text for r in rows], np.array([r.toxic for r in rows]), share or 0.0)
@@ -116,7 +118,7 @@ def tagger(model):
 
     @F.arrow_udf("struct<score:double,n_toxic:int,spans:array<struct<start:int,end:int>>>")
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        emissions = crf.Emissions(model[0], features) if model else None
+        emissions = crf.Emissions(model[0], FEATURES) if model else None
         for batch in batches:
             texts = batch.to_pylist()
             x, spans = np.tile(NO_EVIDENCE, (len(texts), 1)), [[] for _ in texts]
@@ -153,5 +155,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of THRESHOLD or more go."""
     tag = tagger(train(docs, table(spark, sf_dir, "labels")))
-    scored = docs.withColumn("__toxicity", tag("text"))
-    return scored.where(F.col("__toxicity.score") < THRESHOLD).select(*docs.columns)
+    (own,) = fresh(docs, "toxicity")
+    scored = docs.withColumn(own, tag("text"))
+    return scored.where(F.col(own)["score"] < THRESHOLD).drop(own)
