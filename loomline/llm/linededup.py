@@ -1,38 +1,48 @@
 """Line deduplication with a segment-partition edit join (operator 7).
 
-Lines of at least MIN_CHARS code points that are equal, or linked by edits of at
-most EDITS characters, form a class; one line of it stays in one document, all other
+Lines that are equal, or (from NEAR_CHARS code points on) linked by edits of at most
+EDITS characters, form a class; one line of it stays in one document, all other
 occurrences go. For the edit join each line is cut into EDITS + 1 segments of even
 length. If two lines are within EDITS edits, a segment of the shorter one occurs in
 the longer one near the same place, so each line is looked up by its own segments
 and by the substrings that lengths and positions allow. Keys that two different
-lines share are found by an aggregation; only those lines' texts meet, and banded
-bit-parallel edit distance verifies them. Links leave a task as a forest.
+lines share are found by an aggregation, which combines before its shuffle; a second
+look at the lines (hashing them again costs less than storing all keys) takes those
+that hold such a key. Only their texts meet, and banded bit-parallel edit distance
+verifies them. Links leave a task as a forest. Lines and keys that very many
+documents share are joined apart from the others, so no task gets all their places.
 
 A class keeps its line of least (doc_id, hash of the line), in the document of least
-doc_id that holds it, at its first place there. Defined cases: null text has no
-lines and stays null; shorter lines always stay; null doc_ids come last; rows of one
+doc_id that holds it, at its first place there. Defined cases: blank lines always
+stay; null text has no lines and stays null; null doc_ids come last; rows of one
 doc_id count as one document, each of which keeps the line; an emptied document stays
-as an empty text; an empty table gives no rows.
+as an empty text; very long texts and lines are read whole, in memory of their task;
+an empty table gives no rows. Extra columns pass through a stage whatever their names.
+
+The stage of the pipeline drops lines of NEAR_CHARS and more only: short lines are
+common wording ("Yes."), and dropping them everywhere would empty short clean documents.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bounded_groups, components, persist, sliced, small, table, text_hash
+from loomline.llm.common import bounded_groups, column, components, fresh, hot_join, persist, sliced, small, table, text_hash
+from loomline.llm.rolling import Running, mixed
 
-MIN_CHARS, EDITS = 24, 2
+#: Least code points of lines that are compared by edits; most edits.
+NEAR_CHARS, EDITS = 24, 2
+#: White space that may fill a blank line.
+BLANKS = " \t\r\x0b\x0c"
 #: Most lines of one key that are compared in one task; larger keys are cut into blocks.
 GROUP_ROWS = 256
 #: Most shared keys (a long each) that may be broadcast to the second look at the lines.
 BROADCAST_KEYS = 1_000_000
-#: Code points that are hashed at once, besides a longer line; the base of the hash (any odd number).
-SLICE_CHARS, BASE = 1 << 18, 0x2545F4914F6CDD1D
+#: Code points that are hashed at once, besides a longer line.
+SLICE_CHARS = 1 << 18
 WORD_BITS, FULL = 64, (1 << 64) - 1
 
 
@@ -89,27 +99,13 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, th, at, line, h1, h2 of every line long enough; h1 and h2 name the line."""
-    rows = docs.select("doc_id", text_hash(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    rows = rows.where(F.length("line") >= MIN_CHARS)
+def lines_of(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
+    """doc_id, th, at, line, h1, h2 of every line that is not blank and long enough; h1 and h2 name the line."""
+    rows = docs.select("doc_id", text_hash(text).alias("th"), F.posexplode(F.split(column(text), "\n", -1)).alias("at", "line"))
+    rows = rows.where((F.length("line") >= least) & (F.length(F.btrim("line", F.lit(BLANKS))) > 0))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Each number spread over 64 bits; zero does not stay zero."""
-    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-
-
-@lru_cache(maxsize=2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** k and BASE ** -k modulo 2 ** 64 for k below n."""
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, a row for each line: those of its own segments, and of the substrings by which
     shorter or equal lines are looked up; which columns are own; which hashes there are.
@@ -118,10 +114,7 @@ def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     Equal substrings have equal hashes; unequal ones that collide cost a comparison
     only. A hash that is an own one already (a line that repeats itself) is left out.
     """
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    up, down = powers(1 << max(SLICE_CHARS, len(chars)).bit_length())
-    total = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum(mixed(chars) * up[: len(chars)], out=total[1:])
+    text = Running("".join(lines), SLICE_CHARS)
     n = np.array([len(s) for s in lines], np.int64)
     start, parts = np.cumsum(n) - n, edits + 1
     keys, own, valid = [], [], []
@@ -133,7 +126,7 @@ def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.nd
             for shift in sorted(range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1), key=abs):
                 fits = (length >= 0) & (begin + shift >= 0) & (end + shift <= n)
                 low, high = (np.where(fits, start + x + shift, 0) for x in (begin, end))
-                key = mixed((total[high] - total[low]) * down[low] + seed)
+                key = text.of(low, high, seed)
                 own.append(not longer and not shift)
                 if own[-1]:
                     first = key
@@ -228,9 +221,11 @@ def near_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """node, h1, h2, keep_id, root of every line that is linked to a different one."""
     lines = lines.withColumn("id", F.shiftrightunsigned("h1", 1))
     keyed = lines.select("line", "id").mapInArrow(key_batches(edits), "key long, look long")
-    shared = keyed.groupBy("key").agg(F.min("look").alias("a"), F.max("look").alias("b"))
-    shared = persist(shared.where("a < 0 and a <> b").select("key"))  # a line owns the key, and another has it
-    meeting = persist(keyed.join(small(shared, BROADCAST_KEYS), "key").distinct())
+    shared = keyed.groupBy("key").agg(F.min("look").alias("a"), F.max("look").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = persist(shared.where("a < 0 and a <> b").select("key", "n"))  # a line owns the key, and another has it
+    few = small(shared, BROADCAST_KEYS)
+    meeting = keyed.join(few.drop("n"), "key") if few is not shared else hot_join(keyed, shared, "key")
+    meeting = persist(meeting.distinct())
     meeting = meeting.select("key", (F.col("look") < 0).alias("own"), F.when(F.col("look") < 0, F.bitwise_not("look")).otherwise(F.col("look")).alias("id"))
     wanted = persist(meeting.select("id").distinct())
     texts = lines.join(small(wanted, BROADCAST_KEYS), "id").groupBy("line", "id", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
@@ -244,26 +239,33 @@ def near_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def line_rules(lines: DataFrame, places: DataFrame, edits: int = EDITS) -> DataFrame:
-    """h1, h2, keeper, keep_id of every line that occurs again or has near copies.
+    """h1, h2, n, keeper, keep_id of every line that occurs again or has near copies.
 
-    ``keeper`` says whether the line stands for its class, keep_id in which document.
+    ``keeper`` says whether the line stands for its class, keep_id in which document, n how often it occurs.
     """
-    near = near_classes(lines, edits)
-    best = near.groupBy("root").agg(F.min(F.struct(F.col("keep_id").isNull(), "keep_id", "node")).alias("best"))
-    near = near.join(best, "root").select("h1", "h2", (F.col("node") == F.col("best.node")).alias("keeper"), F.col("best.keep_id").alias("keep_id"))
-    again = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = again.join(near.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(True).alias("keeper"), "keep_id")
-    return persist(again.unionByName(near))
+    near = near_classes(lines.where(F.length("line") >= NEAR_CHARS), edits)
+    best = near.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("keep_id").isNull(), "keep_id", "node")).alias("best"))
+    near = hot_join(near, persist(best), "root").select("h1", "h2", (F.col("node") == F.col("best.node")).alias("keeper"), F.col("best.keep_id").alias("keep_id"))
+    near = persist(near)
+    again = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    rules = again.join(small(near), ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("keeper").isNotNull())
+    keep_id = F.when(F.col("keeper").isNull(), F.col("first_id")).otherwise(F.col("keep_id"))
+    return persist(rules.select("h1", "h2", "n", F.coalesce("keeper", F.lit(True)).alias("keeper"), keep_id.alias("keep_id")))
+
+
+def rewriting(least: int):
+    """UDF: the text without the given lines and without later copies of a line in it."""
+    kind = pa.struct([("text", pa.string()), ("dropped", pa.list_(pa.int32()))])
 
+    @F.arrow_udf("struct<text:string,dropped:array<int>>")
+    def rewrite(texts: pa.Array, drops: pa.Array) -> pa.Array:
+        parts = [rewritten(texts.slice(at, 500), drops.slice(at, 500), least) for at in range(0, len(texts), 500)]
+        return pa.concat_arrays([pa.array(p, kind) for p in parts] or [pa.array([], kind)])
 
-def rewrite(texts: pa.Array, drops: pa.Array) -> pa.Array:
-    """The text without the given lines and without later copies of a long line in it."""
-    kind = pa.struct([("text", pa.string()), ("dropped", pa.list_(pa.int32()))])
-    parts = [rewritten(texts.slice(at, 500), drops.slice(at, 500)) for at in range(0, len(texts), 500)]
-    return pa.concat_arrays([pa.array(p, kind) for p in parts] or [pa.array([], kind)])
+    return rewrite
 
 
-def rewritten(texts: pa.Array, drops: pa.Array) -> Iterator[dict]:
+def rewritten(texts: pa.Array, drops: pa.Array, least: int) -> Iterator[dict]:
     for text, drop in zip(texts, drops):
         text, drop = text.as_py(), drop.as_py()
         if text is None:
@@ -271,23 +273,27 @@ def rewritten(texts: pa.Array, drops: pa.Array) -> Iterator[dict]:
             continue
         lines, gone, seen = text.split("\n"), set(drop or ()), set()
         for i, line in enumerate(lines):
-            if len(line) >= MIN_CHARS:
+            if len(line) >= least and line.strip(BLANKS):
                 if line in seen:
                     gone.add(i)
                 seen.add(line)
         yield {"text": "\n".join([s for i, s in enumerate(lines) if i not in gone]) if gone else text, "dropped": sorted(gone)}
 
 
-def dedup(docs: DataFrame, text: str = "text", edits: int = EDITS) -> DataFrame:
-    """The rows of docs with ``rewritten``: struct of the text that stays and the lines dropped (from 0)."""
-    lines = lines_of(docs, text)
+def dedup(docs: DataFrame, text: str = "text", edits: int = EDITS, least: int = 1, out: str = "rewritten") -> DataFrame:
+    """The rows of docs with ``out``: struct of the text that stays and the lines dropped (from 0).
+
+    Lines of fewer than ``least`` code points stay. Where lines go from a share of all
+    documents, the texts must meet their lists of lines: one shuffle of the texts.
+    """
+    lines = lines_of(docs, text, least)
     places = persist(lines.select("doc_id", "th", "at", "h1", "h2"))
-    rules = line_rules(lines, places, edits).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "keeper", "keep_id")
-    gone = places.join(rules, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
-    gone = gone.where(~F.col("keeper") | ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    drops = persist(gone.groupBy("doc_id", "th").agg(F.collect_set("at").alias("__drop")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__drop"))
-    joined = docs.join(drops, docs.doc_id.eqNullSafe(F.col("__id")) & (text_hash(text) == F.col("__th")), "left")
-    return joined.withColumn("rewritten", F.arrow_udf(rewrite, "struct<text:string,dropped:array<int>>")(F.col(text), F.col("__drop"))).drop("__id", "__th", "__drop")
+    gone = hot_join(places, line_rules(lines, places, edits), ["h1", "h2"]).where(~F.col("keeper") | ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    a, b, c = fresh(docs, "drop_id", "drop_th", "drop_at")
+    drops = gone.groupBy("doc_id", "th").agg(F.collect_set("at").alias(c)).select(F.col("doc_id").alias(a), F.col("th").alias(b), c)
+    drops = small(persist(drops), parts=F.size(c) + 4)
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(a)) & (text_hash(text) == F.col(b)), "left")
+    return joined.withColumn(out, rewriting(least)(column(text), F.col(c))).drop(a, b, c)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +310,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, without its repeated lines; n_chars follows the text."""
-    found = dedup(docs)
-    columns = {"text": F.col("rewritten.text"), "n_chars": F.length("rewritten.text").cast("long")}
-    return found.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    """Every document stays, without its repeated lines of NEAR_CHARS or more; n_chars follows the text."""
+    (out,) = fresh(docs, "rewritten")
+    text = F.col(out)["text"]
+    columns = {"text": text, "n_chars": F.length(text).cast("long")}
+    return dedup(docs, least=NEAR_CHARS, out=out).select(*[columns[c].alias(c) if c in columns else column(c) for c in docs.columns])
