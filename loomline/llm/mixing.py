@@ -5,85 +5,121 @@ doc_id), repeated up to MAX_REPEATS times. A copy's virtual finish time is the
 source's tokens up to and with it, divided by the source's target; copies are
 taken by finish time until the total budget is spent. Running sums over a source,
 and over all copies, take two levels: sums of buckets, then order within a bucket,
-so that no source and no time range goes through one task whole.
+so that no source and no time range goes through one task whole. Sources are ranked
+by a range sort, and their targets found by rounds of sums.
+
+In a source's queue the number of copies taken never grows, so all documents of a
+bucket get the same number but in the few buckets where it falls. The stage sends
+these bounds to the texts; only texts of those few buckets move.
 
 Defined cases: null text has size 0; a null source is a source of its own, last;
-sources of no size have target 0; size-0 documents take 0; repeated rows queue one
-behind the other; ties go by md5, doc_id, text hash. An empty table gives no rows.
+sources of no size have target 0; size-0 documents take 0; rows that agree in doc_id,
+text and source are one entry of the queue and are taken alike; ties go by md5,
+doc_id, text hash; very long texts are counted whole. An empty table gives no rows. Extra
+columns pass through the stage, whatever their names; its own four replace theirs.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import persist, small, table, text_hash
+from loomline.llm.common import HOT_ROWS, BROADCAST_ROWS, column, fresh, persist, small, table, text_hash
 
 WEIGHTS, MAX_REPEATS, SEED = (5, 2, 1), 3, "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ranked(per_source: DataFrame) -> DataFrame:
+    """The sources with ``at``, their place by code point (null last): a range sort, then counts of its partitions."""
+    ordered = per_source.orderBy(F.col("source").asc_nulls_last()).withColumns({"part": F.spark_partition_id(), "line": F.monotonically_increasing_id()})
+    ordered = persist(ordered)
+    parts = ordered.groupBy("part").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n_part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = parts.select("part", "first", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("ahead"))
+    return ordered.join(F.broadcast(parts), "part").withColumn("at", F.col("line") - F.col("first") + F.col("ahead")).drop("part", "line", "first", "ahead")
+
+
 def targets(per_source: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """source, source_size, n_docs, weight, target: budget shared by weight, capped, reshared.
 
-    One row a source goes through the global windows; documents never do.
+    Each round caps the sources that the level of the round before lifts above their
+    caps; the level only rises, so the rounds end, usually after two or three.
     """
-    ranked = per_source.withColumn("at", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weighed = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("at") % len(WEIGHTS) + 1).cast("int")).cast("long"))
-    weighed = weighed.withColumn("cap", max_repeats * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "at")
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    levels = weighed.withColumn("level", level)
-    # the first source, by cap against weight, that its own level leaves under its cap sets the level of all later ones
-    first = F.min_by(F.struct("level", F.lit(1).alias("one")), F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("at"))))
-    levels = levels.withColumn("final", first.over(everything)["level"])
-    target = F.when(F.col("final").isNull() | (F.col("final") * F.col("weight") > F.col("cap")), F.col("cap").cast("double"))
-    return levels.select("source", "source_size", "n_docs", "weight", target.otherwise(F.col("final") * F.col("weight")).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("at") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    weighed = persist(ranked(per_source).withColumn("weight", weight).withColumn("cap", max_repeats * F.col("source_size")).drop("at"))
+    total = weighed.agg(F.sum("source_size")).first()[0] or 0
+    level, open_ = None, None
+    while True:
+        free = F.lit(True) if level is None else F.lit(level) * F.col("weight") <= F.col("cap")
+        n, weights, capped = weighed.agg(F.count_if(free), F.sum(F.when(free, F.col("weight"))), F.sum(F.when(~free, F.col("cap")))).first()
+        if n == open_ or not n:
+            break
+        open_, level = n, (total - (capped or 0)) / weights
+    shared = F.lit(level).cast("double") * F.col("weight")
+    target = F.when(shared.isNull() | (shared > F.col("cap")), F.col("cap").cast("double")).otherwise(shared)
+    return weighed.select("source", "source_size", "n_docs", "weight", target.alias("target"))
 
 
-def queue(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, th, source, size and the shuffle key of every row."""
-    return docs.select(
-        "doc_id",
-        text_hash(text).alias("th"),
-        "source",
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("shuffled"),
-    )
+def shuffled_by(doc_id: str = "doc_id") -> Column:
+    return F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(docs: DataFrame, text: str = "text", max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """doc_id, th, source, size, source_size, target, taken for every row of docs."""
-    rows = persist(queue(docs, text))
+def size_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bucket_of(shuffled: Column, n_docs: Column) -> Column:
+    """About sqrt(n) buckets of the shuffle key for a source of n documents."""
+    n_buckets = F.greatest(F.lit(1), F.ceil(F.sqrt(n_docs)).cast("int"))
+    return F.floor(F.conv(F.substring(shuffled, 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2**32)).cast("int")
+
+
+def queue(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, th, source, each (one row's size), shuffle key and repeats of every entry."""
+    rows = docs.select("doc_id", text_hash(text).alias("th"), "source", size_of(text).alias("each"))
+    return rows.groupBy("doc_id", "th", "source", "each").agg(F.count(F.lit(1)).alias("repeats")).withColumn("shuffled", shuffled_by())
+
+
+def with_source(rows: DataFrame, shares: DataFrame, n: str = "n_docs") -> DataFrame:
+    """rows with the columns of their source's row, n rows each; sources of very many rows are joined apart."""
+    (s,) = fresh(rows, "of_source")
+    of = shares.withColumnRenamed("source", s)
+    join = lambda r, o: r.join(o, F.col("source").eqNullSafe(F.col(s))).drop(s)
+    if shares.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return join(rows, F.broadcast(of))
+    bound = max(HOT_ROWS, -(-shares.agg(F.sum(n)).first()[0] // BROADCAST_ROWS))
+    hot, rest = of.where(F.col(n) > bound), of.where(F.col(n) <= bound)  # fewer hot ones than BROADCAST_ROWS
+    cold = rows.join(F.broadcast(hot.select(s)), F.col("source").eqNullSafe(F.col(s)), "left_anti")
+    return join(rows, F.broadcast(hot)).unionByName(join(cold, rest))
+
+
+def mix(docs: DataFrame, text: str = "text", max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """Of every entry: doc_id, th, source, each, repeats, source_size, target, copies, bucket; and the shares of the sources."""
+    rows = persist(queue(docs, text).withColumn("size", F.col("each") * F.col("repeats")))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    shares = small(persist(targets(per_source, max_repeats)))
-    # running sums within a source: about sqrt(n) buckets of the shuffle key, then within a bucket
-    n_buckets = F.greatest(F.lit(1), F.ceil(F.sqrt("n_docs")).cast("int"))
-    bucket = F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") * F.col("n_buckets") / F.lit(2**32)).cast("int")
-    shares_of = shares.select(F.col("source").alias("s"), "source_size", "n_docs", "target")
-    joined = rows.join(shares_of, rows.source.eqNullSafe(F.col("s"))).drop("s").withColumn("n_buckets", n_buckets).withColumn("bucket", bucket)
+    shares = persist(targets(per_source, max_repeats))
+    # running sums within a source: of buckets of the shuffle key, then within a bucket
+    joined = with_source(rows, shares.drop("weight")).withColumn("bucket", bucket_of(F.col("shuffled"), F.col("n_docs")))
     sums = joined.groupBy("source", "bucket").agg(F.sum("size").alias("tokens"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = persist(sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("offset")))
-    placed = joined.join(small(offsets), joined.source.eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    within = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "th", "size").rowsBetween(Window.unboundedPreceding, 0)
-    done = persist(placed.withColumn("upto", F.col("offset") + F.sum("size").over(within)).select("doc_id", "th", "source", "size", "source_size", "target", "shuffled", "upto"))
+    placed = joined.join(small(offsets), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    within = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "th", "each").rowsBetween(Window.unboundedPreceding, 0)
+    done = persist(placed.withColumn("upto", F.col("offset") + F.sum("size").over(within)).drop("offset", "n_docs"))
     budget, n_rows = done.agg(F.sum("size"), F.count(F.lit(1))).first()
     copies = done.where("size > 0").select(
         "size", "shuffled", "doc_id", "th", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("copy"), "source_size", "target", "upto"
     )
-    finish = (F.col("copy") * F.col("source_size") + F.col("upto")) / F.col("target")
+    finish = F.try_divide(F.col("copy") * F.col("source_size") + F.col("upto"), F.col("target"))
     key = F.struct(finish.alias("finish"), F.col("shuffled"), F.col("doc_id"), F.col("th"), F.col("copy"), F.col("upto"))
     last = cut(copies.select("size", key.alias("key")), budget or 0, n_rows)
-    taken = F.lit(0).cast("long")
+    taken = F.lit(0)
     if last is not None:
         limit = F.struct(*[F.lit(v).cast(t) for v, t in zip(last, ("double", "string", "long", "long", "int", "long"))])
         for copy in range(max_repeats):
-            finish = (copy * F.col("source_size") + F.col("upto")) / F.col("target")
+            finish = F.try_divide(copy * F.col("source_size") + F.col("upto"), F.col("target"))
             own = F.struct(finish, F.col("shuffled"), F.col("doc_id"), F.col("th"), F.lit(copy), F.col("upto"))
-            taken = taken + F.when((F.col("size") > 0) & (own <= limit), F.col("size")).otherwise(0)
-    return done.select("doc_id", "th", "source", "size", "source_size", "target", taken.alias("taken"))
+            taken = taken + F.when((F.col("size") > 0) & (own <= limit), 1).otherwise(0)
+    return done.select("doc_id", "th", "source", "each", "repeats", "source_size", "target", taken.alias("copies"), "bucket"), shares
 
 
 def cut(copies: DataFrame, budget: int, n_rows: int):
@@ -110,17 +146,40 @@ def cut(copies: DataFrame, budget: int, n_rows: int):
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: what the mix takes of every document."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    found, _ = mix(table(spark, sf_dir, "documents"))
+    rows = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return rows.select("doc_id", F.col("each").alias("size"), "source_size", "target", (F.col("copies") * F.col("each")).alias("taken"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target and taken."""
-    found = mix(docs).where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("th").alias("mix_th"), "size", "source_size", "target", "taken")
+    found, shares = mix(docs)
+    found = persist(found)
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    once = found.groupBy("mix_id", "mix_th").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    th = text_hash()
-    joined = docs.select(*names).join(once, docs.doc_id.eqNullSafe(F.col("mix_id")) & (th == F.col("mix_th")))
-    return joined.drop("mix_id", "mix_th")
+    # of every source: up to which bucket all documents are taken a number of times, and up to which some are
+    fewest = found.where("each > 0").groupBy("source", "bucket").agg(F.min("copies").alias("least"), F.max("copies").alias("most"))
+    counts = range(1, MAX_REPEATS + 1)
+    bound = lambda c, n: F.coalesce(F.max(F.when(F.col(c) >= n, F.col("bucket"))), F.lit(-1))
+    bounds = fewest.groupBy("source").agg(*[bound(c, n).alias(f"{c}_{n}") for c in ("least", "most") for n in counts])
+    body = docs.select(*map(column, names))
+    s, b, n, part, own, size, ids, ths, of = fresh(body, "own_source", "mix_bounds", "mix_docs", "bucket_of", "copies_of", "size_of", "mix_id", "mix_th", "mix_source")
+    both = bounds.withColumnRenamed("source", s).join(shares, F.col(s).eqNullSafe(F.col("source")))
+    both = persist(both.select("source", F.col("n_docs").alias(n), F.struct("source_size", "target", *[c for c in bounds.columns if c != "source"]).alias(b)))
+    narrow = with_source(body, both, n)
+    at = narrow.withColumn(part, bucket_of(shuffled_by(), F.col(n)))
+    sure = sum((F.when(F.col(part) <= F.col(b)[f"least_{n}"], 1).otherwise(0) for n in counts), F.lit(0))
+    split = F.lit(False)
+    for n in counts:
+        split = split | ((F.col(part) > F.col(b)[f"least_{n}"]) & (F.col(part) <= F.col(b)[f"most_{n}"]))
+    whole = at.where(~split & (sure > 0)).withColumn(own, sure)
+    # entries of the buckets where the number of copies falls
+    some = found.join(fewest.where("least < most").select(F.col("source").alias("s"), F.col("bucket").alias("b")), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left_semi")
+    some = small(persist(some.where("copies > 0 and each > 0").select(F.col("doc_id").alias(ids), F.col("th").alias(ths), F.col("source").alias(of), F.col("copies").alias(own))))
+    same = F.col("doc_id").eqNullSafe(F.col(ids)) & (text_hash() == F.col(ths)) & F.col("source").eqNullSafe(F.col(of))
+    edge = at.where(split).join(some, same).drop(ids, ths, of)
+    taken = whole.unionByName(edge).withColumn(size, size_of("text")).where(F.col(size) > 0)
+    values = {"size": F.col(size), "source_size": F.col(b)["source_size"], "target": F.col(b)["target"], "taken": F.col(own) * F.col(size)}
+    return taken.select(*map(column, names), *[v.alias(k) for k, v in values.items()])
 
 
 SQL = rf"""

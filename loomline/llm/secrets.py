@@ -7,8 +7,15 @@ Postings are intersected per document and clause; documents that satisfy a claus
 are the rule's candidates, and only they are verified with the regex. A rule from
 whose regex no trigram follows (such as the run of hex digits) scans every text.
 
+Texts stay where they are: the candidates (a doc_id and a bit for each rule) are
+broadcast if they are few by count; otherwise a row's own postings are intersected
+in the row, which gives the same candidates without moving a text.
+
 Defined cases: null text counts as empty; null and repeated doc_ids share their
-candidates, and each row is verified by its own text; an empty table gives no rows.
+candidates, and each row is verified by its own text; matches that start together are
+listed in the order of the rules; texts are scanned whole, however long; an empty
+table gives no rows. Extra columns are kept, whatever their names; ``spans`` replaces
+a column of that name.
 """
 
 from dataclasses import dataclass
@@ -18,7 +25,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import table
+from loomline.llm.common import BROADCAST_ROWS, column, fresh, persist, table
 
 
 @dataclass(frozen=True)
@@ -98,23 +105,42 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
     return sorted((c for c in clauses if not any(o < c for o in clauses)), key=sorted)
 
 
+def grams_of(rules=RULES) -> list[str]:
+    """All trigrams that the rules ask for."""
+    return sorted({g for r in rules for clause in trigram_query(r.regex) for g in clause})
+
+
+def held(low: Column, rules=RULES) -> Column:
+    """Array of the asked trigrams that a lower-case text contains."""
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams_of(rules)]))
+
+
 def postings(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """(trigram, doc_id): the inverted index over the trigrams that the rules ask for."""
-    grams = sorted({g for r in rules for clause in trigram_query(r.regex) for g in clause})
-    low = F.lower(F.col(text))
-    found = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in grams]))
-    return docs.select("doc_id", low.alias("low")).select("doc_id", F.explode(found).alias("trigram"))
+    return docs.select("doc_id", F.lower(column(text)).alias("low")).select("doc_id", F.explode(held(F.col("low"), rules)).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """doc_id and the rules (at most one entry a rule) whose trigram query it satisfies."""
+    """doc_id and ``bits``: bit i is set if the document satisfies the trigram query of rule i."""
     spark = docs.sparkSession
-    clauses = [(r.kind, i, sorted(clause)) for r in rules for i, clause in enumerate(trigram_query(r.regex))]
-    asked = [(kind, i, g, 1 << at, (1 << len(grams)) - 1) for kind, i, grams in clauses for at, g in enumerate(grams)]
-    query = spark.createDataFrame(asked, "rule string, clause int, trigram string, bit long, need long")
+    clauses = [(at, i, sorted(clause)) for at, r in enumerate(rules) for i, clause in enumerate(trigram_query(r.regex))]
+    asked = [(at, i, g, 1 << k, (1 << len(grams)) - 1) for at, i, grams in clauses for k, g in enumerate(grams)]
+    query = spark.createDataFrame(asked, "rule int, clause int, trigram string, bit long, need long")
     hits = postings(docs, rules, text).join(F.broadcast(query), "trigram")  # a row for each trigram of the rule set
     met = hits.groupBy("doc_id", "rule", "clause").agg(F.bit_or("bit").alias("bits"), F.max("need").alias("need")).where("bits = need")
-    return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    return met.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("bits"))
+
+
+def bits_in_row(text: Column, rules=RULES) -> Column:
+    """The same bits from the row's own postings."""
+    found, bits = held(F.lower(text), rules), F.lit(0).cast("long")
+    for at, rule in enumerate(rules):
+        clauses = [F.size(F.array_intersect(found, F.array(*map(F.lit, sorted(c))))) == len(c) for c in trigram_query(rule.regex)]
+        met = clauses[0] if clauses else F.lit(False)
+        for c in clauses[1:]:
+            met = met | c
+        bits = bits.bitwiseOR(F.when(met, F.lit(1 << at).cast("long")).otherwise(0))
+    return bits
 
 
 def spans_of(rule: Rule, at: int, text: Column) -> Column:
@@ -143,18 +169,22 @@ def spans_of(rule: Rule, at: int, text: Column) -> Column:
     return F.when(F.size(whole) > 0, F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(f"array<{item}>"))
 
 
-def spans(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, rules=RULES, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs with ``spans``: array of (start, ord, end, kind) sorted by start, then rule order."""
-    found = candidates(docs, rules, text).withColumnRenamed("doc_id", "candidate_id")
-    names = [c for c in docs.columns if c not in ("spans", "rules", "candidate_id")]
-    df = docs.select(*names).join(found, docs.doc_id.eqNullSafe(F.col("candidate_id")), "left")
-    body, each = F.coalesce(F.col(text), F.lit("")), []
+    docs = docs.drop("spans")
+    a, b = fresh(docs, "candidate_id", "candidate_rules")
+    found = persist(candidates(docs, rules, text)).select(F.col("doc_id").alias(a), F.col("bits").alias(b))
+    if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        df = docs.join(F.broadcast(found), F.col("doc_id").eqNullSafe(F.col(a)), "left").drop(a)
+    else:
+        df = docs.withColumn(b, bits_in_row(column(text), rules))
+    body, each = F.coalesce(column(text), F.lit("")), []
     for at, rule in enumerate(rules):
         own = spans_of(rule, at, body)
         if trigram_query(rule.regex):
-            own = F.when(F.array_contains("rules", rule.kind), own).otherwise(F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))
+            own = F.when(F.coalesce(F.col(b), F.lit(0)).bitwiseAND(1 << at) != 0, own).otherwise(F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))
         each.append(own)
-    return df.withColumn("spans", F.array_sort(F.concat(*each))).drop("rules", "candidate_id")
+    return df.withColumn("spans", F.array_sort(F.concat(*each))).drop(b)
 
 
 def joined(found: Column) -> Column:
