@@ -3,13 +3,17 @@
 A fingerprint lists position:hash of the selected K-grams; two texts that share
 WINDOW + K - 1 consecutive code points share a hash. Likeness is the Jaccard index
 of the two hash sets. The query compares each document with its edited text and
-with the next document in doc_id order. Documents are cut into ranges of doc_id by
-quantiles; each range also gets the first document of the next one, so neighbours
-meet in one task and no range passes through one task whole.
+with the next document in (doc_id, text hash) order. Documents are cut into ranges by
+quantiles of doc_id, a doc_id that fills several ranges (and null) by its texts'
+hashes; each range also gets the first document of the next one, so neighbours meet
+in one task and no range passes through one task whole. Rows of a range are read one
+after the other, so its memory is that of two texts. The digest of an edited text
+needs a whole text and the start of another in one place: one shuffle of the texts.
 
 Defined cases: null text counts as empty; an empty text has an empty fingerprint,
 like (1) another empty one only; fewer than K code points make one gram; null
-doc_ids come last; rows of equal doc_id follow by text; a single row is its own next.
+doc_ids come last; rows of equal doc_id follow by text hash, then text; a single row
+is its own next; texts are read whole, however long; other columns are not read.
 """
 
 import hashlib
@@ -21,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import winnow
-from loomline.llm.common import sliced, table
+from loomline.llm.common import column, sliced, table, text_hash
 
-K, WINDOW = 16, 64
+K, WINDOW = 12, 32
 #: Documents in a doc_id range, and most ranges (their bounds are driver-side numbers).
 RANGE_ROWS, MAX_RANGES = 512, 20_000
 
@@ -78,28 +82,40 @@ def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
 
 
+def blocks_of(rows: int) -> int:
+    return max(1, rows // RANGE_ROWS)
+
+
 def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     """PAIR_SCHEMA of every document: its fingerprint, its edited text's, both likenesses."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = rows.count()
-    n_ranges = min(MAX_RANGES, max(1, n // RANGE_ROWS))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.2 / n_ranges))) if n_ranges > 1 else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("th"), F.coalesce(column(text), F.lit("")).alias("text"))
+    n, n_null = rows.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    n_ranges = min(MAX_RANGES, blocks_of(n))
+    found = rows.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.2 / n_ranges) if n_ranges > 1 else []
+    # a doc_id that several quantiles fall on gets a block of hashes for each of them; larger ids up to the next bound follow it
+    bounds, times = np.unique(np.array(found, np.float64), return_counts=True)
+    blocks = np.concatenate([[1], np.where(times > 1, times, 1), [min(MAX_RANGES, blocks_of(n_null))]]).astype(np.int64)
+    firsts = np.concatenate([[0], np.cumsum(blocks + 1)])
 
     @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        at = np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="right").astype(np.int32)
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, at), pa.int32())
-
-    placed = rows.withColumn("range", range_of("doc_id")).withColumn("sentinel", F.lit(False))
+    def range_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        own, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        at = np.where(null, len(bounds) + 1, np.searchsorted(bounds, own, side="right"))
+        # blocks of equal width of the signed hash, in its order
+        block = ((hashes.to_numpy().astype(np.float64) / 2**64 + 0.5) * blocks[at]).astype(np.int64).clip(0, blocks[at] - 1)
+        larger = np.zeros(len(own), bool) if not len(bounds) else ~null & (at > 0) & (own > bounds[np.clip(at - 1, 0, len(bounds) - 1)])
+        return pa.array((firsts[at] + np.where(larger, blocks[at], np.where(null | (at > 0), block, 0))).astype(np.int32), pa.int32())
+
+    placed = rows.withColumn("range", range_of("doc_id", "th")).withColumn("sentinel", F.lit(False))
     # the first document of each range ends the range before it, and that of the first range ends the last
-    firsts = placed.groupBy("range").agg(F.min("doc_id").alias("first_id")).orderBy("range").collect()
-    ends = [(firsts[i - 1].range, r.range, r.first_id) for i, r in enumerate(firsts)]
-    ends_df = F.broadcast(spark.createDataFrame(ends, "end_of int, first_range int, first_id long"))  # at most MAX_RANGES + 1 rows
-    same = (F.col("range") == F.col("first_range")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    sentinels = placed.join(ends_df, same).groupBy("end_of", "first_id").agg(F.min("text").alias("text"))
-    sentinels = sentinels.select(F.col("first_id").alias("doc_id"), "text", F.col("end_of").alias("range"), F.lit(True).alias("sentinel"))
-    order = ("range", "sentinel", F.col("doc_id").asc_nulls_last(), "text")
+    first = placed.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first")).orderBy("range").collect()
+    ends = [(first[i - 1].range, r.range, r.first.doc_id, r.first.th) for i, r in enumerate(first)]
+    ends_df = F.broadcast(spark.createDataFrame(ends, "end_of int, first_range int, first_id long, first_th long"))  # at most 4 * MAX_RANGES rows
+    same = (F.col("range") == F.col("first_range")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    sentinels = placed.join(ends_df, same).groupBy("end_of", "first_id", "first_th").agg(F.min("text").alias("text"))
+    sentinels = sentinels.select(F.col("first_id").alias("doc_id"), F.col("first_th").alias("th"), "text", F.col("end_of").alias("range"), F.lit(True).alias("sentinel"))
+    order = ("range", "sentinel", F.col("doc_id").asc_nulls_last(), "th", "text")
     return placed.unionByName(sentinels).repartition("range").sortWithinPartitions(*order).mapInArrow(pair_batches, PAIR_SCHEMA)
 
 

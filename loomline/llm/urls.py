@@ -2,30 +2,48 @@
 
 An Aho-Corasick automaton finds every vocabulary term in a lower-cased URL. A term
 counts where no letter or digit touches it. One strict term rejects; so do
-SOFT_NEEDED different soft terms. Host and path rules go before the vocabulary.
+SOFT_NEEDED different soft terms. Host and path rules go before the vocabulary. The
+vocabulary is a parameter; ``read_terms`` reads one from files of "strict|soft, tab, term".
 
 Defined cases: a null URL, or one without "://", has empty host and path, meets no
-rule, and is judged by its own text (null: allow). Repeated rows are judged alike.
+rule, and is judged by its own text (null: allow). Rules that tie in length go by the
+later of them; a term in both lists is strict; a term counts once however often it
+occurs; URLs are read whole, however long; repeated rows are judged alike. Extra
+columns are kept; host, path, rule, verdict, strict_terms and soft_terms replace theirs.
 """
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import table
-
-#: Terms that reject alone, and terms of which SOFT_NEEDED different ones reject.
-STRICT_TERMS = ("casino", "escort", "gambling", "malware", "phishing", "porn", "viagra", "warez", "xxx")
-SOFT_TERMS = ("ad", "ads", "adult", "bet", "cheap", "click", "dating", "download", "free", "hack", "nude", "page", "ref", "sex", "torrent", "win")
+from loomline.llm.common import column, fresh, table
+
+#: Terms that reject alone.
+STRICT_TERMS = (
+    "bestiality", "bitchute", "blackjack", "blowjob", "bukkake", "camgirl", "camgirls", "casino", "casinos", "crackz", "creampie", "cumshot", "cybersex", "deepfake", "dildo",
+    "escort", "escorts", "fentanyl", "gambling", "gangbang", "hardcore", "hentai", "horny", "incest", "keygen", "keygens", "lolita", "malware", "masturbation", "milf", "nsfw",
+    "nudes", "onlyfans", "orgasm", "orgy", "phishing", "poker", "porn", "porno", "pornhub", "pornstar", "ransomware", "redtube", "roulette", "sportsbook", "spyware", "striptease",
+    "swingers", "tramadol", "viagra", "voyeur", "warez", "webcamsex", "whore", "xanax", "xhamster", "xnxx", "xvideos", "xxx", "youporn",
+)
+#: Terms of which SOFT_NEEDED different ones reject.
+SOFT_TERMS = (
+    "adult", "adults", "amateur", "babe", "babes", "bet", "bets", "betting", "bikini", "bonus", "bonuses", "cheap", "cialis", "cigarettes", "crack", "cracked", "dating", "deals",
+    "erotic", "exploit", "fetish", "free", "gay", "girls", "hack", "hacked", "hacks", "hookup", "hot", "jackpot", "kinky", "lesbian", "lingerie", "live", "loan", "loans", "lottery",
+    "naked", "nude", "odds", "payday", "pharmacy", "pills", "pirate", "pirated", "replica", "sex", "sexy", "singles", "slot", "slots", "spins", "stream", "strip", "teen", "teens",
+    "torrent", "torrents", "tube", "vape", "weed", "win", "winner", "xx",
+)
 SOFT_NEEDED = 2
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
-def automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automaton:
+@lru_cache(maxsize=8)
+def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Built once in a Python worker for a vocabulary."""
     found = ahocorasick.Automaton()
     for weight, terms in ((1, soft), (SOFT_NEEDED, strict)):
         for term in terms:
@@ -34,6 +52,17 @@ def automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automat
     return found
 
 
+def read_terms(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) of a vocabulary in text files, a line "strict<tab>term" or "soft<tab>term" each; terms are lower-cased.
+
+    A vocabulary goes to every task, so it is held by the driver too.
+    """
+    parts = F.split("value", "\t")
+    lines = spark.read.text(path).select(F.lower(F.trim(parts[0])).alias("kind"), F.lower(F.trim(F.try_element_at(parts, F.lit(2)))).alias("term"))
+    found = lines.where("kind in ('strict', 'soft') and term <> ''").distinct().orderBy("term").collect()
+    return tuple(r.term for r in found if r.kind == "strict"), tuple(r.term for r in found if r.kind == "soft")
+
+
 def touches(url: str, at: int) -> bool:
     return 0 <= at < len(url) and url[at].isascii() and url[at].isalnum()
 
@@ -45,6 +74,8 @@ def count_terms(url: str, terms: ahocorasick.Automaton) -> tuple[int, int]:
 
 
 def terms_udf(strict: Sequence[str] = STRICT_TERMS, soft: Sequence[str] = SOFT_TERMS):
+    strict, soft = tuple(strict), tuple(soft)
+
     @F.arrow_udf("struct<strict:int,soft:int>")
     def counts(urls: pa.Array) -> pa.Array:
         terms = automaton(strict, soft)
@@ -60,25 +91,28 @@ def ascii_lower(text: Column) -> Column:
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The lower-cased host and the path of a URL; both empty without "://"."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
     head = F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 1)
-    return ascii_lower(head), F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 2)
+    return F.coalesce(ascii_lower(head), F.lit("")), F.coalesce(F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 2), F.lit(""))
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT_TERMS, soft=SOFT_TERMS, soft_needed=SOFT_NEEDED) -> DataFrame:
     """The pages with host, path, rule, strict_terms, soft_terms and verdict."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "strict_terms", "soft_terms")]
-    host, path = host_and_path(F.col("__url"))
-    df = pages.select(*kept).withColumn("__url", F.col(url)).withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
+    made = ("host", "path", "rule", "verdict", "strict_terms", "soft_terms")
+    (own, terms) = fresh(pages, "judged_url", "judged_terms")
+    df = pages.withColumn(own, column(url))
+    df = df.select(*[column(c) for c in df.columns if c.lower() not in made])
+    host, path = host_and_path(F.col(own))
+    df = df.withColumns({"host": host, "path": path})
     rule = verdict = F.lit(None).cast("string")
     for said, of, prefix in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((F.col("host") == of) | F.col("host").endswith("." + of)) & F.col("path").startswith(prefix)
         rule, verdict = F.when(fits, F.lit(of + prefix)).otherwise(rule), F.when(fits, F.lit(said)).otherwise(verdict)
-    df = df.withColumn("__terms", terms_udf(tuple(strict), tuple(soft))(ascii_lower(F.col("__url"))))
-    by_terms = F.when((F.col("__terms.strict") > 0) | (F.col("__terms.soft") >= soft_needed), "block").otherwise("allow")
+    df = df.withColumn(terms, terms_udf(strict, soft)(ascii_lower(F.col(own))))
+    by_terms = F.when((F.col(terms)["strict"] > 0) | (F.col(terms)["soft"] >= soft_needed), "block").otherwise("allow")
     return df.withColumns(
-        {"rule": rule, "strict_terms": F.col("__terms.strict"), "soft_terms": F.col("__terms.soft"), "verdict": F.coalesce(verdict, by_terms)}
-    ).drop("__url", "__terms")
+        {"rule": rule, "strict_terms": F.col(terms)["strict"], "soft_terms": F.col(terms)["soft"], "verdict": F.coalesce(verdict, by_terms)}
+    ).drop(own, terms)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
