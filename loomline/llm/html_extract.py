@@ -3,10 +3,13 @@
 Every leaf block becomes a vector of its hashed tag path, hashed words and a few
 measures. A bidirectional LSTM in numpy reads the whole page's sequence of blocks
 and gives each block its probability of being article text. It is trained on
-TRAIN_PAGES made-up pages, on the driver, once a process; pages are extracted whole.
+TRAIN_PAGES made-up pages of unlike layouts, on the driver, once a process; pages are
+extracted whole, however long.
 
 Defined cases: null or empty html gives an empty text; pages without markup are one
-block; broken markup is read leniently; repeated rows are extracted alike.
+block; broken markup is read leniently; a probability of just 0.5 counts as article
+text; repeated rows are extracted alike. Other columns are kept, whatever their names;
+text and n_chars replace columns of those names.
 """
 
 import functools
@@ -20,10 +23,10 @@ from pyspark.sql import functions as F
 
 from loomline.llm.html_blocks import Block, blocks
 from loomline.llm.html_pages import pages as made_pages
-from loomline.llm.common import table
+from loomline.llm.common import column, table
 
-TRAIN_PAGES, EPOCHS, HIDDEN = 1500, 6, 24
-PATH_DIM, WORD_DIM, MEASURES = 160, 32, 8
+TRAIN_PAGES, EPOCHS, HIDDEN = 4000, 6, 24
+PATH_DIM, WORD_DIM, MEASURES = 256, 128, 13
 DIM = PATH_DIM + WORD_DIM + MEASURES
 #: Blocks that are labelled together at most (a longer page goes alone), and words a task remembers.
 BATCH_BLOCKS, MEMO_WORDS = 20_000, 200_000
@@ -64,13 +67,16 @@ class Vectors:
 
     def page(self, found: list[Block]) -> np.ndarray:
         out = np.zeros((len(found), DIM), np.float32)
+        total = sum(len(b.text) for b in found)
+        longest = max((len(b.text) for b in found), default=0)
         for i, b in enumerate(found):
             words = b.text.split(" ")
             out[i, :PATH_DIM] = self.path(b.path)
             out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([self.word(w) for w in words], minlength=WORD_DIM) / len(words)
             n = len(b.text)
             out[i, -MEASURES:] = (
-                np.log1p(len(words)) / 5, min(1.0, b.link_chars / n), b.text[-1] in ".!?…", len(words) < 4, len(words) > 20, i / len(found), (len(found) - i) / len(found), b.text[0].isupper(),
+                np.log1p(len(words)) / 5, min(1.0, b.link_chars / n), b.text[-1] in ".!?…:;。", len(words) < 4, len(words) > 20, i / len(found), (len(found) - i) / len(found), b.text[0].isupper(),
+                n / total, n / longest, np.log1p(len(found)) / 5, b.text.count(",") / len(words), sum(map(b.text.count, "0123456789")) / n,
             )
         return out
 
@@ -150,15 +156,15 @@ def train(n_pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 0) -> li
         found = blocks(page)
         if len(found) == len(truth) and found:
             data.append((vectors.page(found), np.array(truth, np.float32)))
+    data.sort(key=lambda d: len(d[1]))  # pages of like length share a step
     rng = np.random.default_rng(seed)
     shape = lambda *s: (rng.standard_normal(s) * (1 / s[0]) ** 0.5).astype(np.float32)
     one = lambda: [shape(DIM, 4 * HIDDEN), shape(HIDDEN, 4 * HIDDEN), np.zeros(4 * HIDDEN, np.float32)]
     weights = [*one(), *one(), shape(2 * HIDDEN + DIM, 1), np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for _ in range(epochs):
-        order = rng.permutation(len(data))
-        for k in range(0, len(order), 32):
-            part = [data[i] for i in order[k : k + 32]]
+        for k in rng.permutation(np.arange(0, len(data), 32)):
+            part = data[k : k + 32]
             x, mask = padded([v for v, _ in part])
             y, _ = padded([t[:, None] for _, t in part])
             kept_a, kept_b, reverse = [], [], backwards(x, mask)
@@ -216,8 +222,8 @@ def extractor(weights: list[np.ndarray]):
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """The pages with text and n_chars in place of the html."""
-    kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    return pages.select(*kept, extractor(train())(F.col(html)).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    kept = [column(c) for c in pages.columns if c.lower() not in (html.lower(), "text", "n_chars")]
+    return pages.select(*kept, extractor(train())(column(html)).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
