@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir), its result is written as Parquet and read
-again as the next stage's docs, so a lost executor costs at most one stage.
+again as the next stage's docs, so a lost executor costs at most one stage. A table
+is deleted once the next stage's is written; the last one stays for the caller.
 """
 
 import uuid
@@ -9,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import decontaminate, linededup, mixing, simhash, toxicity
-from loomline.llm.common import shared_folder, table
+from loomline.llm.common import remove, shared_folder, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -26,8 +27,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; intermediate tables go to the shared checkpoint folder."""
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
