@@ -100,7 +100,6 @@ def windows_batch(out: list[list[dict]]) -> pa.Array:
     return pa.array(out, kind).cast(pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("words", pa.string())])))
 
 
-@F.arrow_udf(WINDOWS)
 def all_windows(texts: pa.Array, lengths: pa.Array) -> pa.Array:
     """All windows of n words of each text."""
     out = []
@@ -110,7 +109,6 @@ def all_windows(texts: pa.Array, lengths: pa.Array) -> pa.Array:
     return windows_batch(out)
 
 
-@F.arrow_udf(WINDOWS)
 def windows_at(texts: pa.Array, hits: pa.Array) -> pa.Array:
     """The windows of n words that hold a gram at one of the hits (n, at)."""
     out = []
@@ -131,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", spa
     empty = F.array().cast("array<int>"), F.array().cast("array<string>")
     if not lengths:
         return body.select("doc_id", "th", count.alias("n_words"), empty[0].alias("hits"), empty[1].alias("items"))
-    asked = items.select("doc_id", F.explode(all_windows("text", "own")).alias("w"))
+    asked = items.select("doc_id", F.explode(F.arrow_udf(all_windows, WINDOWS)("text", "own")).alias("w"))
     asked = persist(asked.groupBy(F.col("w.words").alias("words")).agg(F.collect_set(F.col("doc_id").cast("string")).alias("ids")))
     asked = small(asked, parts=F.length("words") / 4 + F.size("ids") * 4)
     marks = [fingerprints(items.where(F.col("own") == n), (n,)) for n in lengths]
@@ -143,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", spa
     hit = persist(hit.groupBy("doc_id", "th").agg(F.collect_set(F.struct("n", "at")).alias("ats")).select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "ats"))
     hit = small(hit, parts=F.size("ats") * 2 + 4)
     near = body.join(hit, body.doc_id.eqNullSafe(F.col("hit_id")) & (body.th == F.col("hit_th")))
-    near = near.select("doc_id", "th", F.explode(windows_at("text", "ats")).alias("w")).distinct()
+    near = near.select("doc_id", "th", F.explode(F.arrow_udf(windows_at, WINDOWS)("text", "ats")).alias("w")).distinct()
     # of the windows that hold a shared gram, those that are the benchmark's, word for word
     same = near.select("doc_id", "th", "w.start", "w.n", "w.words").join(asked, "words")
     found = same.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("ranges"), F.flatten(F.collect_set("ids")).alias("items"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomline.llm import crf, decontaminate, fingerprint, html_blocks, html_extract, language, linededup, mixing, queries, secrets, simhash, toxicity, urls, winnow
+from loomline.llm import crf, decontaminate, fingerprint, html_blocks, html_extract, linededup, mixing, queries, secrets, simhash, urls, winnow
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu xi omicron pi rho sigma tau".split()
@@ -129,14 +129,28 @@ def test_crf_marginals_by_enumeration():
         at += n
 
 
-def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
-    truth = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
-    found = [r for r in language.query(spark, sf).collect() if r.held_out]
-    assert np.mean([truth[r.doc_id].lang == r.lang_pred for r in found]) > 0.98
-    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    scored = [r for r in toxicity.query(spark, sf).collect() if r.held_out and r.doc_id in toxic]
-    assert np.mean([r.predicted == toxic[r.doc_id] for r in scored]) > 0.85
+def test_chunked_messages():
+    """Long sequences are cut into chunks, whose marginals are those of the whole."""
+    rng = np.random.default_rng(1)
+    chain = crf.Chain(np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    lengths = np.array([3, 1, 40, 17, 100, 8, 64])
+    scores = rng.normal(size=(lengths.sum(), 3)) * 3
+    for chunk in (1, 2, 7, 8, 16, 64):
+        assert np.allclose(crf.forward_backward(scores, lengths, chain, chunk=1000), crf.forward_backward(scores, lengths, chain, chunk=chunk))
+
+
+def test_features_are_all_grams():
+    slots, owners = crf.Features((1, 2), (1,), (2, 3)).of(["Abc", "x", "abcdefghijkl"])
+    assert np.bincount(owners).tolist() == [1 + 2 + 1 + 2 + 1, 1 + 1 + 1, 1 + 2 + 1 + 11 + 10]
+    again, of = crf.Features((1, 2), (1,), (2, 3)).of(["zz", "abcdefghijkl"])
+    assert sorted(again[of == 1]) == sorted(slots[owners == 2])
+
+
+def test_ring_filter():
+    rng = random.Random(0)
+    flips = lambda n: sum(1 << b for b in rng.sample(range(64), n))
+    assert simhash.ring_near(np.array([0] + [flips(rng.randrange(1, 4)) for _ in range(3000)], np.uint64)).all()
+    assert not simhash.ring_near(np.array([flips(rng.randrange(4, 9)) for _ in range(3000)], np.uint64)).any()
 
 
 def test_fingerprint_pairs(spark, folder):
@@ -175,7 +189,7 @@ def test_mixing_targets(spark, folder):
 def test_decontamination_shuffle_path(spark, folder, monkeypatch):
     before = sorted(map(repr, decontaminate.query(spark, folder).collect()))
     for module in (decontaminate, linededup, simhash, mixing):
-        monkeypatch.setattr(module, "small", lambda df, rows=0: df)
+        monkeypatch.setattr(module, "small", lambda df, rows=0, parts=None: df)
     assert before == sorted(map(repr, decontaminate.query(spark, folder).collect()))
 
 
