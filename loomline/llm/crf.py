@@ -17,9 +17,9 @@ from loomline.llm.rolling import Running
 WORD = re.compile(r"[^\W_]+")
 BITS = 18
 #: Words that advance together at most (one longer sequence goes alone), and words a task remembers.
-BATCH_WORDS, MEMO_WORDS = 400_000, 400_000
-#: Words of a chunk, and code points whose features are hashed at once (besides a longer word).
-CHUNK, SLICE_CHARS = 256, 1 << 17
+BATCH_WORDS, MEMO_WORDS = 200_000, 200_000
+#: Words of a chunk, new words whose emissions are found at once, and code points whose features are hashed at once (besides a longer word).
+CHUNK, NEW_WORDS, SLICE_CHARS = 256, 10_000, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -211,8 +211,9 @@ class Emissions(dict):
             self.values = self.values[:0]
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.fresh:
-            new = self.chain.emissions(*self.features.of(self.fresh), len(self.fresh))
-            self.values, self.fresh = np.concatenate([self.values, new]), []
+            parts = [self.fresh[i : i + NEW_WORDS] for i in range(0, len(self.fresh), NEW_WORDS)]
+            new = [self.chain.emissions(*self.features.of(p), len(p)) for p in parts]
+            self.values, self.fresh = np.concatenate([self.values, *new]), []
         return self.values[at]
 
 

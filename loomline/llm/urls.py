@@ -31,7 +31,7 @@ STRICT_TERMS = (
 )
 #: Terms of which SOFT_NEEDED different ones reject.
 SOFT_TERMS = (
-    "adult", "adults", "amateur", "babe", "babes", "bet", "bets", "betting", "bikini", "bonus", "bonuses", "cheap", "cialis", "cigarettes", "crack", "cracked", "dating", "deals",
+    "ad", "ads", "adult", "adults", "amateur", "babe", "babes", "bet", "bets", "betting", "bikini", "bonus", "bonuses", "cheap", "cialis", "cigarettes", "click", "crack", "cracked", "dating", "deals", "download",
     "erotic", "exploit", "fetish", "free", "gay", "girls", "hack", "hacked", "hacks", "hookup", "hot", "jackpot", "kinky", "lesbian", "lingerie", "live", "loan", "loans", "lottery",
     "naked", "nude", "odds", "payday", "pharmacy", "pills", "pirate", "pirated", "replica", "sex", "sexy", "singles", "slot", "slots", "spins", "stream", "strip", "teen", "teens",
     "torrent", "torrents", "tube", "vape", "weed", "win", "winner", "xx",
