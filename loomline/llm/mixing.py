@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from loomline.llm.common import HOT_ROWS, BROADCAST_ROWS, column, fresh, persist, small, table, text_hash
 
 WEIGHTS, MAX_REPEATS, SEED = (5, 2, 1), 3, "mix"
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, BLANKS = r"[^\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
 
 def ranked(per_source: DataFrame) -> DataFrame:
@@ -171,13 +171,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     split = F.lit(False)
     for n in counts:
         split = split | ((F.col(part) > F.col(b)[f"least_{n}"]) & (F.col(part) <= F.col(b)[f"most_{n}"]))
-    whole = at.where(~split & (sure > 0)).withColumn(own, sure)
     # entries of the buckets where the number of copies falls
     some = found.join(fewest.where("least < most").select(F.col("source").alias("s"), F.col("bucket").alias("b")), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left_semi")
-    some = small(persist(some.where("copies > 0 and each > 0").select(F.col("doc_id").alias(ids), F.col("th").alias(ths), F.col("source").alias(of), F.col("copies").alias(own))))
+    some = persist(some.where("copies > 0 and each > 0").select(F.col("doc_id").alias(ids), F.col("th").alias(ths), F.col("source").alias(of), F.col("copies").alias(own)))
     same = F.col("doc_id").eqNullSafe(F.col(ids)) & (text_hash() == F.col(ths)) & F.col("source").eqNullSafe(F.col(of))
-    edge = at.where(split).join(some, same).drop(ids, ths, of)
-    taken = whole.unionByName(edge).withColumn(size, size_of("text")).where(F.col(size) > 0)
+    near = small(some)
+    if near is not some:
+        taken = at.join(near, same & split, "left").withColumn(own, F.when(split, F.col(own)).otherwise(sure)).drop(ids, ths, of)
+    else:  # only the texts of those buckets are shuffled
+        taken = at.where(~split).withColumn(own, sure).unionByName(at.where(split).join(some, same).drop(ids, ths, of))
+    # a text of blanks has no size
+    taken = taken.where((F.col(own) > 0) & (F.length(F.btrim("text", F.lit(BLANKS))) > 0)).withColumn(size, size_of("text"))
     values = {"size": F.col(size), "source_size": F.col(b)["source_size"], "target": F.col(b)["target"], "taken": F.col(own) * F.col(size)}
     return taken.select(*map(column, names), *[v.alias(k) for k, v in values.items()])
 
