@@ -3,11 +3,13 @@
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.graph import cut as cut_lineage
 from loomline.operators.nearest import nearest, nearest_by_bits
 
 K1, B = 1.2, 0.75
@@ -19,15 +21,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def bm25(docs: DataFrame, terms: list[str], k: int) -> DataFrame:
+def once(value: Column) -> Column:
+    """The value made once a row (explode of one element), however often later columns use it."""
+    return F.explode(F.array(value))
+
+
+def bm25(docs: DataFrame, terms: list[str], k: int, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """(id, score) of the k best rows that hold all terms; docs: id, text. Ties go to the lower id.
 
-    Only the asked terms' counts and the lengths leave a row, never the text.
+    Each text is cut into words once; only the asked terms' counts and the lengths
+    leave a row, and statistics and scores are both made from that narrow table.
     """
-    counts = docs.select("id", tokens(F.col("text")).alias("t"))
+    counts = docs.select("id", once(words(F.col("text"))).alias("t"))
     occurrences = lambda w: F.size(F.filter("t", lambda x: x == w))
     tf = [occurrences(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    counts = counts.select("id", F.size("t").alias("len"), *tf)
+    counts = cut_lineage(counts.select("id", F.size("t").alias("len"), *tf))
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     both = counts.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
@@ -88,7 +96,14 @@ def fuse(first: DataFrame, second: DataFrame, constant: int = 60) -> DataFrame:
     best = lambda df, name: df.groupBy("query_id", "vec_id").agg(F.min("rank").alias(name))
     both = best(first, "r1").join(best(second, "r2"), ["query_id", "vec_id"], "full")
     score = F.coalesce(1 / (F.lit(constant) + F.col("r1")), F.lit(0.0)) + F.coalesce(1 / (F.lit(constant) + F.col("r2")), F.lit(0.0))
-    return both.select("query_id", "vec_id", F.round(score, 9).alias("score"), F.when(F.col("r2").isNull(), "first").when(F.col("r1").isNull(), "second").otherwise("both").alias("found"))
+    found = F.when(F.col("r2").isNull(), "first").when(F.col("r1").isNull(), "second").otherwise("both")
+    return both.select("query_id", "vec_id", F.round(score, 9).alias("score"), found.alias("found"), "r1", "r2", score.alias("exact"))
+
+
+def best_fused(fused: DataFrame, k: int) -> DataFrame:
+    """The k best of each query of a fused list with their ``place``: ties go by the first list's rank, the second's, then the item."""
+    order = (F.desc("exact"), F.col("r1").asc_nulls_last(), F.col("r2").asc_nulls_last(), "vec_id")
+    return fused.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k)
 
 
 def measures(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -97,6 +112,11 @@ def measures(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return hits.agg(F.round(F.count("rank") / F.count(F.lit(1)), 6).alias("recall"), F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
+def macro(each: DataFrame) -> DataFrame:
+    """Number of queries and the means of their measures (recall, reciprocal_rank)."""
+    return each.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("reciprocal_rank"))
+
+
 def check_evaluation(ranking: DataFrame, relevant: DataFrame, judged: DataFrame) -> DataFrame:
     """(query_id, fault) of evaluation input that ``measures`` must not be given.
 
@@ -178,18 +198,19 @@ def phrase_count(words: Column, phrase: list[str]) -> Column:
     return F.when(F.size(words) < len(phrase), 0).otherwise(F.size(F.filter(starts, lambda i: F.slice(words, i, len(phrase)) == want)))
 
 
-def lexical(docs: DataFrame, phrases: list[list[str]], k: int, columns: dict[str, float], every: bool = True) -> DataFrame:
+def lexical(docs: DataFrame, phrases: list[list[str]], k: int, columns: dict[str, float], every: bool = True, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """(id, score) of the k best rows by BM25 over several weighted columns; rows hold every phrase, or any.
 
     A column's weight multiplies its counts; the length is that of all columns. No phrases: no rows.
     """
     if not phrases:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    words = docs.select("id", *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
+    cut = F.struct(*[words(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
+    made = docs.select("id", once(cut).alias("made")).select("id", *[F.col("made")[c].alias(c) for c in columns])
     total = lambda p, weighted: sum((phrase_count(F.col(c), p) * (w if weighted else 1) for c, w in columns.items()), F.lit(0))
     length = sum((F.size(c) for c in columns), F.lit(0)).alias("len")
-    counts = words.select("id", length, *[total(p, True).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    found = [F.col(f"tf{i}") > 0 for i in range(len(phrases))]
+    counts = made.select("id", length, *[total(p, True).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    counts, found = cut_lineage(counts), [F.col(f"tf{i}") > 0 for i in range(len(phrases))]
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.sum(h.cast("long")).alias(f"df{i}") for i, h in enumerate(found)])
     keep = functools.reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), found)
     score = F.lit(0.0)
@@ -239,7 +260,7 @@ def search(docs: DataFrame, vectors: DataFrame, mode: str, query: str, vector: D
         return words.orderBy(F.desc("score"), "id").limit(k).select("id", "score", F.lit("first").alias("found"), F.lit(used).alias("mode_used"))
     one = words.select(F.lit(0).alias("query_id"), F.col("id").alias("vec_id"), (-F.col("score")).alias("s"))
     both = fuse(ranked(one, "s", pool), knn(vectors, vector.withColumn("query_id", F.lit(0)), pool))
-    return both.orderBy(F.desc("score"), "vec_id").limit(k).select(F.col("vec_id").alias("id"), "score", "found", F.lit("hybrid").alias("mode_used"))
+    return best_fused(both, k).select(F.col("vec_id").alias("id"), "score", "found", F.lit("hybrid").alias("mode_used"))
 
 
 def search_each(docs: DataFrame, vectors: DataFrame, mode: str, query: str, queries: DataFrame, k: int = 20, pool: int = 256) -> DataFrame:
@@ -250,8 +271,7 @@ def search_each(docs: DataFrame, vectors: DataFrame, mode: str, query: str, quer
     words = lexical(docs, parse_query(query), pool, {"text": 1.0, "context": 2.0})
     one = ranked(words.select(F.lit(0).alias("list"), F.col("id").alias("vec_id"), (-F.col("score")).alias("s")), "s", pool, "list").select("vec_id", "rank")
     both = fuse(queries.select(F.col("query_id").cast("long")).crossJoin(F.broadcast(one)), knn(vectors, queries, pool))  # at most ``pool`` rows
-    best = ranked(both.withColumn("s", -F.col("score")), "s", k)
-    return best.select("query_id", F.col("vec_id").alias("id"), "score", "found", F.lit("hybrid").alias("mode_used"))
+    return best_fused(both, k).select("query_id", F.col("vec_id").alias("id"), "score", "found", F.lit("hybrid").alias("mode_used"))
 
 
 def excerpt(text: str, phrases: list[list[str]], size: int = 512, lead: int = 96) -> tuple[str, list[tuple[int, int]]]:

@@ -210,7 +210,7 @@ SELECT coalesce(a.query_id, c.query_id) AS query_id, coalesce(a.vec_id, c.vec_id
  CASE WHEN r2 IS NULL THEN 'first' WHEN r1 IS NULL THEN 'second' ELSE 'both' END AS found FROM a FULL JOIN c ON a.query_id = c.query_id AND a.vec_id = c.vec_id""")
 def rrf_fusion(spark, sf, asked="vec_id < 18", pool=64):
     v, q = read(spark, sf, "embeddings"), _queries(spark, sf, asked)
-    return search.fuse(search.knn(v, q, pool), search.hamming_top(v, q, pool))
+    return search.fuse(search.knn(v, q, pool), search.hamming_top(v, q, pool)).drop("r1", "r2", "exact")
 
 
 @query(SQL["coarse_then_rerank_every"].replace("y.rank <= 100", "y.rank <= 5000"))
@@ -264,7 +264,8 @@ def phrase_match(spark, sf):
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, greatest(1, len(t) - 32), 224)) AS s FROM t WHERE len(t) > 0)
 SELECT doc_id, CAST(s // 224 AS INT) AS position, len(t[s + 1:s + 256]) AS n, sha256(array_to_string(t[s + 1:s + 256], ' ')) AS digest FROM s""")
 def sliding_token_window(spark, sf):
-    words = read(spark, sf, "documents").select("doc_id", chunking.token_windows(search.tokens(F.col("text")), 256, 32).alias("w"))
+    words = read(spark, sf, "documents").select("doc_id", search.once(search.tokens(F.col("text"))).alias("t"))
+    words = words.select("doc_id", chunking.token_windows(F.col("t"), 256, 32).alias("w"))
     return words.select("doc_id", F.posexplode("w").alias("position", "x")).select("doc_id", "position", F.size("x").cast("long").alias("n"), F.sha2(F.array_join("x", " "), 256).alias("digest"))
 
 

@@ -69,9 +69,26 @@ def bm25_two_columns(spark, sf):
     return search.lexical(_docs(spark, sf), [["the"], ["and"]], 20, {"text": 1.0, "context": 2.0})
 
 
+FOLDED = COUNTS.replace("lower(text), '[a-z0-9_]+'", "strip_accents(lower(text)), '[\\p{L}\\p{N}_]+'").replace("lower(source || ' the'), '[a-z0-9_]+'", "strip_accents(lower(source || ' the')), '[\\p{L}\\p{N}_]+'").replace("x = 'the'", "x = 'fur'").replace("x = 'and'", "x = 'und'")
+
+
+@query(f"WITH {FOLDED} SELECT id, score FROM w ORDER BY score DESC, id LIMIT 20")
+def bm25_folded(spark, sf):
+    """Words of any script without their marks: a search for "fur" finds "für"."""
+    return search.lexical(_docs(spark, sf), [["fur"], ["und"]], 20, {"text": 1.0, "context": 2.0}, words=search.folded_tokens)
+
+
+@query("WITH t AS (SELECT query_id, round(count(rank) / count(*)::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM (" + SQL["recall_and_mrr_every"].split("SELECT j.query_id")[0] + " SELECT j.query_id, x.rank FROM j LEFT JOIN (SELECT * FROM x WHERE rank <= 100) x ON j.query_id = x.query_id AND j.vec_id = x.vec_id) GROUP BY query_id) SELECT count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS reciprocal_rank FROM t")
+def macro_metrics(spark, sf):
+    """Means over all queries of recall at 100 and reciprocal rank."""
+    v = read(spark, sf, "embeddings")
+    each = search.measures_by_label(search.knn(v, _queries(spark, sf, EVERY), 100), v.select("vec_id", "label"), v.where(EVERY).select(F.col("vec_id").alias("query_id"), "label"), 100)
+    return search.macro(each)
+
+
 @query(f"""WITH {COUNTS}, l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r1 FROM w), {NEAR}, k AS (SELECT vec_id AS id, rank AS r2 FROM x WHERE query_id = 5 AND rank <= 256)
 SELECT coalesce(l.id, k.id) AS id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score, CASE WHEN r2 IS NULL THEN 'first' WHEN r1 IS NULL THEN 'second' ELSE 'both' END AS found, 'hybrid' AS mode_used
-FROM l FULL JOIN k ON l.id = k.id ORDER BY score DESC, id LIMIT 20""")
+FROM l FULL JOIN k ON l.id = k.id ORDER BY coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0) DESC, r1 NULLS LAST, r2 NULLS LAST, id LIMIT 20""")
 def hybrid_search(spark, sf):
     return search.search(_docs(spark, sf), read(spark, sf, "embeddings"), "best", "the and", _queries(spark, sf).where("query_id = 5"))
 
@@ -82,8 +99,8 @@ def semantic_search(spark, sf):
 
 
 @query(f"""WITH {COUNTS}, l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r1 FROM w), {NEAR.replace("q.vec_id < 18", "q." + EVERY)}, k AS (SELECT query_id, vec_id AS id, rank AS r2 FROM x WHERE rank <= 256), a AS (SELECT vec_id AS query_id, id, r1 FROM embeddings, l WHERE {EVERY}),
-f AS (SELECT coalesce(a.query_id, k.query_id) AS query_id, coalesce(a.id, k.id) AS id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score, CASE WHEN r2 IS NULL THEN 'first' WHEN r1 IS NULL THEN 'second' ELSE 'both' END AS found FROM a FULL JOIN k ON a.query_id = k.query_id AND a.id = k.id)
-SELECT query_id, id, score, found, 'hybrid' AS mode_used FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM f) WHERE n <= 20""")
+f AS (SELECT coalesce(a.query_id, k.query_id) AS query_id, coalesce(a.id, k.id) AS id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score, CASE WHEN r2 IS NULL THEN 'first' WHEN r1 IS NULL THEN 'second' ELSE 'both' END AS found, r1, r2, coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0) AS exact FROM a FULL JOIN k ON a.query_id = k.query_id AND a.id = k.id)
+SELECT query_id, id, score, found, 'hybrid' AS mode_used FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, r1 NULLS LAST, r2 NULLS LAST, id) AS n FROM f) WHERE n <= 20""")
 def hybrid_search_every(spark, sf):
     return search.search_each(_docs(spark, sf), read(spark, sf, "embeddings"), "hybrid", "the and", _queries(spark, sf, EVERY))
 
