@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import chunking
-from loomline.operators import search
+from loomline.operators import search, views
 
 
 def cut(text, most, **more):
@@ -82,3 +82,9 @@ def test_fusion_ties(spark):
     lists = [spark.createDataFrame([(0, v, r) for v, r in own], "query_id long, vec_id long, rank int") for own in ([(9, 1), (5, 2)], [(7, 1), (3, 2)])]
     found = search.best_fused(search.fuse(*lists), 10)
     assert [r.vec_id for r in found.orderBy("place").collect()] == [9, 7, 5, 3]
+
+
+def test_cursor_of_another_list():
+    views.same_list("7:thread", "7:thread")
+    with pytest.raises(views.Conflict):
+        views.same_list("7:thread", "8:thread")
