@@ -12,7 +12,7 @@ BROADCAST_ROWS, BROADCAST_PARTS = 200_000, 2_000_000
 #: Least rows of a key that is joined apart from the others.
 HOT_ROWS = 10_000
 #: Rows of an Arrow batch: whole texts are long, and a batch of the default 10,000 fills a worker.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

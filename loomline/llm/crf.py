@@ -17,7 +17,7 @@ from loomline.llm.rolling import Running
 WORD = re.compile(r"[^\W_]+")
 BITS = 18
 #: Words that advance together at most (one longer sequence goes alone), and words a task remembers.
-BATCH_WORDS, MEMO_WORDS = 200_000, 200_000
+BATCH_WORDS, MEMO_WORDS = 200_000, 100_000
 #: Words of a chunk, new words whose emissions are found at once, and code points whose features are hashed at once (besides a longer word).
 CHUNK, NEW_WORDS, SLICE_CHARS = 256, 10_000, 1 << 17
 
