@@ -16,6 +16,7 @@ repeated rows are scored alike. A stage passes extra columns through, whatever
 their names.
 """
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +82,7 @@ def fit(texts: list[str], toxic: np.ndarray, toxic_share: float) -> tuple[crf.Ch
     """The CRF and the curve from evidence to score; toxic_share: of all learnable labels."""
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    docs = [crf.WORD.findall(t or "") for t in texts]
+    docs = [[sys.intern(w) for w in crf.WORD.findall(t or "")] for t in texts]  # a word is held once
     marks = telling(docs, toxic)
     marked: dict[str, bool] = {}
     used = [i for i in range(len(docs)) if docs[i]]
