@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import chunking
 from loomline.operators import audits, graph, search
-from loomline.plans.registry import EVERY, MESSAGES, QUERIES, SQL, UP, every, query
+from loomline.plans.registry import EVERY, MESSAGES, QUERIES, SQL, UP, also, query
 from loomline.sources import archive
 from loomline.sources.archive import read
 from loomline.streaming import activity
@@ -175,70 +175,60 @@ def blob_reconcile(spark, sf):
     return audits.reconcile(read(spark, sf, "labels").select(digest), d.where("doc_id % 9 <> 0").select(digest, F.col("n_chars").alias("bytes")), files)
 
 
-def _queries(spark, sf, asked):
-    return read(spark, sf, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def _queries(spark, sf):
+    return read(spark, sf, "embeddings").where(EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-EXACT = """e AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 18),
+EXACT = f"""e AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings v, embeddings q WHERE q.{EVERY}),
 x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM e)"""
-BITS = """b AS (SELECT vec_id, bit_or(CASE WHEN c >= 0 THEN 1::UBIGINT << (d - 1) ELSE 0::UBIGINT END) AS bits FROM (SELECT vec_id, unnest(embedding) AS c, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY vec_id),
-h AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(bit_count(xor(v.bits, q.bits)) AS INT) AS hamming FROM b v, b q WHERE q.vec_id < 18),
+BITS = f"""b AS (SELECT vec_id, bit_or(CASE WHEN c >= 0 THEN 1::UBIGINT << (d - 1) ELSE 0::UBIGINT END) AS bits FROM (SELECT vec_id, unnest(embedding) AS c, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY vec_id),
+h AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(bit_count(xor(v.bits, q.bits)) AS INT) AS hamming FROM b v, b q WHERE q.{EVERY}),
 y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hamming, vec_id) AS rank FROM h)"""
 
 
-@every()
+@also("every")
 @query(f"WITH {EXACT} SELECT query_id, vec_id, distance, rank FROM x WHERE rank <= 10")
-def knn_l2_topk(spark, sf, asked="vec_id < 18"):
-    return search.knn(read(spark, sf, "embeddings"), _queries(spark, sf, asked), 10)
+def knn_l2_topk(spark, sf):
+    return search.knn(read(spark, sf, "embeddings"), _queries(spark, sf), 10)
 
 
-@every()
+@also("every")
 @query(f"WITH {BITS} SELECT query_id, vec_id, hamming, rank FROM y WHERE rank <= 10")
-def hamming_topk(spark, sf, asked="vec_id < 18"):
-    return search.hamming_top(read(spark, sf, "embeddings"), _queries(spark, sf, asked), 10)
+def hamming_topk(spark, sf):
+    return search.hamming_top(read(spark, sf, "embeddings"), _queries(spark, sf), 10)
 
 
-@every()
-@query(f"WITH {EXACT}, {BITS}, z AS (SELECT e.query_id, e.vec_id, distance FROM e JOIN y ON e.query_id = y.query_id AND e.vec_id = y.vec_id WHERE y.rank <= 100), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM z) SELECT * FROM w WHERE rank <= 10")
-def coarse_then_rerank(spark, sf, asked="vec_id < 18", pool=100):
-    return search.coarse_then_rerank(read(spark, sf, "embeddings"), _queries(spark, sf, asked), pool, 10)
+@also("every", "wide")
+@query(f"WITH {EXACT}, {BITS}, z AS (SELECT e.query_id, e.vec_id, distance FROM e JOIN y ON e.query_id = y.query_id AND e.vec_id = y.vec_id WHERE y.rank <= 5000), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM z) SELECT * FROM w WHERE rank <= 10")
+def coarse_then_rerank(spark, sf, pool=5000):
+    """With the 5,000 candidates of V5."""
+    return search.coarse_then_rerank(read(spark, sf, "embeddings"), _queries(spark, sf), pool, 10)
 
 
-@every()
-@query(f"""WITH {EXACT}, {BITS}, a AS (SELECT query_id, vec_id, rank AS r1 FROM x WHERE rank <= 64), c AS (SELECT query_id, vec_id, rank AS r2 FROM y WHERE rank <= 64)
+@also("every", "wide")
+@query(f"""WITH {EXACT}, {BITS}, a AS (SELECT query_id, vec_id, rank AS r1 FROM x WHERE rank <= 256), c AS (SELECT query_id, vec_id, rank AS r2 FROM y WHERE rank <= 256)
 SELECT coalesce(a.query_id, c.query_id) AS query_id, coalesce(a.vec_id, c.vec_id) AS vec_id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score,
  CASE WHEN r2 IS NULL THEN 'first' WHEN r1 IS NULL THEN 'second' ELSE 'both' END AS found FROM a FULL JOIN c ON a.query_id = c.query_id AND a.vec_id = c.vec_id""")
-def rrf_fusion(spark, sf, asked="vec_id < 18", pool=64):
-    v, q = read(spark, sf, "embeddings"), _queries(spark, sf, asked)
-    return search.fuse(search.knn(v, q, pool), search.hamming_top(v, q, pool)).drop("r1", "r2", "exact")
-
-
-@query(SQL["coarse_then_rerank_every"].replace("y.rank <= 100", "y.rank <= 5000"))
-def coarse_then_rerank_wide(spark, sf):
-    """With the 5,000 candidates of V5."""
-    return coarse_then_rerank(spark, sf, EVERY, 5000)
-
-
-@query(SQL["rrf_fusion_every"].replace("rank <= 64", "rank <= 256"))
-def rrf_fusion_wide(spark, sf):
+def rrf_fusion(spark, sf, pool=256):
     """With the 256 hits a side of R2."""
-    return rrf_fusion(spark, sf, EVERY, 256)
+    v, q = read(spark, sf, "embeddings"), _queries(spark, sf)
+    return search.fuse(search.knn(v, q, pool), search.hamming_top(v, q, pool)).drop("r1", "r2", "exact")
 
 
-@query(f"WITH {EXACT}, {BITS} SELECT x.query_id, round(count(y.rank) / count(*)::DOUBLE, 6) AS recall FROM x LEFT JOIN (SELECT * FROM y WHERE rank <= 5000) y ON x.query_id = y.query_id AND x.vec_id = y.vec_id WHERE x.rank <= 100 GROUP BY x.query_id".replace("q.vec_id < 18", f"q.{EVERY}"))
+@query(f"WITH {EXACT}, {BITS} SELECT x.query_id, round(count(y.rank) / count(*)::DOUBLE, 6) AS recall FROM x LEFT JOIN (SELECT * FROM y WHERE rank <= 5000) y ON x.query_id = y.query_id AND x.vec_id = y.vec_id WHERE x.rank <= 100 GROUP BY x.query_id")
 def candidate_recall(spark, sf):
     """Which share of the exact 100 nearest is among the 5,000 candidates by sign bits."""
-    v, q = read(spark, sf, "embeddings"), _queries(spark, sf, EVERY)
+    v, q = read(spark, sf, "embeddings"), _queries(spark, sf)
     return search.candidate_recall(search.knn(v, q, 100), search.hamming_top(v, q, 5000))
 
 
-@every()
-@query(f"""WITH {EXACT}, j AS (SELECT q.vec_id AS query_id, v.vec_id FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id < 18)
+@also("every")
+@query(f"""WITH {EXACT}, j AS (SELECT q.vec_id AS query_id, v.vec_id FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.{EVERY})
 SELECT j.query_id, round(count(rank) / count(*)::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS reciprocal_rank FROM j LEFT JOIN (SELECT * FROM x WHERE rank <= 100) x ON j.query_id = x.query_id AND j.vec_id = x.vec_id GROUP BY j.query_id""")
-def recall_and_mrr(spark, sf, asked="vec_id < 18"):
+def recall_and_mrr(spark, sf):
     v = read(spark, sf, "embeddings")
-    q = v.where(asked).select(F.col("vec_id").alias("query_id"), "label")
-    return search.measures_by_label(search.knn(v, _queries(spark, sf, asked), 100), v.select("vec_id", "label"), q, 100)
+    q = v.where(EVERY).select(F.col("vec_id").alias("query_id"), "label")
+    return search.measures_by_label(search.knn(v, _queries(spark, sf), 100), v.select("vec_id", "label"), q, 100)
 
 
 @query("SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'dimension' WHEN abs(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) - 1) > 0.01 THEN 'norm' ELSE 'ok' END AS outcome FROM embeddings")

@@ -20,16 +20,12 @@ def query(sql: str | None = None):
 EVERY = "vec_id % 100 = 0"
 
 
-def every():
-    """Register a vector search once more as NAME_every, asked by the rows of EVERY; stands above ``query``.
-
-    The function takes the condition of its queries as ``asked``; the SQL is the same but for that condition.
-    """
+def also(*suffixes: str):
+    """Keep earlier names of a query, NAME_suffix each; stands above ``query``."""
 
     def add(f):
-        name = f"{f.__name__}_every"
-        QUERIES[name] = lambda spark, sf: f(spark, sf, asked=EVERY)
-        SQL[name] = SQL[f.__name__].replace("q.vec_id < 18", f"q.{EVERY}")
+        for suffix in suffixes:
+            QUERIES[f"{f.__name__}_{suffix}"], SQL[f"{f.__name__}_{suffix}"] = f, SQL[f.__name__]
         return f
 
     return add

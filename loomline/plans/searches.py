@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from loomline.functions import chunking
 from loomline.operators import search
-from loomline.plans.registry import EVERY, SQL, every, query
+from loomline.plans.registry import EVERY, SQL, also, query
 from loomline.sources.archive import read
 
-NEAR = """e AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 18),
+NEAR = f"""e AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings v, embeddings q WHERE q.{EVERY}),
 x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM e)"""
 COUNTS = """t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t, regexp_extract_all(lower(source || ' the'), '[a-z0-9_]+') AS c FROM documents),
 c AS (SELECT id, len(t) + len(c) AS n, len(list_filter(t, lambda x: x = 'the')) + 2.0::DOUBLE * len(list_filter(c, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'and'))::DOUBLE + 2.0 * len(list_filter(c, lambda x: x = 'and')) AS b FROM t),
@@ -16,46 +16,41 @@ w AS (SELECT id, round(ln(1 + (nn - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a
 FROM c, s WHERE a > 0 AND b > 0 ORDER BY score DESC, id LIMIT 256)"""
 
 
-def _queries(spark, sf, asked="vec_id < 18"):
-    return read(spark, sf, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def _queries(spark, sf):
+    return read(spark, sf, "embeddings").where(EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def _docs(spark, sf):
     return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.concat("source", F.lit(" the")).alias("context"))
 
 
-@every()
-@query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x WHERE rank <= 100 AND label = 3) SELECT * FROM f WHERE rank <= 10")
-def filtered_knn(spark, sf, asked="vec_id < 18", pool=100):
-    v = read(spark, sf, "embeddings")
-    return search.filtered_knn(v, _queries(spark, sf, asked), v.where("label = 3").select("vec_id"), pool, 10)
-
-
-@query(SQL["filtered_knn_every"].replace("rank <= 100", "rank <= 1024"))
-def filtered_knn_wide(spark, sf):
+@also("every", "wide")
+@query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x WHERE rank <= 1024 AND label = 3) SELECT * FROM f WHERE rank <= 10")
+def filtered_knn(spark, sf, pool=1024):
     """With the 1,024 candidates of V6."""
-    return filtered_knn(spark, sf, EVERY, 1024)
+    v = read(spark, sf, "embeddings")
+    return search.filtered_knn(v, _queries(spark, sf), v.where("label = 3").select("vec_id"), pool, 10)
 
 
-@every()
+@also("every")
 @query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM e WHERE label = 3) SELECT * FROM f WHERE rank <= 10")
-def prefiltered_knn(spark, sf, asked="vec_id < 18"):
+def prefiltered_knn(spark, sf):
     v = read(spark, sf, "embeddings")
-    return search.filtered_knn(v, _queries(spark, sf, asked), v.where("label = 3").select("vec_id"), 100, 10, first=True)
+    return search.filtered_knn(v, _queries(spark, sf), v.where("label = 3").select("vec_id"), 100, 10, first=True)
 
 
-@every()
+@also("every")
 @query(f"WITH {NEAR} SELECT query_id, label AS owner_id, min(rank) AS rank FROM x WHERE rank <= 50 GROUP BY query_id, label")
-def collapsed_hits(spark, sf, asked="vec_id < 18"):
+def collapsed_hits(spark, sf):
     v = read(spark, sf, "embeddings")
-    return search.collapse(search.knn(v, _queries(spark, sf, asked), 50), v.select("vec_id", F.col("label").alias("owner_id")))
+    return search.collapse(search.knn(v, _queries(spark, sf), 50), v.select("vec_id", F.col("label").alias("owner_id")))
 
 
-@every()
-@query("""WITH e AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS s FROM embeddings v, embeddings q WHERE q.vec_id < 18)
+@also("every")
+@query(f"""WITH e AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS s FROM embeddings v, embeddings q WHERE q.{EVERY})
 SELECT * FROM (SELECT query_id, vec_id, s AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM e) WHERE rank <= 10""")
-def dot_ranking(spark, sf, asked="vec_id < 18"):
-    return search.dot_top(read(spark, sf, "embeddings"), _queries(spark, sf, asked), 10)
+def dot_ranking(spark, sf):
+    return search.dot_top(read(spark, sf, "embeddings"), _queries(spark, sf), 10)
 
 
 @query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY sha256(text)) AS vector_id FROM documents WHERE text IS NOT NULL")
@@ -78,36 +73,26 @@ def bm25_folded(spark, sf):
     return search.lexical(_docs(spark, sf), [["fur"], ["und"]], 20, {"text": 1.0, "context": 2.0}, words=search.folded_tokens)
 
 
-@query("WITH t AS (SELECT query_id, round(count(rank) / count(*)::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM (" + SQL["recall_and_mrr_every"].split("SELECT j.query_id")[0] + " SELECT j.query_id, x.rank FROM j LEFT JOIN (SELECT * FROM x WHERE rank <= 100) x ON j.query_id = x.query_id AND j.vec_id = x.vec_id) GROUP BY query_id) SELECT count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS reciprocal_rank FROM t")
+@query("WITH t AS (SELECT query_id, round(count(rank) / count(*)::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM (" + SQL["recall_and_mrr"].split("SELECT j.query_id")[0] + " SELECT j.query_id, x.rank FROM j LEFT JOIN (SELECT * FROM x WHERE rank <= 100) x ON j.query_id = x.query_id AND j.vec_id = x.vec_id) GROUP BY query_id) SELECT count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS reciprocal_rank FROM t")
 def macro_metrics(spark, sf):
     """Means over all queries of recall at 100 and reciprocal rank."""
     v = read(spark, sf, "embeddings")
-    each = search.measures_by_label(search.knn(v, _queries(spark, sf, EVERY), 100), v.select("vec_id", "label"), v.where(EVERY).select(F.col("vec_id").alias("query_id"), "label"), 100)
+    each = search.measures_by_label(search.knn(v, _queries(spark, sf), 100), v.select("vec_id", "label"), v.where(EVERY).select(F.col("vec_id").alias("query_id"), "label"), 100)
     return search.macro(each)
 
 
-@query(f"""WITH {COUNTS}, l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r1 FROM w), {NEAR}, k AS (SELECT vec_id AS id, rank AS r2 FROM x WHERE query_id = 5 AND rank <= 256)
-SELECT coalesce(l.id, k.id) AS id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score, CASE WHEN r2 IS NULL THEN 'first' WHEN r1 IS NULL THEN 'second' ELSE 'both' END AS found, 'hybrid' AS mode_used
-FROM l FULL JOIN k ON l.id = k.id ORDER BY coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0) DESC, r1 NULLS LAST, r2 NULLS LAST, id LIMIT 20""")
-def hybrid_search(spark, sf):
-    return search.search(_docs(spark, sf), read(spark, sf, "embeddings"), "best", "the and", _queries(spark, sf).where("query_id = 5"))
-
-
-@query(f"WITH {NEAR} SELECT vec_id AS id, round(1.0::DOUBLE / (60 + rank), 9) AS score, 'second' AS found, 'semantic' AS mode_used FROM x WHERE query_id = 5 AND rank <= 20")
-def semantic_search(spark, sf):
-    return search.search(_docs(spark, sf), read(spark, sf, "embeddings"), "semantic", "", _queries(spark, sf).where("query_id = 5"))
-
-
-@query(f"""WITH {COUNTS}, l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r1 FROM w), {NEAR.replace("q.vec_id < 18", "q." + EVERY)}, k AS (SELECT query_id, vec_id AS id, rank AS r2 FROM x WHERE rank <= 256), a AS (SELECT vec_id AS query_id, id, r1 FROM embeddings, l WHERE {EVERY}),
+@also("every")
+@query(f"""WITH {COUNTS}, l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r1 FROM w), {NEAR}, k AS (SELECT query_id, vec_id AS id, rank AS r2 FROM x WHERE rank <= 256), a AS (SELECT vec_id AS query_id, id, r1 FROM embeddings, l WHERE {EVERY}),
 f AS (SELECT coalesce(a.query_id, k.query_id) AS query_id, coalesce(a.id, k.id) AS id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score, CASE WHEN r2 IS NULL THEN 'first' WHEN r1 IS NULL THEN 'second' ELSE 'both' END AS found, r1, r2, coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0) AS exact FROM a FULL JOIN k ON a.query_id = k.query_id AND a.id = k.id)
 SELECT query_id, id, score, found, 'hybrid' AS mode_used FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, r1 NULLS LAST, r2 NULLS LAST, id) AS n FROM f) WHERE n <= 20""")
-def hybrid_search_every(spark, sf):
-    return search.search_each(_docs(spark, sf), read(spark, sf, "embeddings"), "hybrid", "the and", _queries(spark, sf, EVERY))
+def hybrid_search(spark, sf):
+    return search.search_each(_docs(spark, sf), read(spark, sf, "embeddings"), "hybrid", "the and", _queries(spark, sf))
 
 
-@query(f"WITH {NEAR.replace('q.vec_id < 18', 'q.' + EVERY)} SELECT query_id, vec_id AS id, round(1.0::DOUBLE / (60 + rank), 9) AS score, 'second' AS found, 'semantic' AS mode_used FROM x WHERE rank <= 20")
-def semantic_search_every(spark, sf):
-    return search.search_each(_docs(spark, sf), read(spark, sf, "embeddings"), "semantic", "", _queries(spark, sf, EVERY))
+@also("every")
+@query(f"WITH {NEAR} SELECT query_id, vec_id AS id, round(1.0::DOUBLE / (60 + rank), 9) AS score, 'second' AS found, 'semantic' AS mode_used FROM x WHERE rank <= 20")
+def semantic_search(spark, sf):
+    return search.search_each(_docs(spark, sf), read(spark, sf, "embeddings"), "semantic", "", _queries(spark, sf))
 
 
 @query()

@@ -58,10 +58,10 @@ def lexical_resume(spark, sf):
 
 
 @query(f"""WITH {EXACT}, {BITS}, f AS (SELECT coalesce(a.query_id, c.query_id) AS query_id, coalesce(a.vec_id, c.vec_id) AS vec_id, a.rank AS r1, c.rank AS r2, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + c.rank), 0) AS s FROM (SELECT * FROM x WHERE rank <= 64) a FULL JOIN (SELECT * FROM y WHERE rank <= 64) c ON a.query_id = c.query_id AND a.vec_id = c.vec_id)
-SELECT query_id, vec_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r1 NULLS LAST, r2 NULLS LAST, vec_id) AS place FROM f) WHERE place > 20 AND place <= 40""".replace("q.vec_id < 18", f"q.{EVERY}"))
+SELECT query_id, vec_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r1 NULLS LAST, r2 NULLS LAST, vec_id) AS place FROM f) WHERE place > 20 AND place <= 40""")
 def fused_page(spark, sf):
     """Places 21 to 40 of the fused list of every query."""
-    v, q = read(spark, sf, "embeddings"), _queries(spark, sf, EVERY)
+    v, q = read(spark, sf, "embeddings"), _queries(spark, sf)
     fused = search.best_fused(search.fuse(search.knn(v, q, 64), search.hamming_top(v, q, 64)), 40)
     return views.page_of(fused, 20, 20).select("query_id", "vec_id", "place")
 
@@ -77,9 +77,9 @@ def unique_probe(spark, sf):
     return views.unique_targets(read(spark, sf, "documents").select(F.sha2("text", 256).alias("digest"), F.col("doc_id").alias("id")), "digest")
 
 
-@query(f"WITH {EXACT}, {BITS} SELECT x.query_id, round(count(y.rank) / count(*)::DOUBLE, 6) AS shared FROM x LEFT JOIN (SELECT * FROM y WHERE rank <= 100) y ON x.query_id = y.query_id AND x.vec_id = y.vec_id WHERE x.rank <= 100 GROUP BY x.query_id".replace("q.vec_id < 18", f"q.{EVERY}"))
+@query(f"WITH {EXACT}, {BITS} SELECT x.query_id, round(count(y.rank) / count(*)::DOUBLE, 6) AS shared FROM x LEFT JOIN (SELECT * FROM y WHERE rank <= 100) y ON x.query_id = y.query_id AND x.vec_id = y.vec_id WHERE x.rank <= 100 GROUP BY x.query_id")
 def candidate_overlap(spark, sf):
-    v, q = read(spark, sf, "embeddings"), _queries(spark, sf, EVERY)
+    v, q = read(spark, sf, "embeddings"), _queries(spark, sf)
     return views.overlap(search.knn(v, q, 100), search.hamming_top(v, q, 100))
 
 

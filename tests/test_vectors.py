@@ -13,9 +13,9 @@ SEARCHES = "knn_l2_topk hamming_topk coarse_then_rerank rrf_fusion recall_and_mr
 
 @pytest.mark.parametrize("name", SEARCHES)
 def test_every_hundredth_vector_asks(spark, name):
-    asked = catalogue.QUERIES[f"{name}_every"](spark, SF).select("query_id").distinct()
+    asked = catalogue.QUERIES[name](spark, SF).select("query_id").distinct()
     assert {r.query_id for r in asked.collect()} <= set(range(0, 2000, 100)) and asked.count() >= (20 if name != "filtered_knn" else 10)
-    assert "vec_id < 18" not in catalogue.SQL[f"{name}_every"] and "vec_id % 100 = 0" in catalogue.SQL[f"{name}_every"]
+    assert "vec_id < 18" not in catalogue.SQL[name] and "vec_id % 100 = 0" in catalogue.SQL[name]
 
 
 def test_blocks_and_pieces_agree_with_brute_force(spark, monkeypatch):
@@ -40,6 +40,6 @@ def test_pools_of_the_survey_and_their_recall(spark):
     exact = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "query_id long, vec_id long")
     held = spark.createDataFrame([(1, 2), (1, 9)], "query_id long, vec_id long")
     assert {r.query_id: r.recall for r in search.candidate_recall(exact, held).collect()} == {1: 0.5, 2: 0.0}
-    wide, narrow = (catalogue.QUERIES[f"coarse_then_rerank_{x}"](spark, SF).agg(F.sum("distance")).first()[0] for x in ("wide", "every"))
+    wide, narrow = (catalogue.QUERIES["coarse_then_rerank"](spark, SF, pool).agg(F.sum("distance")).first()[0] for pool in (5000, 100))
     assert wide < narrow
     assert catalogue.QUERIES["candidate_recall"](spark, SF).agg(F.min("recall")).first()[0] >= 0.9
