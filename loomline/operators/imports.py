@@ -90,3 +90,40 @@ def segments(text: Column, size: int = 16_384) -> Column:
     """The text cut in pieces of ``size`` code points, so that no surrogate pair is split."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 1), F.lit(size))
     return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))
+
+
+def late_attachments(attachments: DataFrame, assets: DataFrame) -> DataFrame:
+    """(id, digest, bytes) of attachments without bytes whose exact path a later export holds.
+
+    attachments: id, availability, filename, pointer; assets: path, digest, bytes. Without a file name the pointer's
+    path counts. Of equal paths the least digest is taken.
+    """
+    pointed = F.when(F.startswith("pointer", F.lit("sediment://")), F.substr("pointer", F.lit(len("sediment://") + 1)))  # fixed value: the scheme of a pointer
+    wanted = attachments.where("availability <> 'available'").select("id", F.coalesce(F.when(F.col("filename") != "", F.col("filename")), pointed).alias("path"))
+    one = assets.groupBy("path").agg(F.min(F.struct("digest", "bytes")).alias("asset"))
+    return wanted.join(one, "path").select("id", "asset.digest", "asset.bytes")
+
+
+def staged_outcomes(staged: DataFrame, jobs: DataFrame, existing: DataFrame) -> DataFrame:
+    """(import_id, outcome) of staged imports: published, or the first reason against it.
+
+    staged: import_id, ordinal, collection, id, digest, sealed; jobs: import_id, n, manifest (a sum of record hashes, see
+    ``manifest``); existing: collection, id. Publishing is one write of all rows of the imports that pass.
+    """
+    g = staged.groupBy("import_id").agg(
+        F.count(F.lit(1)).alias("found"), F.count_distinct("ordinal").alias("places"), F.max("ordinal").alias("last"), manifest().alias("now"), F.count_if((F.col("collection") == "messages") & ~F.col("sealed")).alias("unsealed")
+    )
+    known = staged.join(existing, ["collection", "id"], "left_semi").select("import_id", F.lit(True).alias("known")).distinct()
+    j = jobs.join(g, "import_id", "left").join(known, "import_id", "left")
+    counted = (F.coalesce("found", F.lit(0)) == F.col("n")) & (F.coalesce("places", F.lit(0)) == F.col("n")) & (F.coalesce("last", F.lit(-1)) == F.col("n") - 1)
+    outcome = (
+        F.when(F.col("known"), "identity_exists").when(F.col("unsealed") > 0, "unsealed").when(~counted, "count_differs")
+        .when(~F.col("manifest").eqNullSafe(F.col("now")), "manifest_differs").otherwise("published")
+    )
+    return j.select("import_id", outcome.alias("outcome"))
+
+
+def manifest() -> Column:
+    """A digest of all rows (ordinal, digest) of a group that needs no order and no list: the sum of 60-bit row hashes."""
+    row = F.sha2(F.concat_ws(":", F.col("ordinal").cast("string"), "digest"), 256)
+    return F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")

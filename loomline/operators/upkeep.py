@@ -108,3 +108,45 @@ def resolve_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     now = chunks.select("source_key", "position", chunk_id("source_key", "position", "text").alias("now"))
     state = F.when(F.col("now").isNull(), "gone").when(F.col("now").eqNullSafe(F.col("chunk_id")), "current").otherwise("conflict")
     return hits.join(now, ["source_key", "position"], "left").select("hit", state.alias("state"))
+
+
+def signature_outcomes(work: DataFrame, now: DataFrame, scopes: tuple = ("source", "message", "thread", "document", "global")) -> DataFrame:
+    """(source_key, outcome) of built work: published if all its revisions still stand, else conflict (M5); a null equals a null."""
+    current = now.select(F.col("source_key").alias("k"), *[F.col(s).alias(f"n_{s}") for s in scopes])
+    same = F.col("k").isNotNull()
+    for s in scopes:
+        same = same & F.col(s).eqNullSafe(F.col(f"n_{s}"))
+    return work.join(current, F.col("source_key") == F.col("k"), "left").select("source_key", F.when(same, "published").otherwise("conflict").alias("outcome"))
+
+
+def switched(pointers: DataFrame, queue: DataFrame) -> DataFrame:
+    """(index, active, rebuilding) after a look at the queue (epoch): an epoch that has nothing left to build takes over (M6)."""
+    waiting = queue.groupBy(F.col("epoch").alias("rebuilding")).agg(F.count(F.lit(1)).alias("left"))
+    j = pointers.join(waiting, "rebuilding", "left")
+    done = F.col("rebuilding").isNotNull() & F.col("left").isNull()
+    return j.select("index", F.when(done, F.col("rebuilding")).otherwise(F.col("active")).alias("active"), F.when(~done, F.col("rebuilding")).alias("rebuilding"))
+
+
+def cleanup(links: DataFrame, chunks: DataFrame, vectors: DataFrame, bits: DataFrame) -> DataFrame:
+    """(work, id): links of no chunk, vectors of no link that stays, stored vectors without sign bits.
+
+    links: chunk_id, vector_id; chunks: chunk_id; vectors, bits: vector_id.
+    """
+    lost = links.join(chunks, "chunk_id", "left_anti")
+    unused = vectors.join(links.join(chunks, "chunk_id", "left_semi"), "vector_id", "left_anti")
+    bare = vectors.join(unused, "vector_id", "left_anti").join(bits, "vector_id", "left_anti")
+    kinds = ((lost, "chunk_id", "drop_link"), (unused, "vector_id", "drop_vector"), (bare, "vector_id", "add_bits"))
+    found = [df.select(F.lit(work).alias("work"), F.col(key).alias("id")) for df, key, work in kinds]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def outbox_marks(entries: DataFrame, acknowledged: int) -> DataFrame:
+    """(scope, id, revision) that the outbox rows (revision, kind, document_id, page_id) after the acknowledged one mark.
+
+    The highest revision of the result is what the reader acknowledges once the marks are stored.
+    """
+    one = (F.col("kind") == "page") & F.col("page_id").isNotNull()
+    marks = entries.where(F.col("revision") > acknowledged).select(
+        F.when(one, "source").otherwise("document").alias("scope"), F.when(one, F.concat(F.lit("e:"), F.col("page_id").cast("string"))).otherwise(F.col("document_id").cast("string")).alias("id"), "revision"
+    )
+    return revisions(marks)
