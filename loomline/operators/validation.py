@@ -2,7 +2,7 @@
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators import graph
@@ -110,8 +110,9 @@ def attachment_states(attachments: DataFrame, raw_objects: DataFrame) -> DataFra
 
 def identity_conflicts(identities: DataFrame, key: tuple) -> DataFrame:
     """SOURCE_IDENTITY_CONFLICT of every identity after the first (least id) with its key; nulls are equal."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
-    return issues(identities.withColumn("n", n), F.col("n") > 1, "SOURCE_IDENTITY_CONFLICT")
+    first = identities.groupBy(*[F.col(k).alias(f"k_{k}") for k in key]).agg(F.min("id").alias("first"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key])
+    return issues(identities.join(first, same), F.col("id") != F.col("first"), "SOURCE_IDENTITY_CONFLICT")
 
 
 def context_versions(threads: DataFrame, contexts: DataFrame) -> DataFrame:
