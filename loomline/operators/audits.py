@@ -25,10 +25,20 @@ def replay(log: DataFrame) -> DataFrame:
     return g.select("operation_id", F.when(F.col("d") > 1, "conflict").when(F.col("n") > 1, "replayed").otherwise("stored").alias("outcome"))
 
 
-def gaps(log: DataFrame) -> DataFrame:
-    """(stream, sequence, previous) where a stream's sequence does not follow its last."""
-    w = Window.partitionBy("stream").orderBy("sequence")
-    return log.withColumn("previous", F.lag("sequence").over(w)).where("previous IS NOT NULL AND sequence <> previous + 1")
+def gaps(log: DataFrame, block: int = 65_536) -> DataFrame:
+    """(stream, sequence, previous) where a stream's sequence (a whole number) does not follow its last.
+
+    The rows of a stream are compared within blocks of the sequence, and the first row of a block with the end of the
+    last one, so a hot stream is spread over tasks.
+    """
+    at = F.floor(F.col("sequence") / block)
+    ends = log.groupBy("stream", at.alias("at")).agg(F.max("sequence").alias("end"))
+    carried = ends.select(F.col("stream").alias("s"), F.col("at").alias("a"), F.lag("end").over(Window.partitionBy("stream").orderBy("at")).alias("carried"))
+    w = Window.partitionBy("stream", "at").orderBy("sequence")
+    placed = log.withColumn("at", at).withColumns({"before": F.lag("sequence").over(w), "place": F.row_number().over(w)})
+    first = placed.where("place = 1").join(carried, F.col("stream").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a"))).select("stream", "sequence", F.col("carried").alias("previous"))
+    found = placed.where("place > 1").select("stream", "sequence", F.col("before").alias("previous")).unionByName(first)
+    return found.where("previous IS NOT NULL AND sequence <> previous + 1")
 
 
 def reconcile(references: DataFrame, catalogue: DataFrame, files: DataFrame) -> DataFrame:
@@ -75,6 +85,12 @@ def out_of_scope(owners: DataFrame, reference: str, targets: DataFrame, scope: s
     return owners.where(F.col(reference).isNotNull()).join(there, same, "left_anti").select("id", F.lit(finding).alias("finding"))
 
 
+def required(owners: DataFrame, reference: str, targets: DataFrame, scope: str, finding: str) -> DataFrame:
+    """(id, finding) of owners whose reference is null or names no target of the same scope."""
+    unset = owners.where(F.col(reference).isNull()).select("id", F.lit(finding).alias("finding"))
+    return unset.unionByName(out_of_scope(owners, reference, targets, scope, finding))
+
+
 def unmatched_output(messages: DataFrame, generations: DataFrame) -> DataFrame:
     """(id, finding) of messages (id, generation_id) whose generation is absent or produced another message (output_id)."""
     g = generations.select(F.col("id").alias("g"), "output_id")

@@ -52,6 +52,23 @@ def audit_thread_state(spark, sf):
     return audits.dangling(c, "id", read(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "thread_without_state")
 
 
+@query(f"""WITH {MESSAGES}, s AS (SELECT thread_id AS id, thread_id, CASE WHEN thread_id % 7 > 0 THEN max(id) + CASE WHEN thread_id % 5 = 0 THEN 1000 ELSE 0 END END AS context_id FROM m GROUP BY thread_id)
+SELECT s.id, 'missing_context' AS finding FROM s LEFT JOIN m ON s.context_id = m.id AND s.thread_id = m.thread_id WHERE m.id IS NULL""")
+def audit_thread_context(spark, sf):
+    """Thread states without a context, or with one that is absent or of another thread."""
+    m = archive.messages(spark, sf)
+    context = F.when(F.col("thread_id") % 7 > 0, F.max("id") + F.when(F.col("thread_id") % 5 == 0, 1000).otherwise(0))
+    states = m.groupBy("thread_id").agg(context.alias("context_id")).withColumn("id", F.col("thread_id"))
+    return audits.required(states, "context_id", m, "thread_id", "missing_context")
+
+
+@query("SELECT event_id AS id, 'missing_raw_object' AS finding FROM events WHERE user_id % 3 > 0 AND event_id % 150 NOT IN (SELECT page_id FROM pages WHERE page_id % 4 > 0)")
+def audit_raw_objects(spark, sf):
+    """Provenance that names an absent raw object; naming none is sound."""
+    p = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 3 > 0, F.col("event_id") % 150).alias("raw_object"))
+    return audits.dangling(p, "raw_object", read(spark, sf, "pages").where("page_id % 4 > 0").select(F.col("page_id").alias("id")), "missing_raw_object")
+
+
 @query("""WITH p AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'page' ELSE 'other' END AS kind, event_id % 150 AS target FROM events)
 SELECT id, 'missing_provenance_entity' AS finding FROM p WHERE NOT (kind = 'document' AND target IN (SELECT doc_id FROM documents)) AND NOT (kind = 'page' AND target IN (SELECT page_id FROM pages))""")
 def audit_provenance(spark, sf):

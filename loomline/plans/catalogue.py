@@ -1,6 +1,6 @@
 """Named queries of the library's own operators, and the SQL each must agree with."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import chunking
@@ -285,9 +285,11 @@ def route_choice(spark, sf):
 @query("""SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'stale_generation' WHEN vec_id % 7 = 0 THEN 'model_mismatch' WHEN n > 1 THEN 'duplicate' ELSE 'stored' END AS outcome
 FROM (SELECT vec_id, row_number() OVER (PARTITION BY label, vec_id % 50 ORDER BY vec_id) AS n FROM embeddings)""")
 def publish_reject_reasons(spark, sf):
-    n = F.row_number().over(Window.partitionBy("label", F.col("vec_id") % 50).orderBy("vec_id"))
-    reason = F.when(F.col("vec_id") % 5 == 0, "stale_generation").when(F.col("vec_id") % 7 == 0, "model_mismatch").when(F.col("n") > 1, "duplicate").otherwise("stored")
-    return read(spark, sf, "embeddings").withColumn("n", n).select("vec_id", reason.alias("outcome"))
+    slot = ["label", "slot"]
+    v = read(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") % 50).alias("slot"))
+    v = v.join(v.groupBy(*slot).agg(F.min("vec_id").alias("first")), slot)
+    reason = F.when(F.col("vec_id") % 5 == 0, "stale_generation").when(F.col("vec_id") % 7 == 0, "model_mismatch").when(F.col("vec_id") > F.col("first"), "duplicate").otherwise("stored")
+    return v.select("vec_id", reason.alias("outcome"))
 
 
 @query("SELECT user_id, max(ts) AS latest, count(*) AS n FROM events GROUP BY user_id")
@@ -301,4 +303,4 @@ def cube_extension(spark, sf):
     return read(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty"))
 
 
-from loomline.plans import archives, imports, publishing, rules, searches, sourcing, streams, trees, upkeep, validation, views  # noqa: E402,F401  (each registers its queries)
+from loomline.plans import archives, documents, imports, publishing, rules, searches, sourcing, streams, trees, upkeep, validation, views  # noqa: E402,F401  (each registers its queries)
