@@ -88,6 +88,25 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         left, wave = cut(rest.select("id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))), wave + 1
 
 
+def path_findings(asked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(thread_id, leaf, finding): all that is wrong with the paths of asked leaves (thread_id, leaf) up to their roots.
+
+    missing: the leaf, or a parent on the path, is absent. cross_thread: the leaf or a node on its path is of another
+    thread. cycle: the path does not end. deleted: the path meets a deleted root. A null leaf is an empty, sound path.
+    nodes: id, parent_id, thread_id; roots: root_id.
+    """
+    above = nodes.select(F.col("id").alias("above"), F.col("thread_id").alias("above_thread"))
+    crossed = nodes.join(above, F.col("parent_id") == F.col("above"), "left").select("id", "parent_id", F.coalesce(F.col("above_thread") != F.col("thread_id"), F.lit(False)).alias("flag"))
+    gone = roots.select(F.col("root_id").alias("id"), F.lit(True).alias("flag")).distinct()
+    marks = climb(crossed).select(F.col("id").alias("leaf"), "flagged", "broken", "cyclic")
+    deleted = climb(nodes.select("id", "parent_id").join(gone, "id", "left")).select(F.col("id").alias("leaf"), F.col("flagged").alias("deleted"))
+    own = nodes.select(F.col("id").alias("leaf"), F.col("thread_id").alias("own"))
+    j = asked.where("leaf IS NOT NULL").join(own, "leaf", "left").join(marks, "leaf", "left").join(deleted, "leaf", "left")
+    absent = F.col("flagged").isNull()
+    kinds = {"missing": absent | F.col("broken"), "cross_thread": F.col("flagged") | (F.col("own") != F.col("thread_id")), "cycle": F.col("cyclic"), "deleted": F.col("deleted")}
+    return j.select("thread_id", "leaf", F.explode(F.array_compact(F.array(*[F.when(holds, kind) for kind, holds in kinds.items()]))).alias("finding"))
+
+
 def paths(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """(leaf, id, depth) from every asked leaf up to its root, the leaf itself at depth 0; cycles raise.
 
@@ -140,7 +159,9 @@ def work_queue(items: DataFrame) -> DataFrame:
 
 
 def candidates(messages: DataFrame) -> DataFrame:
-    """(parent_id, id, position): the answers to one prompt in id order."""
+    """(parent_id, id, position): the answers to one prompt in id order; runs with a purpose, if that column is there, are no answers."""
+    if "purpose" in messages.columns:
+        messages = messages.where("purpose IS NULL")
     w = Window.partitionBy("parent_id").orderBy("id")
     return messages.where("parent_id IS NOT NULL").select("parent_id", "id", F.row_number().over(w).alias("position"))
 
@@ -154,9 +175,10 @@ def prefix_roles(path: DataFrame) -> DataFrame:
     return path.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(steps, lambda x: x.role), ">").alias("roles"))
 
 
-def children(messages: DataFrame, roots: DataFrame) -> DataFrame:
-    """Visible children: (parent_id, id) without deleted roots."""
-    return messages.where("parent_id IS NOT NULL").join(roots, messages.id == roots.root_id, "left_anti").select("parent_id", "id")
+def children(messages: DataFrame, roots: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Visible children: (parent_id, id) without deleted roots and, if given, without outputs of summaries (id)."""
+    found = messages.where("parent_id IS NOT NULL").join(roots, messages.id == roots.root_id, "left_anti").select("parent_id", "id")
+    return found if summaries is None else found.join(summaries.select("id"), "id", "left_anti").select("parent_id", "id")
 
 
 def unpaired(path: DataFrame, uses: DataFrame) -> DataFrame:

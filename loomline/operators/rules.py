@@ -90,7 +90,8 @@ def cost_gate(requests: DataFrame) -> DataFrame:
 
     Reads counted and context (tokens), most_output, input_rate and output_rate (decimal strings a
     million), input_cap and total_cap. The counted tokens are taken, else the context window; a
-    request with a cap but without a sound price or count is refused.
+    request with a cap but without a sound price or count is refused, and so is a currency, if that
+    column is there, other than USD.
     """
     r = requests
     i_rate, o_rate, i_cap, t_cap = nanos(r.input_rate), nanos(r.output_rate), nanos(r.input_cap), nanos(r.total_cap)
@@ -101,6 +102,8 @@ def cost_gate(requests: DataFrame) -> DataFrame:
         | F.coalesce(r.most_output <= 0, F.lit(True)) | tokens.isNull() | F.coalesce(r.context <= 0, F.lit(False))
         | F.coalesce(r.counted < 0, F.lit(False)) | F.coalesce(r.counted > r.context, F.lit(False))
     )
+    if "currency" in r.columns:
+        unsound = unsound | ~r.currency.eqNullSafe("USD")
     inner = spend(tokens, i_rate)
     rated = F.when(~free & ~unsound, upward(inner)), F.when(~free & ~unsound, upward(inner + spend(r.most_output, o_rate)))
     basis = F.when(free | unsound, "unavailable").when(r.counted.isNotNull(), "counted").otherwise("context_bound")

@@ -26,11 +26,12 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def bm25(docs: DataFrame, terms: list[str], k: int, words: Callable[[Column], Column] = tokens) -> DataFrame:
+def bm25(docs: DataFrame, terms: list[str], k: int, words: Callable[[Column], Column] = tokens, visible: DataFrame | None = None) -> DataFrame:
     """(id, score) of the k best rows that hold all terms; docs: id, text. Ties go to the lower id.
 
     Each text is cut into words once; only the asked terms' counts and the lengths
     leave a row, and statistics and scores are both made from that narrow table.
+    Statistics cover all rows, hits the ``visible`` ones (id) only, if given (X5).
     """
     counts = docs.select("id", once(words(F.col("text"))).alias("t"))
     occurrences = lambda w: F.size(F.filter("t", lambda x: x == w))
@@ -42,7 +43,23 @@ def bm25(docs: DataFrame, terms: list[str], k: int, words: Callable[[Column], Co
     for i in range(len(terms)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return both.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    found = both.select("id", F.round(score, 6).alias("score"))
+    if visible is not None:
+        found = found.join(visible.select("id"), "id", "left_semi")
+    return found.orderBy(F.desc("score"), "id").limit(k)
+
+
+def matches(docs: DataFrame, columns: list[str], needles: list[list[str]]) -> DataFrame:
+    """Ids of rows where every needle, a word or words that follow each other, stands in some one of the columns."""
+    joined = [F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(c, F.lit(""))), " "), F.lit(" ")) for c in columns]
+    cut = docs.select("id", once(F.array(*joined)).alias("t"))
+
+    def holds(needle: Column) -> Column:
+        return F.exists("t", lambda t: F.contains(t, needle))
+
+    for words in needles:
+        cut = cut.where(holds(F.lit(" " + " ".join(words) + " ")))
+    return cut.select("id")
 
 
 def phrase(docs: DataFrame, words: list[str]) -> DataFrame:

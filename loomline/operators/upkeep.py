@@ -59,14 +59,25 @@ def serving_epoch(epochs: DataFrame, queue: DataFrame) -> DataFrame:
     return epochs.join(queue, "epoch", "left_anti").agg(F.max("epoch").alias("epoch"))
 
 
-def claimable(chunks: DataFrame, links: DataFrame, now, lease: str = "5 minutes") -> DataFrame:
+def claimable(chunks: DataFrame, links: DataFrame, now, lease: str = "5 minutes", most_bytes: int | None = None) -> DataFrame:
     """(chunk_id, action): embed, or reuse where another chunk of the digest has a vector; leased, linked and failed chunks are left out.
 
-    links: chunk_id, digest, vector_id, claimed_at, failure.
+    links: chunk_id, digest, vector_id, claimed_at, failure. With ``most_bytes`` chunks have bytes too, and a larger one
+    is ``oversized`` unless it can be reused (M8).
     """
     busy = links.where(F.col("vector_id").isNotNull() | F.col("failure").isNotNull() | (F.col("claimed_at") + F.expr(f"INTERVAL {lease}") > now)).select("chunk_id")
     have = links.where("vector_id IS NOT NULL").select("digest", F.lit(True).alias("have")).distinct()
-    return chunks.join(busy, "chunk_id", "left_anti").join(have, "digest", "left").select("chunk_id", F.when(F.col("have"), "reuse").otherwise("embed").alias("action"))
+    large = F.col("bytes") > most_bytes if most_bytes is not None else F.lit(False)
+    action = F.when(F.col("have"), "reuse").when(large, "oversized").otherwise("embed")
+    return chunks.join(busy, "chunk_id", "left_anti").join(have, "digest", "left").select("chunk_id", action.alias("action"))
+
+
+def within_budget(claims: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
+    """The first claims (chunk_id, bytes) by chunk_id, as many as the row and byte bounds of one batch allow, one at least (M8)."""
+    first = claims.orderBy("chunk_id").limit(most_rows)
+    w = Window.orderBy("chunk_id")  # over at most ``most_rows`` rows
+    placed = first.withColumns({"upto": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(w)})
+    return placed.where((F.col("upto") <= most_bytes) | (F.col("place") == 1)).drop("upto", "place")
 
 
 def totals(heads: DataFrame) -> DataFrame:
