@@ -38,85 +38,104 @@ def line_numbers(y: np.ndarray, size: np.ndarray) -> np.ndarray:
     return lines
 
 
-def gutter(runs: pd.DataFrame) -> float | None:
-    """The x between two columns of prose: where most lines (three at least) have a wide gap; of equals the most central."""
-    low, high = runs.x.min(), runs.end.max()
+def fresh(*keys: np.ndarray) -> np.ndarray:
+    """Where a run differs from the one before in some key; the first one does."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+def gutter(x: np.ndarray, end: np.ndarray, prose: np.ndarray, tall: np.ndarray, first: np.ndarray) -> float | None:
+    """The x between two columns of prose: where most lines (three at least) have a wide gap; of equals the most central.
+
+    ``first`` marks the first run of each line, ``prose`` counts the units of a run, ``tall`` is the size of its line.
+    """
+    low, high = x.min(), end.max()
     if high <= low:
         return None
-    upto = runs.groupby("line").prose.cumsum()
-    total = runs.groupby("line").prose.transform("sum")
-    start, end = runs.end, runs.groupby("line").x.shift(-1)
-    wide = (upto >= SIDE_UNITS) & (total - upto >= SIDE_UNITS) & (end - start >= runs.tall * GUTTER_GAP)
-    start, end, margin = (s[wide].to_numpy()[:, None] for s in (start, end, runs.tall * GUTTER_MARGIN))
+    at, line = np.flatnonzero(first), np.cumsum(first) - 1
+    upto = np.cumsum(prose)
+    upto, total = upto - (upto[at] - prose[at])[line], np.add.reduceat(prose, at)[line]
+    start = np.where(np.append(first[1:], True), np.nan, np.append(x[1:], np.nan))  # of the next run on the line
+    wide = (upto >= SIDE_UNITS) & (total - upto >= SIDE_UNITS) & (start - end >= tall * GUTTER_GAP)
+    left, right, margin = (v[wide][:, None] for v in (end, start, tall * GUTTER_MARGIN))
     probes = np.arange(1, PROBES - 1)
     places = low + (high - low) * probes / PROBES
-    votes = ((places > start + margin) & (places < end - margin)).sum(axis=0)
+    votes = ((places > left + margin) & (places < right - margin)).sum(axis=0)
     best = np.lexsort((np.abs(probes - PROBES // 2), -votes))[0]
     return places[best] if votes[best] >= GUTTER_LINES else None
 
 
-def in_columns(runs: pd.DataFrame, x: float | None) -> pd.DataFrame:
-    """The runs with a band and a side, in reading order: lines across the gutter are bands of their own."""
-    if x is None:
-        return runs.assign(band=0, side=0)
-    across = ((runs.x < x) & (runs.end > x)).groupby(runs.line).transform("any")
-    first = runs.line != runs.line.shift()
-    fresh = first & (across | across.shift(fill_value=False))
-    side = np.where(across, 0, runs.x >= x)
-    return runs.assign(band=fresh.cumsum(), side=side).sort_values(["band", "side"], kind="stable")
+def in_columns(x: np.ndarray, end: np.ndarray, first: np.ndarray, middle: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(band, side) of each run: bands are read in turn, each side by side; a line across the gutter is a band of its own."""
+    if middle is None:
+        return np.zeros(len(x), int), np.zeros(len(x), int)
+    line = np.cumsum(first) - 1
+    across = np.logical_or.reduceat((x < middle) & (end > middle), np.flatnonzero(first))
+    band = np.cumsum(across | np.append(False, across[:-1]))
+    return band[line], np.where(across[line], 0, x >= middle)
 
 
-def geometric(runs: pd.DataFrame) -> tuple[int, list[tuple[int | None, str]]]:
-    """(columns, pieces) of a page; a piece is a run's index and text, or None and white space made here."""
-    runs = runs[runs.str != ""].sort_values(["y", "x", "item_index"], ascending=[False, True, True])
-    if runs.empty:
+def geometric(texts: list[str], x: np.ndarray, y: np.ndarray, size: np.ndarray, width: np.ndarray, mono: np.ndarray) -> tuple[int, list[tuple[int | None, str]]]:
+    """(columns, pieces) of a page; a piece is a run's number and text, or None and white space made here."""
+    run = np.array([i for i, t in enumerate(texts) if t], int)
+    if not len(run):
         return 1, []
-    runs["line"] = line_numbers(runs.y.to_numpy(), runs["size"].to_numpy())
-    runs = runs.sort_values(["line", "x", "item_index"])
-    runs["end"], runs["tall"] = runs.x + runs.width.abs(), runs.groupby("line")["size"].transform("max")
-    runs["top"] = runs.groupby("line").y.transform("max")
-    runs["prose"] = [len(chunking.units(bare(s))) for s in runs.str]
-    x = gutter(runs)
-    runs = in_columns(runs, x)
-    lines = runs.groupby(["band", "side", "line"], sort=False).agg(top=("top", "first"), tall=("tall", "first"), first=("x", "first"), size=("size", "first"), mono=("monospace", "all"), n=("x", "size")).reset_index()
-    before = lines.shift()
-    small, large = np.minimum(lines.tall, before.tall), np.maximum(lines.tall, before.tall)
-    parted = (lines.band != before.band) | (lines.side != before.side) | (before.top - lines.top > large * BLOCK_GAP) | (large > small * SIZE_RATIO) | (lines.mono != before.mono)
-    left = lines.groupby(parted.cumsum())["first"].transform("min")
-    indent = np.where(lines.mono, np.clip(np.floor((lines["first"] - left) / (lines["size"] * INDENT) + 0.5), 0, MOST_INDENT), 0).astype(int)
-    pieces, at = [], 0
-    texts, xs, ends, indices = runs.str.tolist(), runs.x.tolist(), runs.end.tolist(), runs.item_index.tolist()
-    for number, (n, tall, new, blanks) in enumerate(zip(lines.n, lines.tall, parted, indent)):
-        pieces.append((None, ("\n\n" if new else "\n") * (number > 0) + " " * blanks))
-        for i in range(at, at + n):
-            gap = xs[i] - ends[i - 1] if i > at else 0.0
-            if gap > tall * TAB_GAP:
+    run = run[np.lexsort((run, x[run], -y[run]))]
+    line = line_numbers(y[run], size[run])
+    order = np.lexsort((run, x[run], line))
+    run, line = run[order], line[order]
+    first, end = fresh(line), x + np.abs(width)
+    at = np.flatnonzero(first)
+    tall, top = np.maximum.reduceat(size[run], at)[line], np.maximum.reduceat(y[run], at)[line]
+    prose = np.array([len(chunking.units(bare(texts[i]))) for i in run])
+    middle = gutter(x[run], end[run], prose, tall, first)
+    band, side = in_columns(x[run], end[run], first, middle)
+    order = np.lexsort((np.arange(len(run)), side, band))
+    run, line, band, side, tall, top = (v[order] for v in (run, line, band, side, tall, top))
+
+    at = np.flatnonzero(fresh(band, side, line))  # from here on one value a line
+    start, own, all_mono = x[run][at], size[run][at], np.logical_and.reduceat(mono[run], at)
+    band, side, tall, top = (v[at] for v in (band, side, tall, top))
+    parted = fresh(band, side, all_mono)
+    small, large = np.minimum(tall[1:], tall[:-1]), np.maximum(tall[1:], tall[:-1])
+    parted[1:] |= (top[:-1] - top[1:] > large * BLOCK_GAP) | (large > small * SIZE_RATIO)
+    left = np.minimum.reduceat(start, np.flatnonzero(parted))[np.cumsum(parted) - 1]
+    indent = np.where(all_mono, np.clip(np.floor((start - left) / (own * INDENT) + 0.5), 0, MOST_INDENT), 0).astype(int)
+    pieces = []
+    for number, runs in enumerate(np.split(run, at[1:])):
+        pieces.append((None, ("\n\n" if parted[number] else "\n") * (number > 0) + " " * indent[number]))
+        gaps, before = np.append(0.0, x[runs[1:]] - end[runs[:-1]]), ""
+        for i, gap in zip(runs.tolist(), gaps.tolist()):
+            if gap > tall[number] * TAB_GAP:
                 pieces.append((None, "\t"))
-            elif gap > tall * BLANK_GAP and chunking.trailing_blank(texts[i - 1]) == len(texts[i - 1]) and chunking.leading_blank(texts[i]) == 0:
+            elif gap > tall[number] * BLANK_GAP and chunking.trailing_blank(before) == len(before) and chunking.leading_blank(texts[i]) == 0:
                 pieces.append((None, " "))
-            pieces.append((indices[i], texts[i]))
-        at += n
-    return 1 if x is None else 2, [p for p in pieces if p[1]] + [(None, "\n")]
+            pieces.append((i, texts[i]))
+            before = texts[i]
+    return 1 if middle is None else 2, [p for p in pieces if p[1]] + [(None, "\n")]
 
 
-def page_text(runs: pd.DataFrame) -> tuple:
+def page_text(page: pd.DataFrame) -> tuple:
     """A row of RESULT for the runs of one page."""
-    runs = runs.sort_values("item_index").reset_index(drop=True)
-    t = np.array(runs["transform"].tolist(), float).reshape(len(runs), 6)
-    size = np.maximum.reduce([np.full(len(runs), 0.001), np.hypot(t[:, 2], t[:, 3]), runs.height.abs().to_numpy()])
-    seen = np.array([bare(s) != "" for s in runs.str], bool)
+    index = page["item_index"].to_numpy()
+    order = np.argsort(index, kind="stable")
+    own = {c: page[c].to_numpy()[order] for c in page.columns}
+    index, texts = index[order].tolist(), own["str"].tolist()
+    t = np.stack(own["transform"]).astype(float)
+    size = np.maximum.reduce([np.full(len(t), 0.001), np.hypot(t[:, 2], t[:, 3]), np.abs(own["height"])])
+    seen = np.array([bare(s) != "" for s in texts], bool)
     turned = (t[:, 0] <= 0) | (t[:, 3] <= 0) | (np.abs(t[:, 1:3]) > size[:, None] * SLOPE).any(axis=1)
-    checks = {"non_ltr": (runs.dir != "ltr").to_numpy(), "rotated_or_skewed": turned}
+    checks = {"non_ltr": own["dir"] != "ltr", "rotated_or_skewed": turned}
     reasons = [reason for reason, holds in checks.items() if (seen & holds).any()]
     if reasons:
-        ends = [(None, "\n") if eol else (None, "") for eol in runs.has_eol]
-        columns, pieces = 1, [p for run, end in zip(zip(runs.item_index, runs.str), ends) for p in (run, end) if p[1]]
+        columns, pieces = 1, [p for i, eol in enumerate(own["has_eol"]) for p in ((i, texts[i]), (None, "\n" * bool(eol))) if p[1]]
     else:
-        columns, pieces = geometric(runs.assign(x=t[:, 4], y=t[:, 5], size=size))
+        columns, pieces = geometric(texts, t[:, 4], t[:, 5], size, own["width"], own["monospace"].astype(bool))
     text = "".join(p[1] for p in pieces)
     if len(chunking.units(text)) > PAGE_UNITS:
         return "capacity", None, None, None, None, None
-    return "ok", "source_order" if reasons else "geometric", reasons, columns, text, [p[0] for p in pieces if p[0] is not None]
+    return "ok", "source_order" if reasons else "geometric", reasons, columns, text, [index[p[0]] for p in pieces if p[0] is not None]
 
 
 def pages(runs: DataFrame) -> DataFrame:
