@@ -1,6 +1,6 @@
-"""The queries of the ten operators and the SQL for those that SQL can express."""
+"""The queries of the thirteen operators and the SQL for those that SQL can express."""
 
-from loomline.llm import decontaminate, fingerprint, html_extract, language, linededup, mixing, secrets, simhash, toxicity, urls
+from loomline.llm import decontaminate, fingerprint, html_extract, importance, language, linededup, mixing, pieces, secrets, simhash, spelling, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_html_extraction": html_extract.query,
     "op9_url_filter": urls.query,
     "op10_document_fingerprints": fingerprint.query,
+    "op11_importance_resampling": importance.query,
+    "op12_spelling_variants": spelling.query,
+    "op13_sentencepiece": pieces.query,
 }
 
 SQL = {
@@ -20,4 +23,6 @@ SQL = {
     "op4_benchmark_decontamination": decontaminate.SQL,
     "op5_source_mixing": mixing.SQL,
     "op9_url_filter": urls.SQL,
+    "op11_importance_resampling": importance.SQL,
+    "op12_spelling_variants": spelling.SQL,
 }
