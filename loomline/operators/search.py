@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.graph import cut as cut_lineage
-from loomline.operators.nearest import nearest, nearest_by_bits
+from loomline.operators.nearest import Blocks, nearest, nearest_by_bits
 
 K1, B = 1.2, 0.75
 TOKEN = "[a-z0-9_]+"
@@ -73,12 +73,15 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def sign_bits(vector: Column) -> Column:
-    """64 components as one long: bit d is set where component d is not negative."""
-    return F.aggregate(F.transform(vector, lambda x, d: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), d)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    """Words of 64 bits: bit d % 64 of word d / 64 is set where component d is not negative; a null component is not."""
+    bit = lambda x, d: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), d)).otherwise(F.lit(0).cast("long"))
+    word = lambda w: F.aggregate(F.transform(F.slice(vector, w + 1, F.lit(64)), bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(vector), F.lit(1)) - 1, F.lit(64)), word)
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    """Differing bits of two rows of words, null if they are not of one length."""
+    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x))
 
 
 def ranked(pairs: DataFrame, by: str, k: int, query: str = "query_id", item: str = "vec_id") -> DataFrame:
@@ -87,25 +90,36 @@ def ranked(pairs: DataFrame, by: str, k: int, query: str = "query_id", item: str
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest neighbours of any number of queries, which go to the tasks a block at a time."""
-    return ranked(nearest(vectors, queries, k).withColumn("distance", F.round("distance", 6)), "distance", k)
+def _shown(ranking: DataFrame, name: str = "distance") -> DataFrame:
+    """Ranked by the exact value, shown with 6 digits."""
+    return ranking.withColumn(name, F.round(name, 6))
 
 
-def hamming_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def knn(vectors: DataFrame | Blocks, queries: DataFrame, k: int) -> DataFrame:
+    """Exact nearest neighbours of any number of queries (query_id, q)."""
+    return _shown(ranked(nearest(vectors, queries, k), "distance", k))
+
+
+def hamming_top(vectors: DataFrame | Blocks, queries: DataFrame, k: int) -> DataFrame:
     return ranked(nearest_by_bits(vectors, queries, k).drop("distance"), "hamming", k)
 
 
-def dot_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dot_top(vectors: DataFrame | Blocks, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, similarity, rank) by the largest product."""
-    best = ranked(nearest(vectors, queries, k, "dot").withColumn("distance", F.round("distance", 6)), "distance", k)
+    best = _shown(ranked(nearest(vectors, queries, k, "dot"), "distance", k))
     return best.select("query_id", "vec_id", (-F.col("distance")).alias("similarity"), "rank")
 
 
-def coarse_then_rerank(vectors: DataFrame, queries: DataFrame, candidates: int, k: int) -> DataFrame:
+def coarse_then_rerank(vectors: DataFrame | Blocks, queries: DataFrame, candidates: int, k: int) -> DataFrame:
     """Nearest by sign bits first, then exact distances of the candidates only."""
     coarse = ranked(nearest_by_bits(vectors, queries, candidates), "hamming", candidates)
-    return ranked(coarse.select("query_id", "vec_id", F.round("distance", 6).alias("distance")), "distance", k)
+    return _shown(ranked(coarse.select("query_id", "vec_id", "distance"), "distance", k))
+
+
+def knn_or_coarse(vectors: DataFrame, queries: DataFrame, k: int, candidates: int = 5000, least: int = 100_000) -> DataFrame:
+    """``knn`` below ``least`` vectors, from there on ``coarse_then_rerank`` with max(k, candidates) (V5)."""
+    few = vectors.limit(least).count() < least
+    return knn(vectors, queries, k) if few else coarse_then_rerank(vectors, queries, max(k, candidates), k)
 
 
 def fuse(first: DataFrame, second: DataFrame, constant: int = 60) -> DataFrame:
@@ -169,15 +183,18 @@ def measures_by_label(ranking: DataFrame, labels: DataFrame, queries: DataFrame,
     return j.select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
-def parse_query(query: str, most_chars: int = 4096, most_terms: int = 64) -> list[list[str]]:
-    """The phrases of a query, each a list of words; quotes group words, terms without letter or digit are dropped."""
+def parse_query(query: str, most_chars: int = 4096, most_terms: int = 64, token: str = TOKEN) -> list[list[str]]:
+    """The phrases of a query, each a list of words; quotes group words, terms without letter or digit are dropped.
+
+    ``token`` is the pattern of a word: TOKEN, or ``\\w+`` for words of any script, as ``folded_tokens`` cuts them.
+    """
     if len(query) > most_chars:
         raise ValueError(f"a query has at most {most_chars} characters")
     text = query.replace("\0", " ")
     if re.search(r'(?:^|\s)"[^"]*$', re.sub(r'(?<!\S)"[^"]*"', " ", text)):
         raise ValueError("close the quoted phrase")
     raw = [m.group(1) if m.group(1) is not None else m.group(2) for m in re.finditer(r'(?<!\S)"([^"]*)"|(\S+)', text)]
-    phrases = [re.findall(TOKEN, fold(t)) for t in raw if any(c.isalnum() for c in t)]
+    phrases = [re.findall(token, fold(t)) for t in raw if any(c.isalnum() for c in t)]
     if len(phrases) > most_terms:
         raise ValueError(f"a query has at most {most_terms} terms")
     return [p for p in phrases if p]
@@ -246,8 +263,8 @@ def filtered_knn(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, can
     """Nearest neighbours among ``allowed`` (vec_id). The filter follows the candidates, so fewer than k may come back; ``first`` filters before."""
     if first:
         return knn(vectors.join(allowed, "vec_id", "left_semi"), queries, k)
-    kept = knn(vectors, queries, candidates).drop("rank").join(allowed, "vec_id", "left_semi")
-    return ranked(kept, "distance", k)
+    kept = ranked(nearest(vectors, queries, candidates), "distance", candidates).drop("rank").join(allowed, "vec_id", "left_semi")
+    return _shown(ranked(kept, "distance", k))
 
 
 def collapse(ranking: DataFrame, owners: DataFrame) -> DataFrame:

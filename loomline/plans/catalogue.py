@@ -179,8 +179,8 @@ def _queries(spark, sf):
     return read(spark, sf, "embeddings").where(EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-EXACT = f"""e AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings v, embeddings q WHERE q.{EVERY}),
-x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM e)"""
+EXACT = f"""e AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS exact, round(exact, 6) AS distance FROM embeddings v, embeddings q WHERE q.{EVERY}),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact, vec_id) AS rank FROM e)"""
 BITS = f"""b AS (SELECT vec_id, bit_or(CASE WHEN c >= 0 THEN 1::UBIGINT << (d - 1) ELSE 0::UBIGINT END) AS bits FROM (SELECT vec_id, unnest(embedding) AS c, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY vec_id),
 h AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(bit_count(xor(v.bits, q.bits)) AS INT) AS hamming FROM b v, b q WHERE q.{EVERY}),
 y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hamming, vec_id) AS rank FROM h)"""
@@ -199,7 +199,7 @@ def hamming_topk(spark, sf):
 
 
 @also("every", "wide")
-@query(f"WITH {EXACT}, {BITS}, z AS (SELECT e.query_id, e.vec_id, distance FROM e JOIN y ON e.query_id = y.query_id AND e.vec_id = y.vec_id WHERE y.rank <= 5000), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM z) SELECT * FROM w WHERE rank <= 10")
+@query(f"WITH {EXACT}, {BITS}, z AS (SELECT e.query_id, e.vec_id, exact, distance FROM e JOIN y ON e.query_id = y.query_id AND e.vec_id = y.vec_id WHERE y.rank <= 5000), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact, vec_id) AS rank FROM z) SELECT * EXCLUDE (exact) FROM w WHERE rank <= 10")
 def coarse_then_rerank(spark, sf, pool=5000):
     """With the 5,000 candidates of V5."""
     return search.coarse_then_rerank(read(spark, sf, "embeddings"), _queries(spark, sf), pool, 10)

@@ -7,8 +7,8 @@ from loomline.operators import search
 from loomline.plans.registry import EVERY, SQL, also, query
 from loomline.sources.archive import read
 
-NEAR = f"""e AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings v, embeddings q WHERE q.{EVERY}),
-x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM e)"""
+NEAR = f"""e AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS exact, round(exact, 6) AS distance FROM embeddings v, embeddings q WHERE q.{EVERY}),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact, vec_id) AS rank FROM e)"""
 COUNTS = """t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t, regexp_extract_all(lower(source || ' the'), '[a-z0-9_]+') AS c FROM documents),
 c AS (SELECT id, len(t) + len(c) AS n, len(list_filter(t, lambda x: x = 'the')) + 2.0::DOUBLE * len(list_filter(c, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'and'))::DOUBLE + 2.0 * len(list_filter(c, lambda x: x = 'and')) AS b FROM t),
 s AS (SELECT count(*) AS nn, avg(n) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c),
@@ -25,7 +25,7 @@ def _docs(spark, sf):
 
 
 @also("every", "wide")
-@query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x WHERE rank <= 1024 AND label = 3) SELECT * FROM f WHERE rank <= 10")
+@query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY exact, vec_id) AS rank FROM x WHERE rank <= 1024 AND label = 3) SELECT * FROM f WHERE rank <= 10")
 def filtered_knn(spark, sf, pool=1024):
     """With the 1,024 candidates of V6."""
     v = read(spark, sf, "embeddings")
@@ -33,7 +33,7 @@ def filtered_knn(spark, sf, pool=1024):
 
 
 @also("every")
-@query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM e WHERE label = 3) SELECT * FROM f WHERE rank <= 10")
+@query(f"WITH {NEAR}, f AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY exact, vec_id) AS rank FROM e WHERE label = 3) SELECT * FROM f WHERE rank <= 10")
 def prefiltered_knn(spark, sf):
     v = read(spark, sf, "embeddings")
     return search.filtered_knn(v, _queries(spark, sf), v.where("label = 3").select("vec_id"), 100, 10, first=True)
@@ -47,8 +47,8 @@ def collapsed_hits(spark, sf):
 
 
 @also("every")
-@query(f"""WITH e AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS s FROM embeddings v, embeddings q WHERE q.{EVERY})
-SELECT * FROM (SELECT query_id, vec_id, s AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM e) WHERE rank <= 10""")
+@query(f"""WITH e AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings v, embeddings q WHERE q.{EVERY})
+SELECT * FROM (SELECT query_id, vec_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM e) WHERE rank <= 10""")
 def dot_ranking(spark, sf):
     return search.dot_top(read(spark, sf, "embeddings"), _queries(spark, sf), 10)
 

@@ -33,7 +33,10 @@ def test_fusion_ties_and_duplicates(spark):
 
 def test_sign_bits(spark):
     df = spark.createDataFrame([([1.0, -1.0, 0.0] + [-1.0] * 60 + [2.0],)], "v array<float>")
-    assert df.select(search.sign_bits(F.col("v"))).first()[0] == (1 | 4 | 1 << 63) - 2**64
+    assert df.select(search.sign_bits(F.col("v"))).first()[0] == [(1 | 4 | 1 << 63) - 2**64]
+    wide = spark.createDataFrame([([1.0] * 130, [1.0] * 64 + [-1.0] * 66, [1.0] * 3)], "a array<float>, b array<float>, c array<float>")
+    a, b, c = (search.sign_bits(F.col(x)) for x in "abc")
+    assert tuple(wide.select(search.hamming(a, b), search.hamming(a, c), a).first()) == (66, None, [-1, -1, 3])
 
 
 def test_replay(spark):

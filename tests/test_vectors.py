@@ -18,21 +18,65 @@ def test_every_hundredth_vector_asks(spark, name):
     assert "vec_id < 18" not in catalogue.SQL[name] and "vec_id % 100 = 0" in catalogue.SQL[name]
 
 
-def test_blocks_and_pieces_agree_with_brute_force(spark, monkeypatch):
+def table_of(spark, m):
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<float>").repartition(3)
+    return v, v.where("vec_id % 10 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def wanted(m, by, k):
+    m = m.astype(float)
+    if by == "bits":
+        d = ((m[:, None] >= 0) != (m[None] >= 0)).sum(axis=2)
+    elif by == "dot":
+        d = -sum(m[:, None, c] * m[None, :, c] for c in range(m.shape[1]))
+    else:
+        d = np.sqrt(sum((m[:, None, c] - m[None, :, c]) ** 2 for c in range(m.shape[1])))
+    return {(a, int(b), r + 1) for a in range(7, len(m), 10) for r, b in enumerate(np.lexsort((np.arange(len(m)), d[a]))[:k])}
+
+
+@pytest.mark.parametrize("pivots", [0, 12])
+@pytest.mark.parametrize("width", [64, 384])
+def test_blocks_agree_with_brute_force(spark, pivots, width):
     rng = np.random.default_rng(1)
-    m = np.round(rng.normal(size=(300, 64)), 1).astype("float32")
+    m = np.round(rng.normal(size=(300, width)) + 3 * rng.integers(0, 2, (300, 1)), 1).astype("float32")
     m[100:160] = m[7]  # equal vectors: ties go to the lower id
-    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<float>").repartition(3)
-    q = v.where("vec_id % 10 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    monkeypatch.setattr(nearest, "BLOCK", 8)
-    d = np.sqrt(((m[:, None].astype(float) - m[None].astype(float)) ** 2).sum(axis=2)).round(6)
-    h = ((m[:, None] >= 0) != (m[None] >= 0)).sum(axis=2)
-    want = lambda by, k: {(a, int(b), r + 1) for a in range(7, 300, 10) for r, b in enumerate(np.lexsort((np.arange(300), by[a]))[:k])}
-    assert {(r.query_id, r.vec_id, r["rank"]) for r in search.knn(v, q, 12).collect()} == want(d, 12)
-    assert {(r.query_id, r.vec_id, r["rank"]) for r in search.hamming_top(v, q, 12).collect()} == want(h, 12)
-    monkeypatch.setattr(nearest, "COUNTED", 5)
-    assert {(r.query_id, r.vec_id, r["rank"]) for r in search.hamming_top(v, q, 12).collect()} == want(h, 12)
-    assert search.knn(v, q.limit(0), 3).count() == 0
+    v, q = table_of(spark, m)
+    blocks = nearest.Blocks(v, block=40, pivots=pivots)
+    assert len(blocks.rings) > (5 if pivots else 0) and sum(r[6] for r in blocks.rings) >= 8
+    found = lambda df: {(r.query_id, r.vec_id, r["rank"]) for r in df.collect()}
+    for k in (1, 12, 70, 500):
+        assert found(search.knn(blocks, q, k)) == wanted(m, "l2", k)
+    assert found(search.dot_top(blocks, q, 12)) == wanted(m, "dot", 12)
+    assert found(search.hamming_top(blocks, q, 12)) == wanted(m, "bits", 12)
+    assert search.knn(v, q.limit(0), 3).count() == 0 and search.knn(v.limit(0), q, 3).count() == 0
+
+
+def test_clusters_are_skipped(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24)) * 4
+    m = (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 24)) * 0.3).astype("float32")
+    v, q = table_of(spark, m)
+    report = {}
+    found = search.ranked(nearest.nearest(nearest.Blocks(v, block=100), q, 5, report=report), "distance", 5)
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in found.collect()} == wanted(m, "l2", 5)
+    assert report["queries"] == 400 and report["vectors"] == 4000 and 0 < report["share"] < 0.2
+
+
+def test_null_and_odd_sized_vectors_have_no_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [1.0, 1.0, 1.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [inf, 1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert {(r.query_id, r.vec_id, r.distance) for r in search.knn(v, q, 5).collect()} == {(1, 1, 0.0), (1, 2, 1.414214), (2, 2, 0.0), (2, 1, 1.414214), (5, 5, 0.0)}
+    assert {(r.query_id, r.vec_id, r.hamming) for r in search.hamming_top(v, q, 5).collect()} == {(1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 2, 0), (5, 5, 0)}
+    assert search.knn(v, q.where("query_id = 4"), 5).count() == 0
+
+
+def test_coarse_path_starts_at_its_size(spark):
+    m = np.random.default_rng(4).normal(size=(120, 8)).astype("float32")
+    v, q = table_of(spark, m)
+    exact = {(r.query_id, r.vec_id) for r in search.knn_or_coarse(v, q, 3, candidates=5, least=121).collect()}
+    coarse = {(r.query_id, r.vec_id) for r in search.knn_or_coarse(v, q, 3, candidates=5, least=120).collect()}
+    assert exact == {(a, b) for a, b, _ in wanted(m, "l2", 3)} and coarse == {(r.query_id, r.vec_id) for r in search.coarse_then_rerank(v, q, 5, 3).collect()}
 
 
 def test_pools_of_the_survey_and_their_recall(spark):
