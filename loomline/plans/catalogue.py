@@ -303,4 +303,4 @@ def cube_extension(spark, sf):
     return read(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty"))
 
 
-from loomline.plans import archives, documents, imports, publishing, reads, rules, searches, sourcing, streams, trees, upkeep, validation, views  # noqa: E402,F401  (each registers its queries)
+from loomline.plans import archives, documents, imports, publishing, reads, rules, searches, sourcing, stored, streams, trees, upkeep, validation, views  # noqa: E402,F401  (each registers its queries)
