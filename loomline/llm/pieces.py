@@ -89,8 +89,11 @@ class Vocabulary:
         # neighbouring characters inside pieces; between any others no piece crosses
         self.inside = np.unique(np.array([(ord(a) << 32) + ord(b) for p in pieces for a, b in zip(p, p[1:])], np.int64))
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.chars = np.array(sorted(ord(c) for c in self.symbols if len(c) == 1), np.int64)
-        self.char_symbol = np.array([self.symbols[chr(c)] for c in self.chars], np.int64)
+        # the symbol of each code point, -1 where there is none
+        self.char_symbol = np.full(0x110000, -1, np.int32)
+        for c, i in self.symbols.items():
+            if len(c) == 1:
+                self.char_symbol[ord(c)] = i
 
     def spaced(self, ids: list[int]) -> bool:
         """Whether ids start with the prefix space: of a piece, behind control ids at most."""
@@ -187,10 +190,10 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
         return []
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     of = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    at = np.searchsorted(v.chars, points).clip(max=len(v.chars) - 1)
-    known = v.chars[at] == points
+    symbols = v.char_symbol[points].astype(np.int64)
+    known = symbols >= 0
     # a character without a symbol stands for itself below zero and never merges
-    symbols = np.where(known, v.char_symbol[at], -1 - points)
+    symbols = np.where(known, symbols, -1 - points)
     joined = np.zeros(len(points), bool)
     if len(points) > 1:
         key = (points[:-1] << 32) + points[1:]
@@ -218,13 +221,16 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
     symbols, segment = np.concatenate(done_symbols), np.concatenate(done_segments)
     order = np.argsort(segment, kind="stable")
     symbols, of = symbols[order], owner[segment[order]]
-    plain = (symbols >= 0) & (symbols < v.n_pieces)
-    if not plain.all():
+    bare = np.flatnonzero((symbols < 0) | (symbols >= v.n_pieces))
+    if len(bare):  # characters without a piece become bytes
         chars = {i: c for c, i in v.symbols.items() if i >= v.n_pieces}
-        text = [b"" if p else (chr(-1 - s) if s < 0 else chars[s]).encode("utf-8", "surrogatepass") for p, s in zip(plain.tolist(), symbols.tolist())]
-        parts = [np.array([s]) if p else v.bytes[np.frombuffer(t, np.uint8)] for p, s, t in zip(plain.tolist(), symbols.tolist(), text)]
-        of = np.repeat(of, [len(p) for p in parts])
-        symbols = np.concatenate(parts)
+        parts = [v.bytes[np.frombuffer((chr(-1 - x) if x < 0 else chars[x]).encode("utf-8", "surrogatepass"), np.uint8)] for x in symbols[bare].tolist()]
+        wide = np.ones(len(symbols), np.int64)
+        wide[bare] = [len(p) for p in parts]
+        first = (np.cumsum(wide) - wide)[bare]
+        symbols, of = np.repeat(symbols, wide), np.repeat(of, wide)
+        inner = np.arange(wide[bare].sum()) - np.repeat(np.cumsum(wide[bare]) - wide[bare], wide[bare])
+        symbols[np.repeat(first, wide[bare]) + inner] = np.concatenate(parts)
     ends = np.searchsorted(of, np.arange(len(words) + 1))
     ids = symbols.tolist()
     return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
