@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing code points (operator 10).
 
-A fingerprint lists position:hash of the selected K-grams; two texts that share
-WINDOW + K - 1 consecutive code points share a hash. Likeness is the Jaccard index
+A fingerprint lists position:hash of the selected K-grams. The window of a text is an
+eighth of its code points, WINDOW at most, so that short texts keep several grams; two texts
+that share K - 1 and the wider window of consecutive code points share a hash. Likeness is the Jaccard index
 of the two hash sets. The query compares each document with its edited text and
 with the next document in (doc_id, text hash) order. Documents are cut into ranges by
 quantiles of doc_id, a doc_id that fills several ranges (and null) by its texts'
@@ -11,7 +12,7 @@ after the other, so its memory is that of two texts. The digest of an edited tex
 needs a whole text and the start of another in one place: one shuffle of the texts.
 
 Defined cases: null text counts as empty; an empty text has an empty fingerprint,
-like (1) another empty one only; fewer than K code points make one gram; null
+like (1) another empty one only; fewer than K code points make one gram; an empty table gives no rows; null
 doc_ids come last; rows of equal doc_id follow by text hash, then text; a single row
 is its own next; texts are read whole, however long; other columns are not read.
 """
@@ -32,11 +33,16 @@ K, WINDOW = 12, 32
 RANGE_ROWS, MAX_RANGES = 512, 20_000
 
 
+def window_of(n_chars: int) -> int:
+    """An eighth of the text: what three quarters of 18 code points and more share is then always seen."""
+    return max(1, min(WINDOW, n_chars // 8))
+
+
 def winnowed(text: str) -> tuple[list[int], list[int]]:
     """Positions (code points) and 32-bit hashes of a text's fingerprint."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     hashes = winnow.gram_hashes(points, K)
-    at = winnow.select(hashes, WINDOW)
+    at = winnow.select(hashes, window_of(len(points)))
     return at.tolist(), (hashes[at] >> np.uint64(32)).tolist()
 
 

@@ -1,14 +1,14 @@
 """Main text of web pages by a recurrent block labeller (operator 8).
 
 Every leaf block becomes a vector of its hashed tag path, hashed words and a few
-measures. A bidirectional LSTM in numpy reads the whole page's sequence of blocks
+measures; of class names and ids only the words of page furniture and articles count. A bidirectional LSTM in numpy reads the whole page's sequence of blocks
 and gives each block its probability of being article text. It is trained on
 TRAIN_PAGES made-up pages of unlike layouts, on the driver, once a process; pages are
 extracted whole, however long.
 
 Defined cases: null or empty html gives an empty text; pages without markup are one
 block; broken markup is read leniently; a probability of just 0.5 counts as article
-text; repeated rows are extracted alike. Other columns are kept, whatever their names;
+text; repeated rows are extracted alike; an empty table gives no rows. Other columns are kept, whatever their names;
 text and n_chars replace columns of those names.
 """
 
@@ -22,11 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.html_blocks import Block, blocks
+from loomline.llm.html_pages import KNOWN, TOLD
 from loomline.llm.html_pages import pages as made_pages
 from loomline.llm.common import column, table
 
 TRAIN_PAGES, EPOCHS, HIDDEN = 4000, 6, 24
-PATH_DIM, WORD_DIM, MEASURES = 256, 128, 13
+PATH_DIM, MEASURES = 256, 13
+#: Buckets of words that the phrases of page furniture hold or that are common, and of all other words.
+TOLD_DIM, OTHER_DIM = 224, 32
+WORD_DIM = TOLD_DIM + OTHER_DIM
 DIM = PATH_DIM + WORD_DIM + MEASURES
 #: Blocks that are labelled together at most (a longer page goes alone), and words a task remembers.
 BATCH_BLOCKS, MEMO_WORDS = 20_000, 200_000
@@ -44,6 +48,8 @@ class Vectors:
         self.words: dict[str, int] = {}
 
     def path(self, path: tuple[str, ...]) -> np.ndarray:
+        """Tags and known names of a block; a name without a known word is like none."""
+        path = tuple([p for p in path if p[0] != "." or p[1:] in KNOWN])
         found = self.paths.get(path)
         if found is None:
             if len(self.paths) > MEMO_WORDS // 100:
@@ -62,7 +68,8 @@ class Vectors:
         if at is None:
             if len(self.words) > MEMO_WORDS:
                 self.words.clear()
-            at = self.words[w] = bucket(w.lower(), WORD_DIM)
+            own = w.lower()
+            at = self.words[w] = bucket(own, TOLD_DIM) if own in TOLD else TOLD_DIM + bucket(own, OTHER_DIM)
         return at
 
     def page(self, found: list[Block]) -> np.ndarray:

@@ -11,16 +11,16 @@ from collections.abc import Callable
 
 #: Fixed word lists of page furniture: class or id words, and phrases, by role.
 NAMES = {
-    "nav": "nav menu navbar navigation topnav mainmenu breadcrumb breadcrumbs tabs pager pagination skip toc links menubar submenu".split(),
-    "header": "header masthead banner top site branding logo topbar head hero".split(),
-    "footer": "footer bottom colophon copyright legal foot credits imprint".split(),
-    "side": "sidebar aside side widget rail related recommended popular trending archive tags more secondary right".split(),
-    "ad": "ad ads advert advertisement sponsor sponsored promo adbox dfp teaser partner outbrain".split(),
-    "notice": "cookie cookies consent notice gdpr alert popup modal overlay paywall newsletter message toast disclaimer".split(),
-    "form": "form search login signup subscribe newsletter contact register searchbox".split(),
-    "comments": "comments comment disqus replies discussion responses reply commentlist feedback thread".split(),
-    "share": "share social sharing follow sharebar tools meta print".split(),
-    "main": "content article post entry story body main text articlebody entrycontent prose copy read".split(),
+    "nav": "nav menu navbar navigation topnav mainmenu breadcrumb breadcrumbs tabs pager pagination skip toc links menubar submenu menue navi navegacion enlaces liens".split(),
+    "header": "header masthead banner top site branding logo topbar head hero kopf kopfzeile entete cabecera encabezado".split(),
+    "footer": "footer bottom colophon copyright legal foot credits imprint fuss fusszeile impressum pied pie".split(),
+    "side": "sidebar aside side widget rail related recommended popular trending archive tags more secondary right seitenleiste rand lateral barra cote".split(),
+    "ad": "ad ads advert advertisement sponsor sponsored promo adbox dfp teaser partner outbrain werbung anzeige anzeigen publicite publicidad anuncio".split(),
+    "notice": "cookie cookies consent notice gdpr alert popup modal overlay paywall newsletter message toast disclaimer hinweis avis aviso".split(),
+    "form": "form search login signup subscribe newsletter contact register searchbox suche anmeldung recherche buscar".split(),
+    "comments": "comments comment disqus replies discussion responses reply commentlist feedback thread kommentare kommentar commentaires comentarios".split(),
+    "share": "share social sharing follow sharebar tools meta print teilen partager compartir".split(),
+    "main": "content article post entry story body main text articlebody entrycontent prose copy read inhalt artikel beitrag haupt contenu texte contenido articulo texto".split(),
     "wrap": "wrapper container page wrap row col outer inner site layout grid box section".split(),
 }
 PHRASES = {
@@ -34,10 +34,14 @@ PHRASES = {
     "comments": "Comments|Reply|Leave a comment|3 replies|said:|Posted by|Report|Like|Great article!|I agree|I disagree|Thanks for sharing|Kommentare|Commentaires".split("|"),
     "share": "Share|Tweet|Print|Email|Share on Facebook|Follow us|Copy link|Partager|Teilen".split("|"),
 }
+#: Words of names that say something; a labeller should take any other name for none.
+KNOWN = frozenset(w for words in NAMES.values() for w in words) | {"hidden", "navigation", "contentinfo", "complementary", "dialog"}
 ROLES = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "side": "complementary", "form": "search", "notice": "dialog", "main": "main"}
 TAGS = {"nav": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form", "notice": "dialog", "ad": "aside", "comments": "section", "share": "div", "main": "article"}
 #: Common short words of several languages.
 COMMON = "the of and to in is that for it as was with on by be at this der die und den von zu das mit le la les et des en du un une que el los y las con por il di che non per".split()
+#: Words that may say something of a block: those of the phrases above, and the common ones.
+TOLD = frozenset(w for phrases in PHRASES.values() for p in phrases for w in p.lower().split()) | frozenset(COMMON)
 LETTERS = "eeeeaaaiiioounnnssstttrrrlllddmmccpphhgbvfkywjxqzéüöñçàß"
 
 
@@ -45,9 +49,9 @@ class Writer:
     """One page: its HTML and, for each block of text it writes, whether that block is article text."""
 
     def __init__(self, rng: random.Random):
-        self.rng, self.html, self.truth = rng, [], []
+        self.rng, self.html, self.truth, self.told, self.sure = rng, [], [], False, False
         self.letters = "".join(rng.sample(LETTERS, 25))
-        self.named = rng.choice((1.0, 0.9, 0.6, 0.0))
+        self.named = rng.choice((1.0, 0.9, 0.6, 0.0, 0.0))
 
     def word(self) -> str:
         r = self.rng
@@ -94,9 +98,12 @@ class Writer:
     def box(self, role: str, fill: Callable[[], None], tag: str | None = None) -> None:
         """An element of a role around what fill writes; semantic or a plain box."""
         r = self.rng
-        tag = tag or (TAGS[role] if r.random() < 0.4 else r.choice(("div", "div", "div", "section")))
-        self.html.append(f"<{tag}{self.name(role)}>")
+        tag, name = tag or (TAGS[role] if r.random() < 0.4 else r.choice(("div", "div", "div", "section"))), self.name(role)
+        self.html.append(f"<{tag}{name}>")
+        # furniture in a plain box without a name must say what it is, or it is no furniture
+        before, self.told = self.told, self.told or (not name and tag in ("div", "section", "td", "li"))
         fill()
+        self.told = before
         self.html.append(f"</{tag}>")
 
     # page furniture
@@ -116,7 +123,7 @@ class Writer:
     def prose(self, role: str, least: int, most: int) -> None:
         r = self.rng
         own = self.words(least, most)
-        if r.random() < 0.5:
+        if self.told or r.random() < 0.5:
             own = r.choice(PHRASES[role]) + " " + own
         self.put(r.choice(("p", "p", "div")), own, False)
 
@@ -147,6 +154,7 @@ class Writer:
             else:
                 if r.random() < 0.5:
                     self.put(r.choice(("h2", "h3", "h4", "div")), r.choice(PHRASES[role]), False)
+                    self.told = False
                 if role == "side" and r.random() < 0.6:
                     self.links(role)
                 else:
@@ -172,7 +180,10 @@ class Writer:
         """One piece of an article."""
         r = self.rng
         kind = r.random()
-        if kind < 0.06:
+        if self.sure and r.random() < 0.04:
+            # the wording of page furniture inside an article is the article's
+            self.put("p", r.choice(PHRASES[r.choice(("footer", "footer", "header", "side", "form", "nav"))]), True)
+        elif kind < 0.06:
             self.put(r.choice(("h2", "h3", "h4")), self.words(1, 8), True)
         elif kind < 0.16:
             tag = r.choice(("ul", "ol"))
@@ -186,12 +197,21 @@ class Writer:
             self.html.append("</blockquote>")
         elif kind < 0.21:
             self.put("pre", self.words(4, 20), True)
+        elif kind < 0.23:
+            # a reading list
+            tag = r.choice(("ul", "ol"))
+            self.html.append(f"<{tag}>")
+            for _ in range(r.randint(2, 6)):
+                own = self.link(self.words(1, 9).rstrip(".!?:"), True)
+                self.html.append(f"<li>{own}{r.choice(('', '', ' ' + self.words(1, 8)))}</li>")
+            self.html.append(f"</{tag}>")
         elif kind < 0.26:
             self.html.append("<table>")
             for row in range(r.randint(1, 4)):
                 self.html.append("<tr>")
                 for _ in range(r.randint(2, 4)):
-                    self.put("th" if not row and r.random() < 0.5 else "td", self.words(1, 6), True)
+                    own = self.words(1, 6) if r.random() < 0.6 else r.choice((str(r.randrange(5000)), f"{r.randrange(900)}.{r.randrange(10, 99)}", f"{r.randrange(100)} %", self.word()))
+                    self.put("th" if not row and r.random() < 0.5 else "td", own, True)
                 self.html.append("</tr>")
             self.html.append("</table>")
         elif kind < 0.29:
@@ -222,7 +242,7 @@ class Writer:
         """The article in its place."""
         r = self.rng
         n = r.choice((1, 1, 1, 2, 3, 5, 8, 10))
-        inside = r.choice((0.0, 0.0, 0.1))
+        inside = r.choice((0.0, 0.0, 0.1, 0.25))
 
         def fill() -> None:
             if r.random() < 0.25:
@@ -234,7 +254,9 @@ class Writer:
 
         kind = r.random()
         if kind < 0.45:
+            self.sure = True
             self.box("main", fill, r.choice(("article", "article", "main")))
+            self.sure = False
         elif kind < 0.85:
             self.box("main", fill, r.choice(("div", "section")))
         else:
@@ -260,6 +282,18 @@ class Writer:
             if r.random() < 0.5:
                 self.furniture(r.choice(last))
 
+    def plain(self) -> None:
+        """The commonest page: a menu, a box of paragraphs that says nothing of itself, a footer."""
+        r, self.named = self.rng, 0.0
+        for role in r.choice((("nav",), ("header", "nav"), ("nav", "nav"), ())):
+            self.furniture(role)
+        depth = r.choice((0, 1, 1, 1, 2))
+        self.html.append("<div>" * depth)
+        self.article(r.choice((1, 2, 3, 5, 8)), r.random() < 0.6)
+        self.html.append("</div>" * depth)
+        for role in r.choice((("footer",), ("footer",), ("nav", "footer"), ("comments", "footer"), ())):
+            self.furniture(role)
+
     def tabular(self) -> None:
         """A table as layout: a cell of links, a cell of text, perhaps rows above and below."""
         r = self.rng
@@ -302,7 +336,9 @@ class Writer:
         kind = r.random()
         if kind < 0.25:
             self.bare()
-        elif kind < 0.37:
+        elif kind < 0.35:
+            self.plain()
+        elif kind < 0.45:
             self.tabular()
         else:
             depth = r.choice((0, 0, 1, 2))

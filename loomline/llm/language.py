@@ -11,8 +11,8 @@ between languages are seen. Every text is predicted whole, however long.
 
 Defined cases: null, or no letter: ``und``, score 0; null doc_ids are predicted, not
 learned from; without any learnable lang all are ``und``; of languages that tie, the
-first by name is predicted; repeated rows are predicted alike and learned once each.
-Other columns, whatever their names, are not read.
+first by name is predicted; repeated rows are predicted alike and learned as one; an
+empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 import random
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm import crf
-from loomline.llm.common import crc_mod, table
+from loomline.llm.common import crc_mod, table, text_hash
 
 SAMPLE_PER_LANG, SAMPLE_ROWS = 150, 1200
 #: Words of a spliced stretch.
@@ -61,14 +61,16 @@ def fit(texts: list[str], langs: list[str]) -> tuple[crf.Chain, list[str]] | Non
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang"):
     """Fit on the bounded sample of documents that are not held out."""
-    known = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
+    known = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"), text_hash(text).alias("th"))
     known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT) & F.col("text").isNotNull())
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    narrow = known.select("doc_id", "lang", order.alias("o"))
+    # rows that agree in doc_id and text are one; of several langs the first by name counts
+    narrow = known.groupBy("doc_id", "th").agg(F.min("lang").alias("lang")).withColumn("o", order)
     # Spark limits each task's rows of a language before the window's shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o"))
-    picked = narrow.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG).orderBy("rank", "o").limit(SAMPLE_ROWS)
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(picked.drop("lang")), "doc_id").orderBy("rank", "o").limit(SAMPLE_ROWS).collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "th"))
+    picked = narrow.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG).orderBy("rank", "o", "th").limit(SAMPLE_ROWS)
+    body = known.select("doc_id", "th", "text").join(F.broadcast(picked), ["doc_id", "th"])  # at most SAMPLE_ROWS rows
+    rows = body.groupBy("doc_id", "th", "lang", "rank", "o").agg(F.min("text").alias("text")).orderBy("rank", "o", "th").limit(SAMPLE_ROWS).collect()
     return fit([r.text or "" for r in rows], [r.lang for r in rows])
 
 

@@ -10,7 +10,8 @@ md5(doc_id); the CRF and the curve learn from all of them. Every text is scored
 whole, however long.
 
 Defined cases: null, blank and wordless texts get the score of no evidence; null
-doc_ids are scored, not learned from; of repeated doc_ids one row is learned from;
+doc_ids are scored, not learned from; of repeated doc_ids one text is learned from (the
+first in the order of hashes), as toxic if any label of it says so; an empty table gives no rows;
 without labels of both kinds all score 0; a score equal to THRESHOLD is toxic;
 repeated rows are scored alike. A stage passes extra columns through, whatever
 their names.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import crf
-from loomline.llm.common import crc_mod, fresh, table
+from loomline.llm.common import crc_mod, fresh, table, text_hash
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 500, 1500
 HELD_OUT_MOD, HELD_OUT = 4, 2
@@ -103,14 +104,17 @@ def fit(texts: list[str], toxic: np.ndarray, toxic_share: float) -> tuple[crf.Ch
 def train(docs: DataFrame, labels: DataFrame, text: str = "text"):
     """Fit on the bounded sample of labelled documents that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT))
-    known = known.select("doc_id", "toxic", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o")).dropDuplicates(["doc_id"])
+    # a doc_id with labels of both kinds counts as toxic, one with several texts by the first in the order of their hashes
+    order = F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", "toxic", order)
     share = known.agg(F.avg("toxic")).first()[0]
-    # twice the wanted rows, since some documents are missing
-    picked = [known.where(F.col("toxic") == c).orderBy("o").limit(2 * n) for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN) rows
-    body = docs.select("doc_id", F.col(text).alias("text")).where("text is not null")
-    found = body.join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy("o").select("text", "toxic").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
-    rows = [r for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)) for r in [r for r in found if r.toxic == c][:n]]
+    body = docs.select("doc_id", F.col(text).alias("text")).where("text is not null").withColumn("th", text_hash())
+    # only documents that are there take a place in the sample; their ids and hashes choose it, then the texts are read
+    there = body.groupBy("doc_id").agg(F.min("th").alias("th")).join(known, "doc_id")
+    picked = [there.where(F.col("toxic") == c).orderBy("o", "doc_id").limit(n) for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
+    found = body.join(picked, ["doc_id", "th"]).groupBy("doc_id", "th", "toxic", "o").agg(F.min("text").alias("text"))
+    rows = found.orderBy(F.desc("toxic"), "o", "doc_id").select("text", "toxic").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).collect()
     return fit([r.text for r in rows], np.array([r.toxic for r in rows]), share or 0.0)
 
 
