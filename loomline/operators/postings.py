@@ -1,9 +1,10 @@
 """A stored lexical index: positional postings in blocks, in runs that are merged later.
 
 A run holds, below one folder a hash of the term, rows of at most BLOCK_DOCS documents:
-the term, the first id, differences of the ids to it, lengths, counts and positions by
-column, and the largest counts and least length, from which a bound of the block's
-scores follows for any statistics. Adding documents writes a run; removing them writes
+the term, the first id, differences of the ids to it, lengths, positions by column, and
+the largest counts and least length, from which a bound of the block's scores follows
+for any statistics. Tasks invert their own documents by one sort of flat arrays and send
+bundles of blocks, so words are never shuffled one by one. Adding documents writes a run; removing them writes
 their ids; neither touches another run. A manifest names the runs, their sums, and the
 removals that hold for them, so a reader sees one version.
 
@@ -17,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from loomline.sources.versions import Manifests
 BLOCK_DOCS, TOKENS, FIRST = 128, 1_000_000, 16
 #: Documents whose postings of a term are put together by one merging task.
 SHARE_DOCS = 16_384
+#: Input partitions (or shares of documents) whose bundles of a part are written by one task.
+PER_SALT = 32
 #: Largest number of removed ids that is broadcast.
 BROADCAST_IDS = 200_000
 WORDS = {"ascii": tokens, "any": folded_tokens}
@@ -38,58 +42,126 @@ def part_of(term: str, parts: int) -> int:
 
 
 def _schema(n: int) -> str:
-    each = "".join(f", tf_{c} array<int>, pos_{c} array<array<int>>, most_{c} int" for c in range(n))
+    """A block: ids as differences to the first, lengths, and by column the places where a document's positions start (n + 1 of them) and all positions."""
+    each = "".join(f", most_{c} int, at_{c} array<int>, pos_{c} array<int>" for c in range(n))
     return f"part int, term string, first long, last long, n int, least int, ids array<long>, len array<int>{each}"
 
 
-def _inverter(n: int, parts: int):
-    """Arrow batches of (id, one array of words a column) to blocks; ids of a task are inverted TOKENS at a time."""
-    kind = {"part": pa.int32(), "term": pa.string(), "first": pa.int64(), "last": pa.int64(), "n": pa.int32(), "least": pa.int32(), "ids": pa.list_(pa.int64()), "len": pa.list_(pa.int32())}
+#: The folder of the blocks that hold all ids and lengths of a run.
+DOCS = -1
+
+
+def _bundle_schema(n: int) -> str:
+    """Many blocks of one part in flat arrays, the form in which they are shuffled."""
+    each = "".join(f", most_{c} array<int>, at_{c} array<int>, pos_{c} array<int>, end_{c} array<int>" for c in range(n))
+    return f"part int, salt long, term array<string>, first array<long>, last array<long>, n array<int>, least array<int>, ids array<long>, len array<int>{each}"
+
+
+def _bundles(ids: np.ndarray, columns: list[pa.ListArray], parts: int, salts: int) -> Iterator[dict]:
+    """The bundles of some documents: one sort of (term, document) makes all postings, blocks and parts."""
+    order = np.argsort(ids, kind="stable")
+    place = np.argsort(order, kind="stable")  # documents by ascending id
+    sizes = [np.diff(c.offsets.to_numpy()) for c in columns]
+    lens = sum(sizes)[order]
+    salt = int(ids[order[0]]) % salts
+    blank = {f"{k}_{c}": v for c in range(len(columns)) for k, v in (("most", [0]), ("at", np.zeros(len(ids) + 1, np.int64)), ("pos", []), ("end", [0]))}
+    yield {"part": DOCS, "salt": salt, "term": [""], "first": [ids[order[0]]], "last": [ids[order[-1]]], "n": [len(ids)], "least": [lens.min()], "ids": ids[order] - ids[order[0]], "len": lens} | blank
+    words = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
+    if not len(words):
+        return
+    names = words.dictionary.to_pylist()
+    part = np.array([part_of(w, parts) for w in names])
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(part, kind="stable")] = np.arange(len(names))
+    names, part = np.array(names, object)[np.argsort(rank)], np.sort(part, kind="stable")
+    code = rank[words.indices.to_numpy()]
+    doc = place[np.concatenate([np.repeat(np.arange(len(ids)), n) for n in sizes])]
+    column = np.repeat(np.arange(len(columns)), [n.sum() for n in sizes])
+    position = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+    key = code * len(ids) + doc
+    by = np.argsort(key, kind="stable")
+    key, column, position = key[by], column[by], position[by]
+    new = np.r_[True, key[1:] != key[:-1]]
+    posting = np.cumsum(new) - 1
+    p_code, p_doc = np.divmod(key[new], len(ids))
+    count = len(p_code)
+    starts = np.flatnonzero(np.r_[True, p_code[1:] != p_code[:-1]])
+    within = np.arange(count) - np.repeat(starts, np.diff(np.r_[starts, count]))
+    block = np.flatnonzero(within % BLOCK_DOCS == 0)  # the first posting of each block
+    n = np.diff(np.r_[block, count])
+    of = np.repeat(np.arange(len(block)), n)
+    p_id, p_len = ids[order][p_doc], lens[p_doc]
+    first = p_id[block]
+    each = []
+    for c in range(len(columns)):
+        own = column == c
+        tf = np.bincount(posting[own], minlength=count)
+        total = np.r_[0, np.cumsum(tf)]
+        # one more place than postings in each block, from 0
+        at = np.empty(count + len(block), np.int64)
+        at[np.arange(count) + of] = total[:-1] - total[block][of]
+        ends = block + n
+        at[ends + np.arange(len(block))] = total[ends] - total[block]
+        each.append((np.maximum.reduceat(tf, block), at, position[own], total))
+    least = np.minimum.reduceat(p_len, block)
+    b_part = part[p_code[block]]
+    for a, z in zip(cuts := np.flatnonzero(np.r_[True, b_part[1:] != b_part[:-1]]), [*cuts[1:], len(block)]):
+        p, q = block[a], block[z] if z < len(block) else count
+        row = {"part": b_part[a], "salt": salt, "term": names[p_code[block[a:z]]], "first": first[a:z], "last": p_id[block[a:z] + n[a:z] - 1], "n": n[a:z], "least": least[a:z], "ids": (p_id - first[of])[p:q] if a == 0 and z == len(block) else p_id[p:q] - first[of[p:q]], "len": p_len[p:q]}
+        for c, (most, at, pos, total) in enumerate(each):
+            row |= {f"most_{c}": most[a:z], f"at_{c}": at[p + a : q + z], f"pos_{c}": pos[total[p] : total[q]], f"end_{c}": total[block[a:z] + n[a:z]] - total[p]}
+        yield row
+
+
+def _inverter(n: int, parts: int, salts: int):
+    """Arrow batches of (id, one array of words a column) to bundles, TOKENS words at a time."""
+    kind = {"part": pa.int32(), "salt": pa.int64(), "term": pa.list_(pa.string())} | {k: pa.list_(pa.int64() if k in ("first", "last", "ids") else pa.int32()) for k in ("first", "last", "n", "least", "ids", "len")}
     for c in range(n):
-        kind |= {f"tf_{c}": pa.list_(pa.int32()), f"pos_{c}": pa.list_(pa.list_(pa.int32())), f"most_{c}": pa.int32()}
-
-    def blocks(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
-        for at, (_, *columns) in enumerate(docs):
-            own: dict[str, list[list[int]]] = {}
-            for c, words in enumerate(columns):
-                for place, word in enumerate(words):
-                    own.setdefault(word, [[] for _ in range(n)])[c].append(place)
-            for word, places in own.items():
-                found.setdefault(word, []).append((at, places))
-        lens = [sum(map(len, columns)) for _, *columns in docs]
-        rows: dict[str, list] = {k: [] for k in kind}
-        for word, held in found.items():
-            for i in range(0, len(held), BLOCK_DOCS):
-                block = held[i : i + BLOCK_DOCS]
-                ids, sizes = [docs[a][0] for a, _ in block], [lens[a] for a, _ in block]
-                row = {"part": part_of(word, parts), "term": word, "first": ids[0], "last": ids[-1], "n": len(ids), "least": min(sizes), "ids": [x - ids[0] for x in ids], "len": sizes}
-                for c in range(n):
-                    counts = [len(p[c]) for _, p in block]
-                    row |= {f"tf_{c}": counts, f"pos_{c}": [p[c] for _, p in block], f"most_{c}": max(counts)}
-                for k, v in row.items():
-                    rows[k].append(v)
-            if len(rows["n"]) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kind.items()], names=list(kind))
-                rows = {k: [] for k in kind}
-        yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kind.items()], names=list(kind))
+        kind |= {f"{k}_{c}": pa.list_(pa.int32()) for k in ("most", "at", "pos", "end")}
+
+    def bundles(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        whole = [t.column(i + 1).combine_chunks() for i in range(n)]
+        for row in _bundles(t.column(0).to_numpy(), [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in whole], parts, salts):
+            yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) if not isinstance(t, pa.ListType) else pa.array([list(row[k]) if k == "term" else np.asarray(row[k])], t) for k, t in kind.items()], names=list(kind))
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                for row in zip(*(c.to_pylist() for c in batch.slice(at, 100).columns)):
-                    held.append(row)
-                    size += sum(map(len, row[1:])) + 1
-                    if size >= TOKENS:
-                        yield from blocks(sorted(held, key=lambda r: r[0]))
-                        held, size = [], 0
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
+                held.append(piece)
+                size += sum(len(piece.column(i + 1).flatten()) for i in range(n)) + piece.num_rows
+                if size >= TOKENS:
+                    yield from bundles(held)
+                    held, size = [], 0
         if held:
-            yield from blocks(sorted(held, key=lambda r: r[0]))
+            yield from bundles(held)
 
     return invert
 
 
+def _unbundler(n: int):
+    """Bundles to rows of ``_schema``: their flat arrays become lists by offsets."""
+
+    def unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                held = lambda k: row[k].values
+                sizes = held("n").to_numpy()
+                count, blocks = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), len(sizes)
+                columns = {"part": pa.array(np.full(blocks, row["part"].as_py()), pa.int32())} | {k: held(k) for k in ("term", "first", "last", "n", "least")}
+                columns |= {k: pa.ListArray.from_arrays(count, held(k)) for k in ("ids", "len")}
+                more = pa.array(np.r_[0, np.cumsum(sizes + 1)], pa.int32())
+                for c in range(n):
+                    ends = pa.array(np.r_[0, held(f"end_{c}").to_numpy()], pa.int32())
+                    columns |= {f"most_{c}": held(f"most_{c}"), f"at_{c}": pa.ListArray.from_arrays(more, held(f"at_{c}")), f"pos_{c}": pa.ListArray.from_arrays(ends, held(f"pos_{c}"))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return unbundle
+
+
 class Index:
     """Postings of documents (id, text columns) below ``root``. Ids are unique; null ids are refused, null texts are empty."""
 
@@ -108,21 +180,21 @@ class Index:
     def add(self, docs: DataFrame, base: dict | None = None) -> int:
         """Publish a run of new documents. No other run is read or written."""
         base, name = self.state() if base is None else base, f"run-{uuid.uuid4().hex}"
+        n = len(self.columns)
         cut = docs.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), *[WORDS[self.words](F.coalesce(F.col(c), F.lit(""))).alias(c) for c in self.columns])
-        size = sum((F.size(c) for c in self.columns), F.lit(0)).cast("long")
-        cut.write.parquet(self._folder(f"{name}/words"))
-        cut = self.spark.read.parquet(self._folder(f"{name}/words"))
-        cut.select("id", size.alias("len")).write.parquet(self._folder(f"{name}/docs"))
-        n, total = self.spark.read.parquet(self._folder(f"{name}/docs")).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
-        cut.mapInArrow(_inverter(len(self.columns), self.parts), _schema(len(self.columns))).write.parquet(self._folder(f"{name}/blocks"))
-        # a common term has blocks everywhere: ranges over (part, term, first) part them, a hash of the term would not
-        blocks = self.spark.read.parquet(self._folder(f"{name}/blocks"))
-        order = ("part", "term", "first")
-        blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(self._folder(f"{name}/postings"))
-        for left in ("words", "blocks"):
-            self.manifests.fs.delete(self.manifests._path(f"data/{name}/{left}"), True)
-        run = {"name": name, "n": n, "len": total, "dead": []}
-        return self.manifests.put(base["version"], base | {"runs": base["runs"] + [run], "n": base["n"] + n, "len": base["len"] + total})
+        # a common term has blocks everywhere: a part is dealt by salts, more of them for more input
+        salts = max(1, docs.rdd.getNumPartitions() // PER_SALT)
+        bundles = cut.mapInArrow(_inverter(n, self.parts, salts), _bundle_schema(n)).repartition("part", "salt")
+        blocks = bundles.mapInArrow(_unbundler(n), _schema(n))
+        blocks.sortWithinPartitions("part", "term", "first").write.partitionBy("part").parquet(self._folder(f"{name}/postings"))
+        return self._publish(base, base["runs"], name, added=True)
+
+    def _publish(self, base: dict, others: list[dict], name: str, added: bool) -> int:
+        """Name a written run beside others; its sums come from its own documents."""
+        run = {"name": name, "dead": []}
+        n, total = self._docs({"runs": [run]}).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+        more = {"n": base["n"] + n, "len": base["len"] + total} if added else {}
+        return self.manifests.put(base["version"], base | {"runs": others + [run | {"n": n, "len": total}]} | more)
 
     def remove(self, ids: DataFrame, base: dict | None = None) -> int:
         """Publish the removal of ids (id) from all runs so far; later runs may hold them anew."""
@@ -147,27 +219,26 @@ class Index:
             return base["version"]
         name, kept = f"run-{uuid.uuid4().hex}", [r for r in base["runs"] if r not in small]
         part = base | {"runs": small}
-        live = self._docs(part)
-        live.select("id", "len").write.parquet(self._folder(f"{name}/docs"))
-        n, total = self.spark.read.parquet(self._folder(f"{name}/docs")).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
-        each = [c for i in range(len(self.columns)) for c in (f"tf_{i}", f"pos_{i}")]
-        rows = self._live(self._blocks(part, None).select("part", "term", "run", "first", F.arrays_zip("ids", "len", *each).alias("x")).select("part", "term", "run", "first", F.inline("x")).withColumn("id", F.col("first") + F.col("ids")), part)
+        n = max(1, sum(r["n"] for r in small))
+        cols = range(len(self.columns))
+        docs = self._docs(part).select(F.lit(DOCS).alias("part"), F.lit("").alias("term"), "id", F.col("len").cast("int").alias("len"), *[x for c in cols for x in (F.lit(0).alias(f"tf_{c}"), F.array().cast("array<int>").alias(f"pos_{c}"))])
+        rows = self._postings(self._blocks(part, None), part, positions=True).withColumn("part", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.parts)).cast("int"))
+        rows = rows.select(*docs.columns).unionByName(docs)
         # a common term is in most documents: its postings are grouped by shares of the ids, in many tasks
-        share = F.pmod(F.xxhash64("id"), F.lit(-(-max(n, 1) // SHARE_DOCS)))
+        share, size = F.pmod(F.xxhash64("id"), F.lit(-(-n // SHARE_DOCS))), F.when(F.col("term") == "", SHARE_DOCS).otherwise(BLOCK_DOCS)
+        each = [c for i in cols for c in (f"tf_{i}", f"pos_{i}")]
         held = rows.withColumn("share", share).groupBy("part", "term", "share").agg(F.array_sort(F.collect_list(F.struct("id", "len", *each))).alias("g"))
-        starts = F.sequence(F.lit(1), F.size("g"), F.lit(BLOCK_DOCS))
-        held = held.select("part", "term", F.explode(F.transform(starts, lambda s: F.slice("g", s, F.lit(BLOCK_DOCS)))).alias("g"))
+        held = held.select("part", "term", F.explode(F.transform(F.sequence(F.lit(1), F.size("g"), size), lambda s: F.slice("g", s, size))).alias("g"))
         field = lambda c: F.transform("g", lambda x: x[c])
+        held = held.select("part", "term", "g", *[field(f"tf_{c}").alias(f"tf_{c}") for c in cols])
+        places = lambda c: F.when(F.col("term") == "", F.array_repeat(F.lit(0), F.size("g") + 1)).otherwise(F.transform(F.sequence(F.lit(0), F.size("g")), lambda i: F.aggregate(F.slice(f"tf_{c}", F.lit(1), i), F.lit(0), lambda a, x: a + x)))
         blocks = held.select(
             "part", "term", F.col("g")[0]["id"].alias("first"), F.element_at("g", -1)["id"].alias("last"), F.size("g").alias("n"), F.array_min(field("len")).alias("least"),
             F.transform("g", lambda x: x["id"] - F.col("g")[0]["id"]).alias("ids"), field("len").alias("len"),
-            *[x for i in range(len(self.columns)) for x in (field(f"tf_{i}").alias(f"tf_{i}"), field(f"pos_{i}").alias(f"pos_{i}"), F.array_max(field(f"tf_{i}")).alias(f"most_{i}"))],
+            *[x for c in cols for x in (F.array_max(f"tf_{c}").alias(f"most_{c}"), places(c).alias(f"at_{c}"), F.flatten(field(f"pos_{c}")).alias(f"pos_{c}"))],
         )
-        blocks.write.parquet(self._folder(f"{name}/blocks"))
-        order = ("part", "term", "first")
-        self.spark.read.parquet(self._folder(f"{name}/blocks")).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(self._folder(f"{name}/postings"))
-        self.manifests.fs.delete(self.manifests._path(f"data/{name}/blocks"), True)
-        return self.manifests.put(base["version"], base | {"runs": kept + [{"name": name, "n": n, "len": total, "dead": []}]})
+        blocks.repartition("part", F.pmod(F.xxhash64("first"), F.lit(-(-n // (PER_SALT * SHARE_DOCS))))).sortWithinPartitions("part", "term", "first").write.partitionBy("part").parquet(self._folder(f"{name}/postings"))
+        return self._publish(base, kept, name, added=False)
 
     def sweep(self, keep: int = 1) -> list[str]:
         """Delete runs and removals that no version left names."""
@@ -193,25 +264,26 @@ class Index:
 
     def _docs(self, state: dict) -> DataFrame:
         """(run, id, len) of the live documents."""
-        frames = [self.spark.read.schema("id long, len long").parquet(self._folder(f"{r['name']}/docs")).withColumn("run", F.lit(r["name"])) for r in state["runs"]]
-        return self._live(self._union(frames, "id long, len long, run string"), state)
+        frames = [self._run(r).where(F.col("part") == DOCS) for r in state["runs"]]
+        rows = self._union(frames, f"{_schema(len(self.columns))}, run string").select("run", "first", F.inline(F.arrays_zip("ids", "len")))
+        return self._live(rows.select("run", (F.col("first") + F.col("ids")).alias("id"), F.col("len").cast("long").alias("len")), state)
+
+    def _run(self, run: dict) -> DataFrame:
+        """All blocks of a run; a filter on part reads its folders only."""
+        return self.spark.read.schema(_schema(len(self.columns))).parquet(self._folder(f"{run['name']}/postings")).withColumn("run", F.lit(run["name"]))
 
     def _blocks(self, state: dict, terms: list[str] | None) -> DataFrame:
         """Blocks of the terms in all runs, read from the terms' folders only."""
-        schema = _schema(len(self.columns))
-        frames = []
-        for r in state["runs"]:
-            df = self.spark.read.schema(schema).parquet(self._folder(f"{r['name']}/postings"))
-            if terms is not None:
-                df = df.where(F.col("part").isin(sorted({part_of(t, self.parts) for t in terms})) & F.col("term").isin(terms))
-            frames.append(df.withColumn("run", F.lit(r["name"])))
-        return self._union(frames, f"{schema}, run string")
+        named = F.col("part") != DOCS
+        if terms is not None:
+            named = F.col("part").isin(sorted({part_of(t, self.parts) for t in terms})) & F.col("term").isin(terms)
+        return self._union([self._run(r).where(named) for r in state["runs"]], f"{_schema(len(self.columns))}, run string")
 
     def _postings(self, blocks: DataFrame, state: dict, positions: bool = False) -> DataFrame:
-        """(term, id, len, tf_i) and pos_i if asked, one row a live posting."""
-        each = [f"tf_{i}" for i in range(len(self.columns))] + [f"pos_{i}" for i in range(len(self.columns)) if positions]
-        rows = blocks.select("run", "term", "first", F.inline(F.arrays_zip("ids", "len", *each)))
-        return self._live(rows.withColumn("id", F.col("first") + F.col("ids")).select("run", "term", "id", "len", *each), state)
+        """(run, term, id, len, tf_c) and pos_c if asked, one row a live posting."""
+        fields = ["first + ids[i] AS id", "len[i] AS len", *[f"at_{c}[i + 1] - at_{c}[i] AS tf_{c}" for c in range(len(self.columns))]]
+        fields += [f"slice(pos_{c}, at_{c}[i] + 1, at_{c}[i + 1] - at_{c}[i]) AS pos_{c}" for c in range(len(self.columns)) if positions]
+        return self._live(blocks.select("run", "term", F.expr(f"inline(transform(sequence(0, n - 1), i -> struct({', '.join(fields)})))")), state)
 
     def _phrases(self, phrases: list[list[str]], weights: list[float], state: dict) -> DataFrame:
         """(id, len, p, tf): weighted counts of each phrase in each document that holds it."""
