@@ -1,5 +1,7 @@
 """Queries on stored forms: a lexical index in runs, and tables that are published as a whole."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from loomline.operators import postings
@@ -7,6 +9,7 @@ from loomline.plans.registry import SQL, query
 from loomline.plans.searches import COUNTS
 from loomline.sources.archive import read
 from loomline.sources.versions import Table, fresh_folder, publish_work
+from loomline.streaming import activity, upkeep
 
 
 def _docs(spark, sf):
@@ -113,3 +116,23 @@ def rebuilt_epoch(spark, sf):
     table.switch(waiting=0)
     table.sweep()
     return table.read()
+
+
+@query("SELECT user_id, max(ts) AS latest, count(*) AS n FROM events GROUP BY user_id")
+def activity_view(spark, sf):
+    """``streaming_activity`` as a view whose buckets are rewritten for the users of each batch only."""
+    log = activity.events(spark, sf, read(spark, sf, "events").schema).select("user_id", "ts")
+    return upkeep.keep_activity(log, fresh_folder(spark, "activity"), 16).read()
+
+
+@query("""WITH c AS (SELECT doc_id AS chunk_id, sha256(text) AS digest, octet_length(encode(text)) AS bytes FROM documents WHERE text IS NOT NULL), f AS (SELECT chunk_id, digest, bytes, min(chunk_id) OVER (PARTITION BY digest) AS m FROM c)
+SELECT chunk_id, CASE WHEN bytes <= 4000 AND m IN (SELECT vec_id FROM embeddings) THEN m END AS vector_id, CASE WHEN bytes > 4000 THEN 'oversized' WHEN m NOT IN (SELECT vec_id FROM embeddings) THEN 'no_vector' END AS failure FROM f""")
+def embedded_chunks(spark, sf):
+    """The claim, embed, publish loop over all documents; the embedder looks vectors up, and texts of over 4,000 bytes are refused."""
+    docs = read(spark, sf, "documents").where("text IS NOT NULL")
+    table = upkeep.link_table(spark, fresh_folder(spark, "links"), 16)
+    table.publish(upkeep.add_chunks(table, docs.select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes"))))
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("vector_id"))
+    times = (datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i) for i in range(1000))
+    upkeep.embed_all(table, lambda claims: claims.join(vectors, "chunk_id", "left").select("chunk_id", "vector_id", F.lit("no_vector").alias("error")), lambda: next(times), 4000, most_tries=2)
+    return table.read().select("chunk_id", "vector_id", "failure")
