@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from loomline.llm import crf
 from loomline.llm.common import crc_mod, table, text_hash
 
-SAMPLE_PER_LANG, SAMPLE_ROWS = 150, 1200
+SAMPLE_PER_LANG, SAMPLE_ROWS, SHARES = 150, 1200, 64
 #: Words of a spliced stretch.
 STRETCH = (4, 40)
 HELD_OUT_MOD, HELD_OUT = 3, 1
@@ -66,9 +66,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang"):
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     # rows that agree in doc_id and text are one; of several langs the first by name counts
     narrow = known.groupBy("doc_id", "th").agg(F.min("lang").alias("lang")).withColumn("o", order)
-    # Spark limits each task's rows of a language before the window's shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "th"))
-    picked = narrow.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG).orderBy("rank", "o", "th").limit(SAMPLE_ROWS)
+    # the first rows of each share of a language, then of the language: no task ranks all rows of a common one
+    first = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("o", "th"))
+    shares = narrow.withColumn("share", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SHARES))).withColumn("rank", first("share")).where(F.col("rank") <= SAMPLE_PER_LANG)
+    picked = shares.drop("share").withColumn("rank", first()).where(F.col("rank") <= SAMPLE_PER_LANG).orderBy("rank", "o", "th").limit(SAMPLE_ROWS)
     body = known.select("doc_id", "th", "text").join(F.broadcast(picked), ["doc_id", "th"])  # at most SAMPLE_ROWS rows
     rows = body.groupBy("doc_id", "th", "lang", "rank", "o").agg(F.min("text").alias("text")).orderBy("rank", "o", "th").limit(SAMPLE_ROWS).collect()
     return fit([r.text or "" for r in rows], [r.lang for r in rows])
