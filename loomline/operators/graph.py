@@ -5,6 +5,9 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Children of one node that are put in order by one task.
+SIBLINGS = 100_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder the session names; a local one only in local mode."""
@@ -140,10 +143,47 @@ def retained_leaf(path: DataFrame, gone: DataFrame) -> DataFrame:
     return path.select("leaf").distinct().join(kept, "leaf", "left")
 
 
+def labels(nodes: DataFrame) -> DataFrame:
+    """(id, root, enter, leave, below) of (id, parent_id): interval labels of a forest, without any list of ancestors.
+
+    A tour goes down to the first child, on to the next sibling, and back up to the parent. Its ranks come from
+    pointers that double each round, so a chain of n costs log2(2n) joins of narrow rows. ``enter`` and ``leave`` count
+    the steps left to the end of the tree's tour: a stands above b exactly if both have one root, a.enter > b.enter and
+    a.leave < b.leave. ``below`` is the number of descendants. A node whose parent is missing is a root; nodes on or below
+    a cycle have no row. Children of a node of very many are linked in shares, so no task orders all of them.
+    """
+    known = nodes.select(F.col("id").alias("known"))
+    kin = cut(nodes.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("parent")))
+    most = kin.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    kids = kin.where("parent IS NOT NULL").withColumn("share", F.pmod(F.xxhash64("id"), F.lit(most // SIBLINGS + 1)))
+    heads = kids.groupBy("parent", "share").agg(F.min("id").alias("head"))
+    heads = heads.withColumn("then", F.lead("head").over(Window.partitionBy("parent").orderBy("share")))
+    near = kids.withColumn("near", F.lead("id").over(Window.partitionBy("parent", "share").orderBy("id")))
+    beside = near.join(heads, ["parent", "share"]).select("id", F.coalesce("near", "then").alias("beside"))
+    first = heads.groupBy(F.col("parent").alias("id")).agg(F.min_by("head", "share").alias("child"))
+    at = kin.join(first, "id", "left").join(beside, "id", "left")
+    down = at.select("id", F.lit(False).alias("up"), F.coalesce("child", "id").alias("to"), F.col("child").isNull().alias("to_up"))
+    on = at.select("id", F.lit(True).alias("up"), F.coalesce("beside", "parent").alias("to"), F.col("beside").isNull().alias("to_up"))
+    ends = F.col("to").isNull()
+    state = cut(down.unionByName(on).select("id", "up", "to", "to_up", F.when(ends, 0).otherwise(1).cast("long").alias("left"), F.when(ends, F.col("id")).alias("root")))
+    for _ in range(state.count().bit_length() + 1):
+        a, b = state.where("to IS NOT NULL").alias("a"), state.alias("b")
+        if a.isEmpty():
+            break
+        moved = a.join(b, (F.col("a.to") == F.col("b.id")) & (F.col("a.to_up") == F.col("b.up")))
+        state = cut(state.where("to IS NULL").unionByName(moved.select("a.id", "a.up", "b.to", "b.to_up", (F.col("a.left") + F.col("b.left")).alias("left"), "b.root")))
+    step = lambda up: F.max(F.when(F.col("up") == up, F.col("left")))
+    found = state.where("to IS NULL").groupBy("id").agg(F.max("root").alias("root"), step(False).alias("enter"), step(True).alias("leave")).where("enter IS NOT NULL AND leave IS NOT NULL")
+    return found.withColumn("below", F.expr("(enter - leave - 1) div 2"))
+
+
 def is_ancestor(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs (ancestor, id) with ``holds``: true where the first stands above the second."""
-    up = paths(pairs.select(F.col("id").alias("leaf")).distinct(), nodes).where("depth > 0").select(F.col("leaf").alias("id"), F.col("id").alias("ancestor"), F.lit(True).alias("found"))
-    return pairs.join(up, ["id", "ancestor"], "left").select("ancestor", "id", F.coalesce("found", F.lit(False)).alias("holds"))
+    """pairs (ancestor, id) with ``holds``: true where the first stands above the second, by their interval labels."""
+    known = cut(labels(nodes))
+    side = lambda name, at: known.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{at}") for c in ("root", "enter", "leave")])
+    j = pairs.join(side("ancestor", "a"), "ancestor", "left").join(side("id", "b"), "id", "left")
+    holds = (F.col("root_a") == F.col("root_b")) & (F.col("enter_a") > F.col("enter_b")) & (F.col("leave_a") < F.col("leave_b"))
+    return j.select("ancestor", "id", F.coalesce(holds, F.lit(False)).alias("holds"))
 
 
 def work_queue(items: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def hidden_messages(spark, sf):
 
 @query(UP + " SELECT ancestor AS id, count(*) AS n FROM c GROUP BY ancestor")
 def descendants(spark, sf):
-    return graph.closure(archive.messages(spark, sf).select("id", "parent_id")).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.labels(archive.messages(spark, sf).select("id", "parent_id")).where("below > 0").select("id", F.col("below").alias("n"))
 
 
 @query(UP + " SELECT m.id, coalesce(max(depth), 0) AS wave FROM m LEFT JOIN c ON m.id = c.id GROUP BY m.id")
