@@ -37,7 +37,7 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 MAX_N, BUCKETS, SEED, SHARE, LEAST_WORDS = 2, 10_000, 7, 25, 20
 #: A block is closed once it holds so many features.
-BLOCK_FEATURES = 200_000
+BLOCK_FEATURES = 50_000
 #: Distinct words remembered by a task.
 MEMO_WORDS = 100_000
 #: Scores of a coarse step of the search for the last one drawn.
