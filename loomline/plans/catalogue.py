@@ -282,16 +282,6 @@ def route_choice(spark, sf):
     return best.join(read(spark, sf, "orders"), "o_orderkey", "left_semi")
 
 
-@query("""SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'stale_generation' WHEN vec_id % 7 = 0 THEN 'model_mismatch' WHEN n > 1 THEN 'duplicate' ELSE 'stored' END AS outcome
-FROM (SELECT vec_id, row_number() OVER (PARTITION BY label, vec_id % 50 ORDER BY vec_id) AS n FROM embeddings)""")
-def publish_reject_reasons(spark, sf):
-    slot = ["label", "slot"]
-    v = read(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") % 50).alias("slot"))
-    v = v.join(v.groupBy(*slot).agg(F.min("vec_id").alias("first")), slot)
-    reason = F.when(F.col("vec_id") % 5 == 0, "stale_generation").when(F.col("vec_id") % 7 == 0, "model_mismatch").when(F.col("vec_id") > F.col("first"), "duplicate").otherwise("stored")
-    return v.select("vec_id", reason.alias("outcome"))
-
-
 @query("SELECT user_id, max(ts) AS latest, count(*) AS n FROM events GROUP BY user_id")
 def streaming_activity(spark, sf):
     """The event log as a stream, drained into files of the shared folder."""

@@ -8,6 +8,8 @@ def query(sql: str | None = None):
     """Register the function as a query under its name, with the SQL it must agree with."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query named {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
