@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from loomline.operators import imports
-from loomline.plans.registry import MESSAGES, query
-from loomline.sources import archive, provider_exports
+from loomline.plans.registry import MESSAGES, SQL, query
+from loomline.sources import archive, json_arrays, provider_exports
 from loomline.sources.archive import read
+from loomline.streaming.activity import shared_folder
 
 STAMP = "2024-01-01T00:00:00Z"
 
@@ -45,6 +46,30 @@ def message_list_scan(spark, sf):
     return provider_exports.message_lists(_list_exports(spark, sf)).select("thread", "node", "parent", "inferred", "role", "created_ms", F.sha2("text", 256).alias("digest"))
 
 
+def _arrays(spark, sf):
+    """The elements of the same exports, written as files that each hold one array and read by byte ranges."""
+    folder = shared_folder(spark)
+    exports = _node_exports(spark, sf).withColumn("key", F.get_json_object("conversation", "$.conversation_id").cast("long"))
+    json_arrays.write(exports, folder, "key", "conversation")
+    return json_arrays.elements(spark, folder)
+
+
+@query(SQL["node_map_scan"])
+def json_array_scan(spark, sf):
+    n = provider_exports.node_maps(_arrays(spark, sf).select(F.col("value").alias("conversation"))).where("NOT structural")
+    return n.select("thread", "node", "parent", "role", "created_ms", F.sha2("text", 256).alias("digest"), "active")
+
+
+@query(f"""WITH {MESSAGES}, v AS (SELECT id, 'parent' AS field, coalesce(CAST(parent_id AS VARCHAR), 'root') AS value FROM m UNION ALL SELECT id, 'role', role FROM m UNION ALL SELECT id, 'parts', text FROM m)
+SELECT CAST(id AS VARCHAR) AS node, field, sha256(value) AS digest FROM v""")
+def json_array_leaves(spark, sf):
+    """Three scalars of every message, found by their paths in the arrays."""
+    found = json_arrays.leaves(_arrays(spark, sf))
+    node = F.regexp_extract("path", r'^\$\[\d+\]\["mapping"\]\["(\d+)"\]', 1)
+    field = F.regexp_extract("path", r'\["(parent|role|parts)"\](\[0\])?$', 1)
+    return found.select(node.alias("node"), field.alias("field"), F.sha2(json_arrays.plain(F.col("kind"), F.col("value")), 256).alias("digest")).where("node <> '' AND field <> ''")
+
+
 @query(f"WITH {MESSAGES} SELECT CAST(id AS VARCHAR) AS node, CAST(parent_id AS VARCHAR) AS parent FROM m")
 def nearest_real_parent(spark, sf):
     """The structural root drops out and its children become roots."""
