@@ -74,23 +74,6 @@ def waves(nodes: DataFrame) -> DataFrame:
     return found.where("NOT broken AND NOT cyclic").select("id", F.col("depth").cast("int").alias("wave"))
 
 
-def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, wave) over several relations: edges (id, needs); a node is ready when all it needs is done.
-
-    One round a wave; nodes on or behind a cycle or a missing need are left out.
-    """
-    left = cut(nodes.select("id").join(edges.groupBy("id").agg(F.count(F.lit(1)).alias("open")), "id", "left").fillna(0, ["open"]))
-    done, wave = None, 0
-    while True:
-        ready = cut(left.where("open = 0").select("id"))
-        if ready.isEmpty():
-            return done if done is not None else ready.select("id", F.lit(0).alias("wave"))
-        done = ready.select("id", F.lit(wave).alias("wave")) if done is None else done.unionByName(ready.select("id", F.lit(wave).alias("wave")))
-        met = edges.join(ready.select(F.col("id").alias("needs")), "needs").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
-        rest = left.where("open > 0").join(met, "id", "left")
-        left, wave = cut(rest.select("id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))), wave + 1
-
-
 def path_findings(asked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(thread_id, leaf, finding): all that is wrong with the paths of asked leaves (thread_id, leaf) up to their roots.
 

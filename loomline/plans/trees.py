@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomline.operators import graph
+from loomline.operators import graph, precedence
 from loomline.plans.registry import MESSAGES, UP, query
 from loomline.sources import archive
 
@@ -62,7 +62,23 @@ def topo_waves_two_relations(spark, sf):
     """Messages after their parent and after the message they edit (the one two turns before)."""
     m = archive.messages(spark, sf)
     edges = m.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("needs")).union(m.where("turn >= 2").select("id", F.col("id") - 2)).distinct()
-    return graph.ordered(m, edges)
+    return precedence.ordered(m, edges).where("state = 'ready'").select("id", "wave")
+
+
+@query(f"""WITH RECURSIVE {MESSAGES}, e AS (SELECT id, parent_id AS needs FROM m WHERE parent_id IS NOT NULL UNION SELECT id, id + CAST(thread_id % 3 AS BIGINT) FROM m WHERE turn = 1 AND thread_id % 4 = 1 UNION SELECT id, -id FROM m WHERE turn = 3 AND thread_id % 4 = 2),
+r AS (SELECT e.id, needs FROM e JOIN m ON needs = m.id UNION SELECT r.id, e.needs FROM r JOIN e ON r.needs = e.id JOIN m ON e.needs = m.id),
+o AS (SELECT a.id, least(a.id, min(a.needs)) AS circle FROM r a JOIN r b ON a.id = b.needs AND a.needs = b.id GROUP BY a.id), g AS (SELECT id FROM e WHERE needs NOT IN (SELECT id FROM m))
+SELECT m.id, CASE WHEN o.id IS NOT NULL THEN 'on_circle' WHEN EXISTS (SELECT 1 FROM r JOIN o ON r.needs = o.id WHERE r.id = m.id) THEN 'behind_circle' ELSE 'absent' END AS finding, circle
+FROM m LEFT JOIN o ON m.id = o.id WHERE o.id IS NOT NULL OR EXISTS (SELECT 1 FROM r JOIN o ON r.needs = o.id WHERE r.id = m.id) OR m.id IN (SELECT id FROM g) OR EXISTS (SELECT 1 FROM r JOIN g ON r.needs = g.id WHERE r.id = m.id)""")
+def circles_two_relations(spark, sf):
+    """Circles over parents and edits together: in some threads the second message edits itself or a later one; others edit what is absent."""
+    m = archive.messages(spark, sf)
+    edits = m.where("turn = 1 AND thread_id % 4 = 1").selectExpr("id", "id + thread_id % 3").union(m.where("turn = 3 AND thread_id % 4 = 2").selectExpr("id", "-id"))
+    edges = graph.cut(m.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("needs")).union(edits))
+    order = precedence.ordered(m, edges).where("state <> 'ready'")
+    found = order.join(precedence.circles(m, edges), "id", "left")
+    finding = F.when(F.col("circle").isNotNull(), "on_circle").when(F.col("state") == "circle", "behind_circle").otherwise("absent")
+    return found.select("id", finding.alias("finding"), "circle")
 
 
 @query(f"""{UP}, b AS (SELECT id, parent_id, turn FROM m WHERE turn <= 4), s AS (SELECT thread_id, max(id) AS leaf FROM m WHERE turn <= 4 GROUP BY thread_id),
