@@ -16,6 +16,11 @@ START, ABSENT, CIRCLE = 0, 1, 2
 APART = 8
 
 
+def far(df: DataFrame) -> DataFrame:
+    """The side of a join that is always shuffled: the rounds are many, and broadcasts would pile up on the driver."""
+    return df.hint("merge")
+
+
 def follow(pointers: DataFrame) -> DataFrame:
     """Every pointer (id, up, end, steps) moved on to where no pointer leads further, by spans that double each round.
 
@@ -25,15 +30,15 @@ def follow(pointers: DataFrame) -> DataFrame:
     live = lambda: state.where("up IS NOT NULL").alias("s")
     moved = F.col("t.id").isNotNull()
     for _ in range(state.count().bit_length() + 1):
-        on = live().join(state.alias("t"), F.col("s.up") == F.col("t.id"))
+        on = live().join(far(state).alias("t"), F.col("s.up") == F.col("t.id"))
         if on.isEmpty():
             return state
-        step = live().join(state.alias("t"), F.col("s.up") == F.col("t.id"), "left").select(
+        step = live().join(far(state).alias("t"), F.col("s.up") == F.col("t.id"), "left").select(
             "s.id", F.when(moved, F.col("t.up")).otherwise(F.col("s.up")).alias("up"), F.when(moved, F.col("t.end")).otherwise(F.col("s.end")).alias("end"), (F.col("s.steps") + F.coalesce("t.steps", F.lit(0))).alias("steps")
         )
         state = cut(state.where("up IS NULL").unionByName(step))
-    turning = live().join(state.alias("t"), F.col("s.up") == F.col("t.id"), "left_semi").select("s.id", F.lit(None).cast(state.schema["up"].dataType).alias("up"), F.lit(CIRCLE).alias("end"), "s.steps")
-    return state.join(turning.select("id"), "id", "left_anti").unionByName(turning)
+    turning = live().join(far(state).alias("t"), F.col("s.up") == F.col("t.id"), "left_semi").select("s.id", F.lit(None).cast(state.schema["up"].dataType).alias("up"), F.lit(CIRCLE).alias("end"), "s.steps")
+    return state.join(far(turning.select("id")), "id", "left_anti").unionByName(turning)
 
 
 def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,10 +52,10 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids = nodes.select("id").where("id IS NOT NULL").distinct()
     known = ids.select(F.col("id").alias("up"), F.lit(True).alias("there"))
-    given = edges.where("needs IS NOT NULL").select("id", F.col("needs").alias("up")).distinct().join(ids, "id", "left_semi").join(known, "up", "left")
+    given = edges.where("needs IS NOT NULL").select("id", F.col("needs").alias("up")).distinct().join(far(ids), "id", "left_semi").join(far(known), "up", "left")
     end = F.when(F.col("there").isNull(), ABSENT)
     first = given.select("id", F.when(end.isNull(), F.col("up")).alias("up"), end.alias("end"), F.lit(1).cast("long").alias("steps"))
-    nothing = ids.join(given.select("id"), "id", "left_anti").select("id", F.lit(None).cast(ids.schema["id"].dataType).alias("up"), F.lit(START).alias("end"), F.lit(0).cast("long").alias("steps"))
+    nothing = ids.join(far(given.select("id")), "id", "left_anti").select("id", F.lit(None).cast(ids.schema["id"].dataType).alias("up"), F.lit(START).alias("end"), F.lit(0).cast("long").alias("steps"))
     active, settled = first.unionByName(nothing), []
     while True:
         targets = cut(active.groupBy("id", "up", "end").agg(F.max("steps").alias("steps")))
@@ -61,7 +66,7 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         settled.append(now)
         if len(settled) == APART:
             settled = [cut(functools.reduce(DataFrame.unionByName, settled))]
-        rest, t = targets.join(now.select("id"), "id", "left_anti"), now.alias("t")
+        rest, t = targets.join(far(now.select("id")), "id", "left_anti"), far(now).alias("t")
         on = rest.where("up IS NOT NULL").alias("s").join(t, F.col("s.up") == F.col("t.id"), "left")
         met = F.col("t.id").isNotNull()
         on = on.select("s.id", F.when(met, F.col("t.up")).otherwise(F.col("s.up")).alias("up"), F.col("t.end").alias("end"), (F.col("s.steps") + F.coalesce("t.steps", F.lit(0))).alias("steps"))
@@ -69,7 +74,7 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found = ids.withColumn("end", F.lit(CIRCLE)).withColumn("steps", F.lit(None).cast("long"))
     if settled:
         final = follow(functools.reduce(DataFrame.unionByName, settled)).select("id", F.coalesce("end", F.lit(CIRCLE)).alias("end"), "steps")
-        found = final.unionByName(found.join(final.select("id"), "id", "left_anti"))
+        found = final.unionByName(found.join(far(final.select("id")), "id", "left_anti"))
     state = F.when(F.col("end") == START, "ready").when(F.col("end") == ABSENT, "absent").otherwise("circle")
     return found.select("id", F.when(F.col("end") == START, F.col("steps")).cast("int").alias("wave"), state.alias("state"))
 
@@ -86,7 +91,7 @@ def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found = []
 
     def within(e: DataFrame, ids: DataFrame) -> DataFrame:
-        return e.join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "needs"), "needs", "left_semi").select("id", "needs")
+        return e.join(far(ids), "id", "left_semi").join(far(ids.withColumnRenamed("id", "needs")), "needs", "left_semi").select("id", "needs")
 
     edges = cut(within(edges, left))
     while not left.isEmpty():
@@ -98,20 +103,20 @@ def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         colour = cut(left.withColumn("colour", F.col("id")))
         while True:
-            seen = edges.join(colour.select(F.col("id").alias("needs"), F.col("colour").alias("there")), "needs").groupBy("id").agg(F.min("there").alias("there"))
-            after = cut(colour.join(seen, "id", "left").select("id", F.least("colour", "there").alias("colour"), (F.col("there") < F.col("colour")).alias("new")))
+            seen = edges.join(far(colour.select(F.col("id").alias("needs"), F.col("colour").alias("there"))), "needs").groupBy("id").agg(F.min("there").alias("there"))
+            after = cut(colour.join(far(seen), "id", "left").select("id", F.least("colour", "there").alias("colour"), (F.col("there") < F.col("colour")).alias("new")))
             colour = after.select("id", "colour")
             if after.where("new").isEmpty():
                 break
-        inner = edges.join(colour, "id").join(colour.select(F.col("id").alias("needs"), F.col("colour").alias("other")), "needs").where("colour = other").select("id", "needs")
+        inner = edges.join(far(colour), "id").join(far(colour.select(F.col("id").alias("needs"), F.col("colour").alias("other"))), "needs").where("colour = other").select("id", "needs")
         inner = cut(inner)
         reached = front = cut(colour.where("id = colour"))
         while not front.isEmpty():
-            front = cut(inner.join(front, "id").select(F.col("needs").alias("id"), "colour").distinct().join(reached, "id", "left_anti"))
+            front = cut(inner.join(far(front), "id").select(F.col("needs").alias("id"), "colour").distinct().join(far(reached), "id", "left_anti"))
             reached = cut(reached.unionByName(front))
         sizes = reached.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
         alone = selves.withColumn("own", F.lit(True))
         found.append(cut(reached.join(sizes, "colour").join(alone, "id", "left").where("n > 1 OR own").select("id", F.col("colour").alias("circle"))))
-        left = cut(left.join(reached, "id", "left_anti"))
+        left = cut(left.join(far(reached), "id", "left_anti"))
         edges = cut(within(edges, left))
     return functools.reduce(DataFrame.unionByName, found) if found else left.select("id", F.col("id").alias("circle"))
