@@ -21,6 +21,12 @@ def far(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def together(*frames: DataFrame) -> DataFrame:
+    """The frames as one of no more parts than a shuffle has, so that parts do not add up over the rounds."""
+    parts = int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return functools.reduce(DataFrame.unionByName, frames).coalesce(parts)
+
+
 def follow(pointers: DataFrame) -> DataFrame:
     """Every pointer (id, up, end, steps) moved on to where no pointer leads further, by spans that double each round.
 
@@ -36,7 +42,7 @@ def follow(pointers: DataFrame) -> DataFrame:
         step = live().join(far(state).alias("t"), F.col("s.up") == F.col("t.id"), "left").select(
             "s.id", F.when(moved, F.col("t.up")).otherwise(F.col("s.up")).alias("up"), F.when(moved, F.col("t.end")).otherwise(F.col("s.end")).alias("end"), (F.col("s.steps") + F.coalesce("t.steps", F.lit(0))).alias("steps")
         )
-        state = cut(state.where("up IS NULL").unionByName(step))
+        state = cut(together(state.where("up IS NULL"), step))
     turning = live().join(far(state).alias("t"), F.col("s.up") == F.col("t.id"), "left_semi").select("s.id", F.lit(None).cast(state.schema["up"].dataType).alias("up"), F.lit(CIRCLE).alias("end"), "s.steps")
     return state.join(far(turning.select("id")), "id", "left_anti").unionByName(turning)
 
@@ -65,7 +71,7 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         settled.append(now)
         if len(settled) == APART:
-            settled = [cut(functools.reduce(DataFrame.unionByName, settled))]
+            settled = [cut(together(*settled))]
         rest, t = targets.join(far(now.select("id")), "id", "left_anti"), far(now).alias("t")
         on = rest.where("up IS NOT NULL").alias("s").join(t, F.col("s.up") == F.col("t.id"), "left")
         met = F.col("t.id").isNotNull()
@@ -73,7 +79,7 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         active = rest.where("up IS NULL").unionByName(on)
     found = ids.withColumn("end", F.lit(CIRCLE)).withColumn("steps", F.lit(None).cast("long"))
     if settled:
-        final = follow(functools.reduce(DataFrame.unionByName, settled)).select("id", F.coalesce("end", F.lit(CIRCLE)).alias("end"), "steps")
+        final = follow(together(*settled)).select("id", F.coalesce("end", F.lit(CIRCLE)).alias("end"), "steps")
         found = final.unionByName(found.join(far(final.select("id")), "id", "left_anti"))
     state = F.when(F.col("end") == START, "ready").when(F.col("end") == ABSENT, "absent").otherwise("circle")
     return found.select("id", F.when(F.col("end") == START, F.col("steps")).cast("int").alias("wave"), state.alias("state"))
@@ -113,7 +119,7 @@ def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         reached = front = cut(colour.where("id = colour"))
         while not front.isEmpty():
             front = cut(inner.join(far(front), "id").select(F.col("needs").alias("id"), "colour").distinct().join(far(reached), "id", "left_anti"))
-            reached = cut(reached.unionByName(front))
+            reached = cut(together(reached, front))
         sizes = reached.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
         alone = selves.withColumn("own", F.lit(True))
         found.append(cut(reached.join(sizes, "colour").join(alone, "id", "left").where("n > 1 OR own").select("id", F.col("colour").alias("circle"))))
