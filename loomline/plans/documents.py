@@ -13,13 +13,16 @@ FROM l GROUP BY conv_id, turn""")
 def pdf_page_text(spark, sf):
     """Eight words a line, a wide gap after ten lines; a message is a page of its conversation."""
     words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")
-    w = read(spark, sf, "conversations").select("conv_id", "turn", words.alias("w")).select("conv_id", "turn", "w", F.posexplode("w").alias("i", "str"))
-    place, line = F.col("i") % 8, F.floor(F.col("i") / 8)
-    before = F.aggregate(F.slice("w", F.col("i") - place + 1, place), F.lit(0), lambda n, x: n + F.length(x))
+    w = read(spark, sf, "conversations").select("conv_id", "turn", words.alias("w"))
+    # a row of eight words, so that no word carries its whole message along
+    w = w.select("conv_id", "turn", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 8).cast("int")), lambda n: F.slice("w", 8 * n + 1, 8))).alias("line", "w")).where(F.size("w") > 0)
+    w = w.select("conv_id", "turn", "line", "w", F.posexplode("w").alias("place", "str"))
+    place, line, i = F.col("place"), F.col("line"), 8 * F.col("line") + F.col("place")
+    before = F.aggregate(F.slice("w", 1, place), F.lit(0), lambda n, x: n + F.length(x))
     x, y = 40 + 5 * before + 3 * place, 700 - 15 * line - 30 * F.floor(line / 10)
     numbers = [F.lit(n) for n in (10, 0, 0, 10)] + [x, y]
     runs = w.select(
-        F.col("conv_id").alias("document"), F.col("turn").alias("page"), F.col("i").alias("item_index"), "str", F.array(*[n.cast("double") for n in numbers]).alias("transform"),
+        F.col("conv_id").alias("document"), F.col("turn").alias("page"), i.alias("item_index"), "str", F.array(*[n.cast("double") for n in numbers]).alias("transform"),
         (5.0 * F.length("str")).alias("width"), F.lit(10.0).alias("height"), F.lit("ltr").alias("dir"), F.lit(False).alias("has_eol"), F.lit(False).alias("monospace"),
     )
     return layout.pages(runs).drop("reasons", "runs")

@@ -60,3 +60,21 @@ def test_required_counts_null_absent_and_foreign(spark):
     states = spark.createDataFrame([(1, "t", 10), (2, "t", None), (3, "u", 10), (4, "t", 99)], "id int, thread string, context int")
     contexts = spark.createDataFrame([(10, "t")], "id int, thread string")
     assert {r.id for r in audits.required(states, "context", contexts, "thread", "missing_context").collect()} == {2, 3, 4}
+
+
+def test_many_pages_are_read_together(spark):
+    """Pages alone, and all of them in batches that end within pages, come out alike; no task is called page by page."""
+    rows, words = [], ["", " ", "a", " b", "left side of the page", "right side of the page", "\U0001f600 wide"]
+    for p in range(40):
+        rows += [run(p, i, words[4 + i % 2 if p > 20 else (p * i + i) % 7], 40 + 280 * (i % 2) + p % 3, 700 - 14 * (i // 2), monospace=p % 5 == 0, dir="rtl" if p == 7 else "ltr") for i in range(p % 9 + 1)]
+    rows += [run(None, i, words[i], 40, 700) for i in (4, 5)] + [run(50, 0, None, 0, 0), run(50, 1, "a", 0, 0, transform=None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = read(spark, rows)
+        assert len(found) == 42 and found[50].outcome == "parse_failed" and {r.columns for r in found.values()} == {1, 2, None}
+        for p in (None, 5, 7, 8, 26, 39):
+            assert read(spark, [r for r in rows if r[1] == p]) == {p: found[p]}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    plan = layout.pages(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
