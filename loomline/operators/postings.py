@@ -28,8 +28,6 @@ from loomline.sources.versions import Manifests
 
 #: Documents of a block, tokens a task inverts at once, blocks of a term that give the first k-th score.
 BLOCK_DOCS, TOKENS, FIRST = 128, 1_000_000, 16
-#: Documents whose postings of a term are put together by one merging task.
-SHARE_DOCS = 16_384
 #: Input partitions (or shares of documents) whose bundles of a part are written by one task.
 PER_SALT = 32
 #: Largest number of removed ids that is broadcast.
@@ -57,6 +55,12 @@ def _bundle_schema(n: int) -> str:
     return f"part int, salt long, term array<string>, first array<long>, last array<long>, n array<int>, least array<int>, ids array<long>, len array<int>{each}"
 
 
+def _all_docs(ids: np.ndarray, lens: np.ndarray, n: int, salt: int) -> dict:
+    """The bundle of the one block that holds ascending ids and their lengths."""
+    blank = {f"{k}_{c}": v for c in range(n) for k, v in (("most", [0]), ("at", np.zeros(len(ids) + 1, np.int64)), ("pos", []), ("end", [0]))}
+    return {"part": DOCS, "salt": salt, "term": [""], "first": ids[:1], "last": ids[-1:], "n": [len(ids)], "least": [lens.min()], "ids": ids - ids[0], "len": lens} | blank
+
+
 def _bundles(ids: np.ndarray, columns: list[pa.ListArray], parts: int, salts: int) -> Iterator[dict]:
     """The bundles of some documents: one sort of (term, document) makes all postings, blocks and parts."""
     order = np.argsort(ids, kind="stable")
@@ -64,8 +68,7 @@ def _bundles(ids: np.ndarray, columns: list[pa.ListArray], parts: int, salts: in
     sizes = [np.diff(c.offsets.to_numpy()) for c in columns]
     lens = sum(sizes)[order]
     salt = int(ids[order[0]]) % salts
-    blank = {f"{k}_{c}": v for c in range(len(columns)) for k, v in (("most", [0]), ("at", np.zeros(len(ids) + 1, np.int64)), ("pos", []), ("end", [0]))}
-    yield {"part": DOCS, "salt": salt, "term": [""], "first": [ids[order[0]]], "last": [ids[order[-1]]], "n": [len(ids)], "least": [lens.min()], "ids": ids[order] - ids[order[0]], "len": lens} | blank
+    yield _all_docs(ids[order], lens, len(columns), salt)
     words = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
     if not len(words):
         return
@@ -84,25 +87,32 @@ def _bundles(ids: np.ndarray, columns: list[pa.ListArray], parts: int, salts: in
     new = np.r_[True, key[1:] != key[:-1]]
     posting = np.cumsum(new) - 1
     p_code, p_doc = np.divmod(key[new], len(ids))
+    tf, pos = [], []
+    for c in range(len(columns)):
+        own = column == c
+        tf.append(np.bincount(posting[own], minlength=len(p_code)))
+        pos.append(position[own])
+    yield from _packed(names, part, p_code, ids[order][p_doc], lens[p_doc], tf, pos, salt)
+
+
+def _packed(names: np.ndarray, part: np.ndarray, p_code: np.ndarray, p_id: np.ndarray, p_len: np.ndarray, tf: list[np.ndarray], pos: list[np.ndarray], salt: int) -> Iterator[dict]:
+    """The bundles of postings sorted by (term, id): blocks of terms, terms by part; tf and pos by column, pos in the order of the postings."""
     count = len(p_code)
     starts = np.flatnonzero(np.r_[True, p_code[1:] != p_code[:-1]])
     within = np.arange(count) - np.repeat(starts, np.diff(np.r_[starts, count]))
     block = np.flatnonzero(within % BLOCK_DOCS == 0)  # the first posting of each block
     n = np.diff(np.r_[block, count])
     of = np.repeat(np.arange(len(block)), n)
-    p_id, p_len = ids[order][p_doc], lens[p_doc]
     first = p_id[block]
     each = []
-    for c in range(len(columns)):
-        own = column == c
-        tf = np.bincount(posting[own], minlength=count)
-        total = np.r_[0, np.cumsum(tf)]
+    for counts, positions in zip(tf, pos):
+        total = np.r_[0, np.cumsum(counts)]
         # one more place than postings in each block, from 0
         at = np.empty(count + len(block), np.int64)
         at[np.arange(count) + of] = total[:-1] - total[block][of]
         ends = block + n
         at[ends + np.arange(len(block))] = total[ends] - total[block]
-        each.append((np.maximum.reduceat(tf, block), at, position[own], total))
+        each.append((np.maximum.reduceat(counts, block), at, positions, total))
     least = np.minimum.reduceat(p_len, block)
     b_part = part[p_code[block]]
     for a, z in zip(cuts := np.flatnonzero(np.r_[True, b_part[1:] != b_part[:-1]]), [*cuts[1:], len(block)]):
@@ -113,17 +123,20 @@ def _bundles(ids: np.ndarray, columns: list[pa.ListArray], parts: int, salts: in
         yield row
 
 
-def _inverter(n: int, parts: int, salts: int):
-    """Arrow batches of (id, one array of words a column) to bundles, TOKENS words at a time."""
+def _as_batch(row: dict, n: int) -> pa.RecordBatch:
     kind = {"part": pa.int32(), "salt": pa.int64(), "term": pa.list_(pa.string())} | {k: pa.list_(pa.int64() if k in ("first", "last", "ids") else pa.int32()) for k in ("first", "last", "n", "least", "ids", "len")}
     for c in range(n):
         kind |= {f"{k}_{c}": pa.list_(pa.int32()) for k in ("most", "at", "pos", "end")}
+    return pa.RecordBatch.from_arrays([pa.array([row[k]], t) if not isinstance(t, pa.ListType) else pa.array([list(row[k]) if k == "term" else np.asarray(row[k])], t) for k, t in kind.items()], names=list(kind))
+
 
+def _inverter(n: int, parts: int, salts: int):
+    """Arrow batches of (id, one array of words a column) to bundles, TOKENS words at a time."""
     def bundles(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         whole = [t.column(i + 1).combine_chunks() for i in range(n)]
         for row in _bundles(t.column(0).to_numpy(), [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in whole], parts, salts):
-            yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) if not isinstance(t, pa.ListType) else pa.array([list(row[k]) if k == "term" else np.asarray(row[k])], t) for k, t in kind.items()], names=list(kind))
+            yield _as_batch(row, n)
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -141,6 +154,137 @@ def _inverter(n: int, parts: int, salts: int):
     return invert
 
 
+def _share_schema(n: int) -> str:
+    """Postings of a share of the documents, or removed ids (``dead``), of one run, in flat arrays: ``code`` is a place in ``term``, pos_c follow each other."""
+    each = "".join(f", tf_{c} array<int>, pos_{c} array<int>" for c in range(n))
+    return f"share int, run int, dead boolean, term array<string>, code array<int>, ids array<long>, len array<int>{each}"
+
+
+def _share_of(ids: np.ndarray, shares: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shares
+
+
+def _taken(tf: np.ndarray, pos: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The positions of postings in another order; each has as many as ``tf`` says."""
+    start, size = (np.cumsum(tf) - tf)[order], tf[order]
+    return pos[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _dealer(n: int, shares: int):
+    """Blocks (run, term, first, n, ids, len, at_c, pos_c) to rows of ``_share_schema``, TOKENS positions at a time."""
+
+    def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
+        sizes = t.column("n").to_numpy()
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        ids, lens = flat("ids") + t.column("first").to_numpy()[of], flat("len")
+        runs, key = t.column("run").to_numpy(), _share_of(ids, shares)
+        key = key * (int(runs.max()) + 1) + runs[of]
+        order = np.argsort(key, kind="stable")
+        key, of, ids, lens = key[order], of[order], ids[order], lens[order]
+        words = t.column("term").combine_chunks()
+        each = []
+        for c in range(n):
+            last = np.cumsum(sizes + 1) - 1  # one place more than postings in each block
+            tf = np.delete(np.diff(flat(f"at_{c}"), append=0), last)
+            pos = _taken(tf, flat(f"pos_{c}"), order)
+            each.append((tf[order], pos, np.r_[0, np.cumsum(tf[order])]))
+        for a, z in zip(cuts := np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), [*cuts[1:], len(key)]):
+            used, code = np.unique(of[a:z], return_inverse=True)
+            share, run = divmod(int(key[a]), int(runs.max()) + 1)
+            yield _share_row(n, share, run, False, words.take(pa.array(used)), code, ids[a:z], lens[a:z], [(tf[a:z], pos[total[a] : total[z]]) for tf, pos, total in each])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
+                held.append(piece)
+                size += len(piece.column("ids").flatten()) + sum(len(piece.column(f"pos_{c}").flatten()) for c in range(n))
+                if size >= TOKENS:
+                    yield from rows(held)
+                    held, size = [], 0
+        if held:
+            yield from rows(held)
+
+    return deal
+
+
+def _share_row(n: int, share: int, run: int, dead: bool, term: pa.Array, code: np.ndarray, ids: np.ndarray, lens: np.ndarray, each: list) -> pa.RecordBatch:
+    row = [pa.array([share], pa.int32()), pa.array([run], pa.int32()), pa.array([dead])]
+    one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+    row += [one(term), one(pa.array(code, pa.int32())), one(pa.array(ids, pa.int64())), one(pa.array(lens, pa.int32()))]
+    row += [one(pa.array(v, pa.int32())) for pair in each for v in pair]
+    return pa.RecordBatch.from_arrays(row, names=["share", "run", "dead", "term", "code", "ids", "len", *[f"{k}_{c}" for c in range(n) for k in ("tf", "pos")]])
+
+
+def _removals(n: int, shares: int):
+    """(run, id) to rows of ``_share_schema``."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            run, ids = (batch.column(c).to_numpy() for c in range(2))
+            share, none = _share_of(ids, shares), np.zeros(0, np.int64)
+            order = np.lexsort((run, share))
+            run, ids, share = run[order], ids[order], share[order]
+            new = np.flatnonzero(np.r_[True, (share[1:] != share[:-1]) | (run[1:] != run[:-1])]) if len(ids) else none
+            for a, z in zip(new, [*new[1:], len(ids)]):
+                yield _share_row(n, int(share[a]), int(run[a]), True, pa.array([], pa.string()), none, ids[a:z], none, [(none, none)] * n)
+
+    return deal
+
+
+def _merger(n: int, parts: int, salts: int):
+    """Rows of ``_share_schema`` sorted by share to bundles of what is not removed."""
+
+    def bundles(held: list[dict]) -> Iterator[dict]:
+        flat = lambda row, c: row[c].values
+        gone: dict[int, list[np.ndarray]] = {}
+        for row in held:
+            if row["dead"].as_py():
+                gone.setdefault(row["run"].as_py(), []).append(flat(row, "ids").to_numpy())
+        held = [row for row in held if not row["dead"].as_py()]
+        if not held:
+            return
+        join = lambda c: np.concatenate([flat(row, c).to_numpy() for row in held])
+        ids, lens, tf, pos = join("ids"), join("len"), [join(f"tf_{c}") for c in range(n)], [join(f"pos_{c}") for c in range(n)]
+        live = [~np.isin(flat(row, "ids").to_numpy(), np.concatenate(gone[run])) if (run := row["run"].as_py()) in gone else np.ones(len(row["ids"]), bool) for row in held]
+        words = pa.concat_arrays([flat(row, "term").take(flat(row, "code")) for row in held]).dictionary_encode()
+        names, code = words.dictionary.to_pylist(), words.indices.to_numpy()
+        part = np.array([part_of(w, parts) if w else DOCS for w in names])
+        rank = np.empty(len(names), np.int64)
+        rank[np.argsort(part, kind="stable")] = np.arange(len(names))
+        names, part, code = np.array(names, object)[np.argsort(rank)], np.sort(part, kind="stable"), rank[code]
+        order = np.lexsort((ids, code))
+        order = order[np.concatenate(live)[order]]
+        pos = [_taken(t, p, order) for t, p in zip(tf, pos)]
+        code, ids, lens, tf = code[order], ids[order], lens[order], [t[order] for t in tf]
+        if not len(ids):
+            return
+        # the documents themselves come first, with a term that no text holds
+        docs = int(np.searchsorted(part[code], DOCS, "right"))
+        salt = int(ids[0]) % salts
+        yield _all_docs(ids[:docs], lens[:docs], n, salt)
+        if docs < len(ids):
+            yield from _packed(names, part, code[docs:], ids[docs:], lens[docs:], [t[docs:] for t in tf], pos, salt)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, share = [], None
+        for batch in batches:
+            own = batch.column("share").to_pylist()
+            for i, row in enumerate(own):
+                if row != share:
+                    for bundle in bundles(held):
+                        yield _as_batch(bundle, n)
+                    held, share = [], row
+                held.append({c: batch.column(c)[i] for c in batch.schema.names})
+        for bundle in bundles(held):
+            yield _as_batch(bundle, n)
+
+    return merge
+
+
 def _unbundler(n: int):
     """Bundles to rows of ``_schema``: their flat arrays become lists by offsets."""
 
@@ -184,11 +328,15 @@ class Index:
         cut = docs.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), *[WORDS[self.words](F.coalesce(F.col(c), F.lit(""))).alias(c) for c in self.columns])
         # a common term has blocks everywhere: a part is dealt by salts, more of them for more input
         salts = max(1, docs.rdd.getNumPartitions() // PER_SALT)
-        bundles = cut.mapInArrow(_inverter(n, self.parts, salts), _bundle_schema(n)).repartition("part", "salt")
-        blocks = bundles.mapInArrow(_unbundler(n), _schema(n))
-        blocks.sortWithinPartitions("part", "term", "first").write.partitionBy("part").parquet(self._folder(f"{name}/postings"))
+        self._write(cut.mapInArrow(_inverter(n, self.parts, salts), _bundle_schema(n)), name)
         return self._publish(base, base["runs"], name, added=True)
 
+    def _write(self, bundles: DataFrame, name: str) -> None:
+        """Write bundles as the blocks of a run."""
+        n = len(self.columns)
+        blocks = bundles.repartition("part", "salt").mapInArrow(_unbundler(n), _schema(n))
+        blocks.sortWithinPartitions("part", "term", "first").write.partitionBy("part").parquet(self._folder(f"{name}/postings"))
+
     def _publish(self, base: dict, others: list[dict], name: str, added: bool) -> int:
         """Name a written run beside others; its sums come from its own documents."""
         run = {"name": name, "dead": []}
@@ -212,32 +360,26 @@ class Index:
         return self.add(docs)
 
     def merge(self, most: int | None = None) -> int:
-        """Make one run of all (or of those of fewer than ``most`` documents), without what was removed."""
+        """Make one run of all (or of those of fewer than ``most`` documents), without what was removed.
+
+        Postings and removals meet by shares of the documents of about TOKENS words, in flat arrays; a share becomes
+        bundles of blocks as in ``add``.
+        """
         base = self.state()
         small = [r for r in base["runs"] if most is None or r["n"] < most]
         if len(small) < 2 and not any(r["dead"] for r in small):
             return base["version"]
-        name, kept = f"run-{uuid.uuid4().hex}", [r for r in base["runs"] if r not in small]
-        part = base | {"runs": small}
-        n = max(1, sum(r["n"] for r in small))
-        cols = range(len(self.columns))
-        docs = self._docs(part).select(F.lit(DOCS).alias("part"), F.lit("").alias("term"), "id", F.col("len").cast("int").alias("len"), *[x for c in cols for x in (F.lit(0).alias(f"tf_{c}"), F.array().cast("array<int>").alias(f"pos_{c}"))])
-        rows = self._postings(self._blocks(part, None), part, positions=True).withColumn("part", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.parts)).cast("int"))
-        rows = rows.select(*docs.columns).unionByName(docs)
-        # a common term is in most documents: its postings are grouped by shares of the ids, in many tasks
-        share, size = F.pmod(F.xxhash64("id"), F.lit(-(-n // SHARE_DOCS))), F.when(F.col("term") == "", SHARE_DOCS).otherwise(BLOCK_DOCS)
-        each = [c for i in cols for c in (f"tf_{i}", f"pos_{i}")]
-        held = rows.withColumn("share", share).groupBy("part", "term", "share").agg(F.array_sort(F.collect_list(F.struct("id", "len", *each))).alias("g"))
-        held = held.select("part", "term", F.explode(F.transform(F.sequence(F.lit(1), F.size("g"), size), lambda s: F.slice("g", s, size))).alias("g"))
-        field = lambda c: F.transform("g", lambda x: x[c])
-        held = held.select("part", "term", "g", *[field(f"tf_{c}").alias(f"tf_{c}") for c in cols])
-        places = lambda c: F.when(F.col("term") == "", F.array_repeat(F.lit(0), F.size("g") + 1)).otherwise(F.transform(F.sequence(F.lit(0), F.size("g")), lambda i: F.aggregate(F.slice(f"tf_{c}", F.lit(1), i), F.lit(0), lambda a, x: a + x)))
-        blocks = held.select(
-            "part", "term", F.col("g")[0]["id"].alias("first"), F.element_at("g", -1)["id"].alias("last"), F.size("g").alias("n"), F.array_min(field("len")).alias("least"),
-            F.transform("g", lambda x: x["id"] - F.col("g")[0]["id"]).alias("ids"), field("len").alias("len"),
-            *[x for c in cols for x in (F.array_max(f"tf_{c}").alias(f"most_{c}"), places(c).alias(f"at_{c}"), F.flatten(field(f"pos_{c}")).alias(f"pos_{c}"))],
-        )
-        blocks.repartition("part", F.pmod(F.xxhash64("first"), F.lit(-(-n // (PER_SALT * SHARE_DOCS))))).sortWithinPartitions("part", "term", "first").write.partitionBy("part").parquet(self._folder(f"{name}/postings"))
+        name, kept, n = f"run-{uuid.uuid4().hex}", [r for r in base["runs"] if r not in small], len(self.columns)
+        shares = max(1, -(-sum(r["n"] + r["len"] for r in small) // TOKENS))
+        own = ["run", "term", "first", "n", "ids", "len", *[f"{k}_{c}" for c in range(n) for k in ("at", "pos")]]
+        blocks = [self._run(r).withColumn("run", F.lit(i)).select(*own) for i, r in enumerate(small)]
+        dealt = functools.reduce(DataFrame.unionByName, blocks).mapInArrow(_dealer(n, shares), _share_schema(n))
+        if any(r["dead"] for r in small):
+            place = F.create_map(*[F.lit(x) for i, r in enumerate(small) for x in (r["name"], i)])
+            dead = self._dead(base | {"runs": small}).select(place[F.col("run")].alias("run"), "id")
+            dealt = dealt.unionByName(dead.mapInArrow(_removals(n, shares), _share_schema(n)))
+        merged = dealt.repartition(shares, "share").sortWithinPartitions("share").mapInArrow(_merger(n, self.parts, max(1, shares // PER_SALT)), _bundle_schema(n))
+        self._write(merged, name)
         return self._publish(base, kept, name, added=False)
 
     def sweep(self, keep: int = 1) -> list[str]:

@@ -93,3 +93,22 @@ def test_words_of_any_script(spark):
     assert [r[0] for r in rows_of(index.search(phrases, 5))] == [3, 1]
     assert sorted(r[0] for r in rows_of(index.search(search.parse_query("über", token=r"\w+"), 5))) == [1, 2]
     assert rows_of(index.matches(search.parse_query('"дом дом"', token=r"\w+"))) == [(3,)]
+
+
+def test_merge_makes_no_row_of_a_posting(spark, monkeypatch):
+    """Runs are merged in flat arrays by shares of the documents; ids that came back after a removal and shares without any document are right."""
+    monkeypatch.setattr(postings, "TOKENS", 400)
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 4)
+    index, rows = postings.Index(spark, fresh_folder(spark, "index"), ("text", "context"), parts=4), made(3, 60, -30)
+    index.add(spark.createDataFrame(rows, SCHEMA))
+    index.remove(spark.createDataFrame([(r[0],) for r in rows if r[0] % 2], "id long"))
+    back = [(r[0], "the fox is back", "fox") for r in rows[:9] if r[0] % 2]
+    index.add(spark.createDataFrame(back, SCHEMA))
+    with monkeypatch.context() as m:
+        m.setattr(postings.Index, "_postings", None)
+        index.merge()
+    docs = spark.createDataFrame([r for r in rows if r[0] % 2 == 0] + back, SCHEMA)
+    (run,) = index.state()["runs"]
+    assert (run["n"], run["dead"]) == (docs.count(), [])
+    for phrases in ([["the"]], [["fox"], ["the"]], [["the", "fox"]]):
+        assert rows_of(index.search(phrases, 200, [1.0, 2.0])) == rows_of(search.lexical(docs, phrases, 200, {"text": 1.0, "context": 2.0}))
