@@ -32,19 +32,18 @@ def follow(pointers: DataFrame) -> DataFrame:
 
     Those that run into a circle end with CIRCLE. Ended pointers (up null) take no part in the joins.
     """
-    state = cut(pointers.select("id", "up", "end", "steps"))
-    live = lambda: state.where("up IS NOT NULL").alias("s")
-    moved = F.col("t.id").isNotNull()
+    rows = pointers.select("id", "up", "end", "steps")
+    keys = far(rows.select(F.col("id").alias("key")))
+    # whether a pointer leads further goes along with it, so no round asks for that by a join of its own
+    state = cut(rows.join(keys, F.col("up") == F.col("key"), "left").select("id", "up", "end", "steps", F.col("key").isNotNull().alias("more")))
     for _ in range(state.count().bit_length() + 1):
-        on = live().join(far(state).alias("t"), F.col("s.up") == F.col("t.id"))
-        if on.isEmpty():
-            return state
-        step = live().join(far(state).alias("t"), F.col("s.up") == F.col("t.id"), "left").select(
-            "s.id", F.when(moved, F.col("t.up")).otherwise(F.col("s.up")).alias("up"), F.when(moved, F.col("t.end")).otherwise(F.col("s.end")).alias("end"), (F.col("s.steps") + F.coalesce("t.steps", F.lit(0))).alias("steps")
-        )
-        state = cut(together(state.where("up IS NULL"), step))
-    turning = live().join(far(state).alias("t"), F.col("s.up") == F.col("t.id"), "left_semi").select("s.id", F.lit(None).cast(state.schema["up"].dataType).alias("up"), F.lit(CIRCLE).alias("end"), "s.steps")
-    return state.join(far(turning.select("id")), "id", "left_anti").unionByName(turning)
+        live = state.where("more")
+        if live.isEmpty():
+            return state.drop("more")
+        step = live.alias("s").join(far(state).alias("t"), F.col("s.up") == F.col("t.id")).select("s.id", "t.up", "t.end", (F.col("s.steps") + F.col("t.steps")).alias("steps"), "t.more")
+        state = cut(together(state.where("NOT more"), step))
+    up, end = (F.when(~F.col("more"), F.col(c)).otherwise(F.lit(x)).alias(c) for c, x in (("up", None), ("end", CIRCLE)))
+    return state.select("id", up, end, "steps")
 
 
 def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,6 +64,8 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     active, settled = first.unionByName(nothing), []
     while True:
         targets = cut(active.groupBy("id", "up", "end").agg(F.max("steps").alias("steps")))
+        if targets.isEmpty():
+            break
         one = targets.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("up").alias("ups"), F.max("up").alias("up"), F.max("end").alias("end"), F.max("steps").alias("steps"))
         now = follow(one.where("n = 1 OR ups = 0"))
         if now.isEmpty():
@@ -85,9 +86,11 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("id", F.when(F.col("end") == START, F.col("steps")).cast("int").alias("wave"), state.alias("state"))
 
 
-def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def circles(nodes: DataFrame, edges: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """(id, circle) of the nodes that reach themselves: circle is the least id of those that reach each other.
 
+    ``order`` is what ``ordered`` gave for the same nodes and edges, if that is known.
+
     Nodes before and behind the circles are trimmed by ``ordered`` in both directions. What is left is coloured by the least id that
     each node reaches; what that node reaches within its colour is one circle. Rounds grow with the longest way round a circle.
     """
@@ -103,7 +106,8 @@ def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         for back in (False, True):
             way = edges.select(F.col("needs").alias("id"), F.col("id").alias("needs")) if back else edges
-            left = cut(ordered(left, way).where("state = 'circle'").select("id"))
+            known, order = order, None
+            left = cut((ordered(left, way) if known is None else known).where("state = 'circle'").select("id"))
             edges = cut(within(edges, left))
         if left.isEmpty():
             break

@@ -75,8 +75,8 @@ def circles_two_relations(spark, sf):
     m = archive.messages(spark, sf)
     edits = m.where("turn = 1 AND thread_id % 4 = 1").selectExpr("id", "id + thread_id % 3").union(m.where("turn = 3 AND thread_id % 4 = 2").selectExpr("id", "-id"))
     edges = graph.cut(m.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("needs")).union(edits))
-    order = precedence.ordered(m, edges).where("state <> 'ready'")
-    found = order.join(precedence.circles(m, edges), "id", "left")
+    order = graph.cut(precedence.ordered(m, edges).where("state <> 'ready'").select("id", "state"))
+    found = order.join(precedence.circles(m, edges, order), "id", "left")
     finding = F.when(F.col("circle").isNotNull(), "on_circle").when(F.col("state") == "circle", "behind_circle").otherwise("absent")
     return found.select("id", finding.alias("finding"), "circle")
 
