@@ -87,3 +87,42 @@ def test_pools_of_the_survey_and_their_recall(spark):
     wide, narrow = (catalogue.QUERIES["coarse_then_rerank"](spark, SF, pool).agg(F.sum("distance")).first()[0] for pool in (5000, 100))
     assert wide < narrow
     assert catalogue.QUERIES["candidate_recall"](spark, SF).agg(F.min("recall")).first()[0] >= 0.9
+
+
+class Caught:
+    """Takes the place of a frame and gives back the function that its tasks would run."""
+
+    def mapInArrow(self, function, schema):
+        return function
+
+    def select(self, *_):
+        return self
+
+    dtypes = [("id", "bigint"), ("text", "string")]
+
+
+def peak_mb(function, batch):
+    import tracemalloc
+
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in function(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return rows, most
+
+
+def test_routing_holds_few_queries_at_once():
+    """6,000 queries in one batch took 203 MB."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loomline.operators import nearest
+
+    rng = np.random.default_rng(1)
+    rings = [(64, c, g, 1000, 0.5 + g * 0.1, 0.6 + g * 0.1, 1) for c in range(64) for g in range(8)]
+    blocks = SimpleNamespace(sent=SimpleNamespace(value=nearest.Rings({64: rng.normal(size=(64, 64))}, rings)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6000)), pa.array(list(rng.normal(size=(6000, 64)))), pa.array(np.full(6000, 64, np.int32))], names=["id", "v", "size"])
+    rows, most = peak_mb(nearest._route(blocks, Caught(), 100, "l2", True), batch)
+    assert rows == 6000 and most < 60
