@@ -126,3 +126,16 @@ def test_routing_holds_few_queries_at_once():
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6000)), pa.array(list(rng.normal(size=(6000, 64)))), pa.array(np.full(6000, 64, np.int32))], names=["id", "v", "size"])
     rows, most = peak_mb(nearest._route(blocks, Caught(), 100, "l2", True), batch)
     assert rows == 6000 and most < 60
+
+
+def test_excerpts_hold_few_texts_at_once():
+    import pyarrow as pa
+
+    from loomline.operators import search
+
+    texts = ["the end of the line " * 50, None, "\U0001f600 the", ""] * 2000
+    cut = search.excerpts(Caught(), [["the"], ["of", "the"]])
+    rows, most = peak_mb(cut, pa.RecordBatch.from_arrays([pa.array(range(8000)), pa.array(texts)], names=["id", "text"]))
+    assert rows == 8000 and most < 30
+    small = next(cut(iter([pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts[:4])], names=["id", "text"])]))).to_pylist()
+    assert [(r["excerpt"], [(h["start"], h["end"]) for h in r["highlights"]]) for r in small] == [search.excerpt(t or "", [["the"], ["of", "the"]]) for t in texts[:4]]
