@@ -7,7 +7,7 @@ distributions, from which each bucket's gain follows; the product of the sparse
 with the gains gives each document's weight. Gumbel noise from a hash of seed and
 doc_id turns the weights into a draw without replacement: the highest scores are drawn.
 The texts are read once; blocks are cut by the number of their features, so a task
-holds one block and the vector of buckets. The place where the draw ends is found from
+holds a row group of few blocks and the vector of buckets. The place where the draw ends is found from
 counts of scores, and only the rows above it are sorted, by range.
 
 Defined cases: null and empty texts have no features, weight 0, and are never drawn;
@@ -38,6 +38,8 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 MAX_N, BUCKETS, SEED, SHARE, LEAST_WORDS = 2, 10_000, 7, 25, 20
 #: A block is closed once it holds so many features.
 BLOCK_FEATURES = 50_000
+#: Blocks of a row group: Spark unpacks the rows of a group (up to 4,096) at once, in 12 bytes a number.
+GROUP_BLOCKS = 16
 #: Distinct words remembered by a task.
 MEMO_WORDS = 100_000
 #: Scores of a coarse step of the search for the last one drawn.
@@ -102,7 +104,7 @@ def csr_blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_
 def written(blocks: DataFrame) -> DataFrame:
     """The blocks as a Parquet table of the shared folder, so that later reads make no row anew."""
     folder = f"{shared_folder(blocks.sparkSession)}/csr-{uuid.uuid4().hex}"
-    blocks.write.parquet(folder)
+    blocks.write.option("parquet.block.row.count.limit", GROUP_BLOCKS).parquet(folder)
     return blocks.sparkSession.read.schema(BLOCK_SCHEMA).parquet(folder)
 
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -71,6 +72,16 @@ def test_resampling_equals_plain(spark, monkeypatch):
     assert resampled(spark, rows, target) == plain_resampling(rows, target)
 
 
+def test_few_blocks_share_a_row_group(spark, monkeypatch):
+    """Spark's reader unpacks a row group at once: with all blocks of a task in one, large tasks filled the executor."""
+    monkeypatch.setattr(importance, "BLOCK_FEATURES", 20)
+    rows = [(i, "five words of one row") for i in range(200)]
+    blocks = importance.written(importance.csr_blocks(docs_of(spark, rows).coalesce(1)))
+    files = [pq.read_metadata(f.removeprefix("file:")) for f in blocks.inputFiles()]
+    assert blocks.count() == 100 == sum(m.num_rows for m in files)
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= 16
+
+
 def test_resampling_repeated_rows_and_empty_tables(spark):
     text = "some words that repeat in each of the rows here " * 3
     rows = [(4, text)] * 300 + [(i, f"{text} {i}") for i in range(100, 200)]
