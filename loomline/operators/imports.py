@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.graph import climb, cut
+from loomline.operators.graph import climb, cut_round
 
 
 def decision(incoming: DataFrame, threads: DataFrame, seen: DataFrame) -> DataFrame:
@@ -33,13 +33,13 @@ def lift_over_structural(nodes: DataFrame) -> DataFrame:
 
     Pointers over structural nodes double each round; a missing or looping parent becomes null.
     """
-    over = cut(nodes.where("structural").select(F.col("node").alias("s"), F.col("parent").alias("up")))
+    over = cut_round(nodes.where("structural").select(F.col("node").alias("s"), F.col("parent").alias("up")))
     for _ in range(over.count().bit_length() + 1):
         step = over.select(F.col("s").alias("t"), F.col("up").alias("further"))
         nxt = over.join(step, F.col("up") == F.col("t"), "left")
         if nxt.where("t IS NOT NULL").isEmpty():
             break
-        over = cut(nxt.select("s", F.when(F.col("t").isNotNull(), F.col("further")).otherwise(F.col("up")).alias("up")))
+        over = cut_round(nxt.select("s", F.when(F.col("t").isNotNull(), F.col("further")).otherwise(F.col("up")).alias("up")))
     real = nodes.where("NOT structural").select("node", "parent")
     placed = real.join(over, F.col("parent") == F.col("s"), "left").select("node", F.when(F.col("s").isNotNull(), F.col("up")).otherwise(F.col("parent")).alias("parent"))
     return placed.join(real.select(F.col("node").alias("there")), F.col("parent") == F.col("there"), "left").select("node", F.col("there").alias("parent"))

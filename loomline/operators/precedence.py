@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.graph import cut
+from loomline.operators.graph import cut_round as cut
 
 #: Where a chain of needs ends: at a node that needs nothing, at one that is absent, in a circle.
 START, ABSENT, CIRCLE = 0, 1, 2
@@ -27,47 +27,59 @@ def together(*frames: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, frames).coalesce(parts)
 
 
+def after(s: str, t: str) -> list:
+    """The columns (up, end, steps, least) of pointer s moved on over the pointer t of the node that it leads to."""
+    a, b = (lambda c: F.col(f"{s}.{c}")), (lambda c: F.col(f"{t}.{c}"))
+    steps = F.when(b("up").isNotNull(), a("steps") + b("steps")).otherwise(0).alias("steps")
+    return [b("up"), F.greatest(a("end"), b("end")).alias("end"), steps, F.greatest(a("least"), a("steps") + b("least")).alias("least")]
+
+
 def follow(pointers: DataFrame) -> DataFrame:
-    """Every pointer (id, up, end, steps) moved on to where no pointer leads further, by spans that double each round.
+    """Every pointer (id, up, end, steps, least) moved on to where no pointer leads further, by spans that double each round.
 
-    Those that run into a circle end with CIRCLE. Ended pointers (up null) take no part in the joins.
+    A pointer leads ``steps`` on to ``up`` (nowhere: null and 0); ``end`` and ``least`` are the gravest end and the length of the
+    longest of the chains from it that are known to their end. Those that run into a circle end with CIRCLE. Ended pointers take no part in the joins.
     """
-    rows = pointers.select("id", "up", "end", "steps")
+    rows = pointers.select("id", "up", "end", "steps", "least")
     keys = far(rows.select(F.col("id").alias("key")))
     # whether a pointer leads further goes along with it, so no round asks for that by a join of its own
-    state = cut(rows.join(keys, F.col("up") == F.col("key"), "left").select("id", "up", "end", "steps", F.col("key").isNotNull().alias("more")))
-    for _ in range(state.count().bit_length() + 1):
-        live = state.where("more")
-        if live.isEmpty():
-            return state.drop("more")
-        step = live.alias("s").join(far(state).alias("t"), F.col("s.up") == F.col("t.id")).select("s.id", "t.up", "t.end", (F.col("s.steps") + F.col("t.steps")).alias("steps"), "t.more")
+    state = cut(rows.join(keys, F.col("up") == F.col("key"), "left").select(*rows.columns, F.col("key").isNotNull().alias("more")))
+    before, live = None, state.where("more").count()
+    # a pointer that ends in a round has one on its way that ended in the round before: once none ends, all are in circles
+    while live and live != before:
+        step = state.where("more").alias("s").join(far(state).alias("t"), F.col("s.up") == F.col("t.id")).select("s.id", *after("s", "t"), "t.more")
         state = cut(together(state.where("NOT more"), step))
-    up, end = (F.when(~F.col("more"), F.col(c)).otherwise(F.lit(x)).alias(c) for c, x in (("up", None), ("end", CIRCLE)))
-    return state.select("id", up, end, "steps")
+        before, live = live, state.where("more").count()
+    if not live:
+        return state.drop("more")
+    ended = {"up": None, "end": CIRCLE, "steps": 0, "least": 0}
+    return state.select("id", *[F.when(~F.col("more"), F.col(c)).otherwise(F.lit(x).cast(rows.schema[c].dataType)).alias(c) for c, x in ended.items()])
 
 
 def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, wave, state) of every node: wave is the length of its longest chain of needs.
 
     state: ``ready``, or with a null wave ``absent`` (it needs, directly or not, what is no node) or ``circle`` (it stands
-    on or behind a circle; absent and circle together give circle if both meet in one node). Nodes that need one thing only are
-    drawn together to where their chain ends, in rounds that are the logarithm of the chain; then edges to the same end
-    become one, the longest, so a fork that closes again is a chain too. One more round is taken for each layer of
-    nodes whose needs still differ.
+    on or behind a circle; absent and circle together give circle if both meet in one node). Nodes that need one thing only, beside
+    what is known already, are drawn together to where their chain ends, in rounds that are the logarithm of the chain; then edges
+    to the same end become one, the longest, so a fork that closes again is a chain too, and so is a chain with ends beside it. One
+    more round is taken for each layer of nodes whose needs still differ: in a forest, the logarithm of its leaves at most.
     """
     ids = nodes.select("id").where("id IS NOT NULL").distinct()
     known = ids.select(F.col("id").alias("up"), F.lit(True).alias("there"))
     given = edges.where("needs IS NOT NULL").select("id", F.col("needs").alias("up")).distinct().join(far(ids), "id", "left_semi").join(far(known), "up", "left")
-    end = F.when(F.col("there").isNull(), ABSENT)
-    first = given.select("id", F.when(end.isNull(), F.col("up")).alias("up"), end.alias("end"), F.lit(1).cast("long").alias("steps"))
-    nothing = ids.join(far(given.select("id")), "id", "left_anti").select("id", F.lit(None).cast(ids.schema["id"].dataType).alias("up"), F.lit(START).alias("end"), F.lit(0).cast("long").alias("steps"))
+    there = F.col("there").isNotNull()
+    number = lambda x: F.lit(x).cast("long")
+    first = given.select("id", F.when(there, F.col("up")).alias("up"), F.when(there, START).otherwise(ABSENT).alias("end"), F.when(there, number(1)).otherwise(number(0)).alias("steps"), number(0).alias("least"))
+    nothing = ids.join(far(given.select("id")), "id", "left_anti").select("id", F.lit(None).cast(ids.schema["id"].dataType).alias("up"), F.lit(START).alias("end"), number(0).alias("steps"), number(0).alias("least"))
     active, settled = first.unionByName(nothing), []
+    most = [F.max(c).alias(c) for c in ("end", "steps", "least")]
     while True:
-        targets = cut(active.groupBy("id", "up", "end").agg(F.max("steps").alias("steps")))
+        targets = cut(active.groupBy("id", "up").agg(*most))
         if targets.isEmpty():
             break
-        one = targets.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("up").alias("ups"), F.max("up").alias("up"), F.max("end").alias("end"), F.max("steps").alias("steps"))
-        now = follow(one.where("n = 1 OR ups = 0"))
+        one = targets.groupBy("id").agg(F.count("up").alias("ups"), F.max("up").alias("up"), *most)
+        now = follow(one.where("ups <= 1"))
         if now.isEmpty():
             break
         settled.append(now)
@@ -76,14 +88,14 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rest, t = targets.join(far(now.select("id")), "id", "left_anti"), far(now).alias("t")
         on = rest.where("up IS NOT NULL").alias("s").join(t, F.col("s.up") == F.col("t.id"), "left")
         met = F.col("t.id").isNotNull()
-        on = on.select("s.id", F.when(met, F.col("t.up")).otherwise(F.col("s.up")).alias("up"), F.col("t.end").alias("end"), (F.col("s.steps") + F.coalesce("t.steps", F.lit(0))).alias("steps"))
+        on = on.select("s.id", *[F.when(met, moved).otherwise(F.col(f"s.{c}")).alias(c) for c, moved in zip(("up", "end", "steps", "least"), after("s", "t"))])
         active = rest.where("up IS NULL").unionByName(on)
-    found = ids.withColumn("end", F.lit(CIRCLE)).withColumn("steps", F.lit(None).cast("long"))
+    found = ids.withColumn("end", F.lit(CIRCLE)).withColumn("least", number(None))
     if settled:
-        final = follow(together(*settled)).select("id", F.coalesce("end", F.lit(CIRCLE)).alias("end"), "steps")
+        final = follow(together(*settled)).select("id", F.when(F.col("up").isNull(), F.col("end")).otherwise(CIRCLE).alias("end"), "least")
         found = final.unionByName(found.join(far(final.select("id")), "id", "left_anti"))
     state = F.when(F.col("end") == START, "ready").when(F.col("end") == ABSENT, "absent").otherwise("circle")
-    return found.select("id", F.when(F.col("end") == START, F.col("steps")).cast("int").alias("wave"), state.alias("state"))
+    return found.select("id", F.when(F.col("end") == START, F.col("least")).cast("int").alias("wave"), state.alias("state"))
 
 
 def circles(nodes: DataFrame, edges: DataFrame, order: DataFrame | None = None) -> DataFrame:

@@ -92,3 +92,49 @@ def test_a_known_order_is_not_made_again(spark, monkeypatch):
     runs.clear()
     precedence.circles(nodes, e)
     assert known == len(runs) - 1
+
+
+def test_many_small_relations_at_once(spark):
+    """Three hundred graphs of at most 12 nodes side by side, sparse and dense, with absent needs, circles and self edges."""
+    rng, edges, circle, order, size = random.Random(5), [], {}, {}, 12
+    for k in range(300):
+        own = {(v, rng.randrange(v)) for v in range(1, size) if rng.random() < 0.8} | {(rng.randrange(size), rng.randrange(size)) for _ in range(rng.randrange(8))}
+        own = {(b, a) for a, b in own} if k % 2 else own
+        own |= {(rng.randrange(size), size + rng.randrange(3)) for _ in range(rng.randrange(3))}
+        c, o = plain(size, sorted(own))
+        circle |= {v + k * 20: u + k * 20 for v, u in c.items()}
+        order |= {v + k * 20: x for v, x in o.items()}
+        edges += [(a + k * 20, b + k * 20) for a, b in own]
+    nodes, e = spark.createDataFrame([(v,) for v in order], "id long"), spark.createDataFrame(edges, "id long, needs long")
+    assert {r.id: (r.wave, r.state) for r in precedence.ordered(nodes, e).collect()} == order
+    assert {r.id: r.circle for r in precedence.circles(nodes, e).collect()} == circle
+
+
+def test_a_branch_at_every_fifth_node_takes_no_round_of_its_own(spark, monkeypatch):
+    """Seen from the roots, a long thread with branches: a node needs its children, of which one is a leaf."""
+    n, joins = 201, []
+    monkeypatch.setattr(precedence, "cut", lambda df, real=precedence.cut: (joins.append(1), real(df))[1])
+    edges = [(v - (2 if v % 5 == 4 else 1), v) for v in range(1, n)]
+    nodes, e = frames(spark, n, edges)
+    wave = {}
+    for v in reversed(range(n)):
+        wave[v] = max((wave[b] + 1 for a, b in edges if a == v), default=0)
+    assert {r.id: r.wave for r in precedence.ordered(nodes, e).collect()} == wave
+    assert len(joins) < 40
+
+
+def test_rounds_and_sizes_stay_small_beside_a_circle(spark, monkeypatch):
+    """Rounds follow the longest chain, not the number of nodes; the planner's sizes do not multiply over them."""
+    n, sizes = 20_000, []
+
+    def noted(df, real=precedence.cut):
+        found = real(df)
+        sizes.append(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return found
+
+    monkeypatch.setattr(precedence, "cut", noted)
+    edges = spark.range(n).where("id % 50 > 0").selectExpr("id", "id - 1 AS needs").union(spark.createDataFrame([(0, 7)], "id long, needs long"))
+    found = precedence.ordered(spark.range(n), edges)
+    assert {r.state: r["count"] for r in found.groupBy("state").count().collect()} == {"ready": n - 50, "circle": 50}
+    assert found.where("state = 'ready' AND wave <> id % 50").isEmpty()
+    assert len(sizes) < 20 and max(sizes) < 2**40
